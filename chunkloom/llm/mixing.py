@@ -23,8 +23,10 @@ from .shared import written
 
 WORD = r"[^\x20\x09-\x0D]+"
 FAN_IN = 192
-#: Levels of the tree at most; 192^6 is over 5 * 10^13 units.
-LEVELS = 6
+#: Of a group's units in the order of their lengths, each KEEP-th goes up unmet, so that the root still has short ones to even out a long one.
+KEEP = 12
+#: Levels of the tree at most: each shrinks it by FAN_IN / (FAN_IN / KEEP + 1), over 11.
+LEVELS = 12
 MAX_COPIES = 3
 
 
@@ -97,13 +99,16 @@ def pivotal(units: DataFrame, seed: int = 17) -> DataFrame:
         # a group's rows go to so many buckets that each holds about FAN_IN of them; one bucket ends its tree
         buckets = F.ceil(F.col("k") / F.lit(float(FAN_IN))).cast("long")
         dealt = level.withColumn("n", F.greatest(buckets, F.lit(1))).withColumn("b", F.pmod(F.xxhash64(F.lit(seed + depth), "u"), F.col("n")))
-        groups = dealt.groupBy("s", "n", "b").agg(F.transform(F.sort_array(F.collect_list(F.struct("a", "u", "p")), asc=False), lambda x: F.struct(x["u"].alias("u"), x["a"].alias("a"), x["p"].alias("p"))).alias("units"))
-        folded = written(groups.select("s", "n", "b", _fold(F.col("units"), seed + 100 + depth).alias("f")), f"mix-{depth}")
+        by_length = F.transform(F.sort_array(F.collect_list(F.struct("a", "u", "p")), asc=False), lambda x: F.struct(x["u"].alias("u"), x["a"].alias("a"), x["p"].alias("p")))
+        groups = dealt.groupBy("s", "n", "b").agg(by_length.alias("units"))
+        root = F.col("n") == 1
+        now = F.filter("units", lambda x, i: root | (i % KEEP != KEEP - 1))
+        later = F.filter("units", lambda x, i: ~root & (i % KEEP == KEEP - 1))
+        folded = written(groups.select("s", "n", "b", _fold(now, seed + 100 + depth).alias("f"), later.alias("later")), f"mix-{depth}")
         parts.append(folded.select("s", F.explode("f.done").alias("x")).select("s", F.col("x.u").alias("u"), F.col("x.p").cast("int").alias("taken")))
-        left = folded.where(F.col("f.open").isNotNull())
-        root = left.where(F.col("n") == 1)
-        parts.append(root.select("s", F.col("f.open.u").alias("u"), (uniform(F.col("f.open.u"), seed + 999) < F.col("f.open.p")).cast("int").alias("taken")))
-        level = left.where(F.col("n") > 1).select("s", F.col("f.open.u").alias("u"), F.col("f.open.a").alias("a"), F.col("f.open.p").alias("p"), F.col("n").alias("k"))
+        parts.append(folded.where((F.col("n") == 1) & F.col("f.open").isNotNull()).select("s", F.col("f.open.u").alias("u"), (uniform(F.col("f.open.u"), seed + 999) < F.col("f.open.p")).cast("int").alias("taken")))
+        up = F.concat(F.when(F.col("f.open").isNotNull(), F.array("f.open")).otherwise(F.array().cast(f"array<{_UNIT}>")), F.col("later"))
+        level = folded.where(F.col("n") > 1).select("s", (F.col("n") * (FAN_IN // KEEP + 1)).alias("k"), F.explode(up).alias("x")).select("s", F.col("x.u").alias("u"), F.col("x.a").alias("a"), F.col("x.p").alias("p"), "k")
         if level.isEmpty():
             break
     out = parts[0]
