@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, mixing, quality_classifier, sharding, simhash, substring_dedup
+from . import decontamination, language_id, mixing, quality_classifier, sharding, simhash, substring_dedup
 from .shared import table, written
 
 
@@ -32,9 +32,13 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.encode("kept_text", "UTF-8"), 256).alias("kept_sha256"))
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.predict_languages(table(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sizes(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_classifier, op3_decontamination, op5_sharding, op6_simhash, op7_substring_dedup, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op1_quality_classifier, op3_decontamination, op5_sharding, op6_simhash, op7_substring_dedup, op8_language_id, op10_mixing)}
 ORACLE_SQL: dict[str, str] = {}
