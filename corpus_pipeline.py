@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chunkloom.llm import mixing, quality_classifier, sharding, simhash
+from chunkloom.llm import decontamination, mixing, quality_classifier, sharding, simhash
 from chunkloom.llm.shared import shared_dir, table
 
 
@@ -20,6 +20,11 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return simhash.keep_one(docs)
 
 
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without the documents that hold a benchmark item."""
+    return decontamination.remove_leaks(docs, table(spark, sf_dir, "benchmark"))
+
+
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix of sources takes it."""
     return mixing.mix_documents(docs)
@@ -30,7 +35,7 @@ def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return sharding.shard_rows(docs)
 
 
-STAGES = [("quality_classifier", quality), ("simhash_near_dedup", near_dedup), ("mixing", mix), ("sharding", shard)]
+STAGES = [("quality_classifier", quality), ("simhash_near_dedup", near_dedup), ("benchmark_decontamination", decontaminate), ("mixing", mix), ("sharding", shard)]
 
 #: Fitted models and keyed random draws have no SQL equal; tests compare the stages with brute force.
 ORACLE_SQL = None
