@@ -47,12 +47,13 @@ def summed(df: DataFrame, partial: Callable[[Iterator[pa.RecordBatch]], dict[int
 def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Pool adjacent violators: (x, fitted y) of the blocks' ends, rising. Ties in x are pooled first."""
     keep = w > 0
-    order = np.argsort(x[keep], kind="stable")
-    x, y, w = x[keep][order], y[keep][order], w[keep][order]
+    unique, inverse = np.unique(x[keep], return_inverse=True)
+    weight = np.bincount(inverse, weights=w[keep], minlength=len(unique))
+    mean = np.bincount(inverse, weights=(w * y)[keep], minlength=len(unique)) / np.maximum(weight, 1e-300)
     blocks: list[list[float]] = []  # lowest x, highest x, mean, weight
-    for a, b, c in zip(x, y, w, strict=True):
+    for a, b, c in zip(unique, mean, weight, strict=True):
         blocks.append([a, a, b, c])
-        while len(blocks) > 1 and (blocks[-2][2] >= blocks[-1][2] or blocks[-2][1] == blocks[-1][0]):
+        while len(blocks) > 1 and blocks[-2][2] >= blocks[-1][2]:
             _, hi, m, v = blocks.pop()
             p = blocks[-1]
             blocks[-1] = [p[0], hi, (p[2] * p[3] + m * v) / (p[3] + v), p[3] + v]

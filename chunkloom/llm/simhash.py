@@ -40,6 +40,8 @@ NARROW = 65
 #: Variants that one bucket holds on average, and fingerprints whose variants are made at once.
 BUCKET_VARIANTS = 1 << 20
 CHUNK = 1024
+#: Fingerprints whose variants one task emits, on average.
+EMIT_EACH = 1 << 15
 _MASK = np.uint64((1 << 64) - 1)
 
 
@@ -196,7 +198,9 @@ def linked(distinct: DataFrame, total: int) -> DataFrame:
         if now is not None:
             yield from close()
 
-    blocks = distinct.select("fp").mapInArrow(emit, "bucket bigint, v binary, code binary")
+    # so many tasks that each emits a bounded number of variants
+    spread = distinct.select("fp").repartition(int(max(-(-total // EMIT_EACH), 1)), "fp")
+    blocks = spread.mapInArrow(emit, "bucket bigint, v binary, code binary")
     dealt = blocks.repartition(wide, "bucket").sortWithinPartitions("bucket")
     return dealt.mapInArrow(match, "a bigint, b bigint").distinct()
 
