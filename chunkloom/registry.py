@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import catalog
+from .plans import catalog, folds  # noqa: F401  (folds adds its queries)
 
 QUERIES = catalog.QUERIES
 ORACLE_SQL = catalog.ORACLE_SQL
