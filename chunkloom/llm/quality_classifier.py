@@ -21,8 +21,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .fitting import binned, calibrated, isotonic, summed
-from .shared import extended, id_remainder, written
-from .textstats import RATIOS, text_stats
+from .shared import batch_limit, extended, id_remainder, slices, written
+from .textstats import RATIOS, measure, text_stats
 
 FOLDS = 5
 PENALTIES = (1e-3, 1e-2, 1e-1, 1.0, 10.0)
@@ -150,7 +150,17 @@ def filter_quality(documents: DataFrame, labels: DataFrame, threshold: float = 0
     stats = written(text_stats(documents, ["doc_id"]).drop("stats_counts"), "quality-stats")
     train = training_rows(stats, labels, "quality", 3, 1).withColumn("__fold", F.floor(F.crc32(F.col("doc_id").cast("string")) / F.lit(3)))
     model = fit_quality(train, "__y", "__fold")
-    kept = [c for c in documents.columns]
-    named = documents.select(*[F.col(f"`{c}`").alias(f"__c{i}") for i, c in enumerate(kept)], F.col("text").cast("string").alias("__quality_text"))
-    scored = score_quality(text_stats(named, [f"__c{i}" for i in range(len(kept))], "__quality_text").drop("stats_counts"), model)
-    return scored.where(F.col("score") >= threshold).select(*[F.col(f"__c{i}").alias(c) for i, c in enumerate(kept)])
+    batch_limit(documents.sparkSession)
+    names = documents.columns
+    rows = documents.select(*[F.col(f"`{c}`").alias(f"__c{i}") for i, c in enumerate(names)], F.col("text").cast("string").alias("__text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # statistics, score and verdict in one Python process: two in a row would hold twice the memory
+        for b in batches:
+            keep = np.zeros(b.num_rows, bool)
+            for lo, hi, data, offsets in slices(b.column(b.num_columns - 1)):
+                raw = model.features(measure(data, offsets)[1]) @ model.folds[-1]
+                keep[lo:hi] = calibrated(raw, model.knots, model.default) >= threshold
+            yield b.filter(pa.array(keep))
+
+    return rows.mapInArrow(run, rows.schema).select(*[F.col(f"__c{i}").alias(c) for i, c in enumerate(names)])
