@@ -32,10 +32,23 @@ def row_chunks(df: DataFrame, key: str, versions: int = 8) -> DataFrame:
 
 def directory_files(spark: SparkSession, path: str, bv: int) -> DataFrame:
     """A directory tree as one version: files in the order of their paths, names relative to it. Directory order, which differs between machines, plays no part."""
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    root = F.lit(path.rstrip("/").split(":", 1)[-1].lstrip("/"))
-    name = F.regexp_replace(F.substring_index(F.col("path"), ":", -1), "^/+", "")
-    relative = F.when(name.startswith(root), F.substring(name, F.length(root) + 2, F.length(name))).otherwise(name)
-    listed = found.select(F.col("path"), relative.alias("filename"))
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "content")
+    empty = [(x, bytearray()) for x in empty_files(spark, path)]  # the reader leaves these out
+    found = found.unionByName(spark.createDataFrame(empty, "path string, content binary"))
+    name = F.regexp_replace("path", "^[a-zA-Z0-9]+:/*(?=/)", "")
+    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path).toUri().getPath().rstrip("/")
+    relative = F.when(name.startswith(F.lit(root)), F.substring(name, F.lit(len(root) + 2), F.length(name))).otherwise(name)
+    listed = found.select("path", relative.alias("filename"))
     order = listed.withColumn("file_no", (F.row_number().over(Window.orderBy("filename")) - 1).cast("bigint"))  # paths only
-    return found.select("path", "content").join(order, "path").select(F.lit(bv).alias("bv"), "file_no", "filename", "content")
+    return found.join(order, "path").select(F.lit(bv).alias("bv"), "file_no", "filename", "content")
+
+
+def empty_files(spark: SparkSession, path: str) -> list[str]:
+    """Paths of files without bytes, by the driver's listing (which every file source makes)."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    listing, out = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listFiles(at, True), []
+    while listing.hasNext():
+        f = listing.next()
+        if f.getLen() == 0:
+            out.append(f.getPath().toString())
+    return out
