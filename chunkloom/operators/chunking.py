@@ -55,49 +55,72 @@ def rolling_residues(data: np.ndarray) -> np.ndarray:
     return out
 
 
-def _first_residues(data: np.ndarray) -> np.ndarray:
-    """Residues of the growing prefix of at most 47 bytes: the window that starts empty."""
-    return rolling_residues(data)
+@lru_cache(maxsize=1)
+def _triangle() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For windows of 1 to 47 bytes that begin at one place: which byte stands how far back, and the tables with a zero for bytes outside."""
+    end, back = np.meshgrid(np.arange(WINDOW - 1), np.arange(WINDOW - 1), indexing="ij")
+    tables = np.zeros((WINDOW, 257), np.uint64)
+    tables[:, :256] = _tables()
+    return np.maximum(end - back, 0), end >= back, tables
 
 
-def _scan(whole: np.ndarray, data: np.ndarray, at: int, low: int, high: int, mask: int) -> np.ndarray:
-    """Lengths i in [low, high) of the chunk at ``at`` whose residue has the break mark under mask.
+class Residues:
+    """Rolling residues of some files behind one another, and the places that match a mask.
 
-    Length i is judged after byte i - 1 has entered a window that was empty before byte low - 1.
+    Length i of a chunk at ``at`` is judged after byte i - 1 has entered a window that was empty before byte low - 1. So only the first 47 lengths see
+    a window that is shorter than 48 bytes, and none sees a byte of the file before.
     """
-    short = min(low + WINDOW - 1, high)
-    begin = at + low - 1
-    head = _first_residues(data[begin : at + short - 1]) if short > low else np.zeros(0, np.uint64)
-    rest = whole[at + short - 1 : at + high - 1]
-    r = np.concatenate([head, rest])
-    return np.flatnonzero((r & np.uint64(mask)) == BREAK_MARK) + low
+
+    def __init__(self, data: np.ndarray):
+        self.data, self.whole = data, rolling_residues(data)
+        self.places: dict[int, np.ndarray] = {}
+
+    def _short(self, begin: int, n: int) -> np.ndarray:
+        """Residues of data[begin : begin + t] for t = 1 .. n, n < 48."""
+        which, inside, tables = _triangle()
+        window = self.data[begin : begin + n]
+        byte = np.where(inside[:n, :n], window[which[:n, :n]], 256)
+        return np.bitwise_xor.reduce(tables[np.arange(n), byte], axis=1)
+
+    def lengths(self, at: int, low: int, high: int, mask: int) -> np.ndarray:
+        """The lengths in [low, high) at which a chunk at ``at`` meets the break mark, rising."""
+        short = min(low + WINDOW - 1, high)
+        out = np.zeros(0, np.int64)
+        if short > low:
+            out = np.flatnonzero((self._short(at + low - 1, short - low) & np.uint64(mask)) == BREAK_MARK) + low
+        if mask not in self.places:
+            self.places[mask] = np.flatnonzero((self.whole & np.uint64(mask)) == BREAK_MARK)
+        p = self.places[mask]
+        i, j = np.searchsorted(p, (at + short - 1, at + high - 1))
+        return np.concatenate([out, p[i:j] - at + 1])
 
 
 def rabin_lengths(data: np.ndarray, avg: int, low: int, high: int, kind: str) -> list[int]:
     """Lengths of the chunks of a file. kind: rabin, normalized rabin, tttd."""
-    out, at, n = [], 0, len(data)
-    whole = rolling_residues(data) if n > low else np.zeros(0, np.uint64)
-    while at < n:
-        left = n - at
+    return rabin_file(Residues(data), 0, len(data), avg, low, high, kind)
+
+
+def rabin_file(r: Residues, at: int, stop: int, avg: int, low: int, high: int, kind: str) -> list[int]:
+    """Lengths of the chunks of the file at bytes [at, stop)."""
+    out = []
+    while at < stop:
+        left = stop - at
         if left <= low:
             out.append(left)
             break
         end = min(left, high)
         if kind == "rabin":
-            hits = _scan(whole, data, at, low, end, avg - 1)
+            hits = r.lengths(at, low, end, avg - 1)
             size = int(hits[0]) if len(hits) else end
         elif kind == "normalized rabin":
-            wide = _scan(whole, data, at, low, end, 2 * avg - 1)
-            wide = wide[wide < avg]
-            if len(wide):
-                size = int(wide[0])
-            else:
-                easy = _scan(whole, data, at, low, end, avg // 2 - 1)
-                easy = easy[easy >= avg]
-                size = int(easy[0]) if len(easy) else end
+            # twice the average is aimed at below the average, half of it above
+            hard = r.lengths(at, low, end, 2 * avg - 1)
+            easy = r.lengths(at, low, end, avg // 2 - 1)
+            hits = np.concatenate([hard[hard < avg][:1], easy[easy >= avg][:1]])
+            size = int(hits[0]) if len(hits) else end
         else:
-            backup = _scan(whole, data, at, low, end, avg // 2 - 1)
-            main = np.intersect1d(_scan(whole, data, at, low, end, avg - 1), backup)  # asked only where the backup mask matches
+            backup = r.lengths(at, low, end, avg // 2 - 1)
+            main = np.intersect1d(r.lengths(at, low, end, avg - 1), backup)  # asked only where the backup mask matches
             size = int(main[0]) if len(main) else int(backup[-1]) if len(backup) else end
         out.append(size)
         at += size
@@ -142,14 +165,35 @@ def ae_lengths(data: np.ndarray, avg: int, high: int) -> list[int]:
 
 
 def chunk_lengths(content: bytes, cfg: DedupConfig) -> list[int]:
-    data = np.frombuffer(content, np.uint8)
+    return next(batch_lengths([content], cfg))
+
+
+#: Bytes of files whose residues are computed at once (a longer file by itself).
+RUN_BYTES = 1 << 19
+
+
+def batch_lengths(contents: list[bytes], cfg: DedupConfig) -> Iterator[list[int]]:
+    """The chunk lengths of each file; short files share one computation of rolling residues."""
     kind = cfg.chunk_algorithm
     if kind in ("fixed", "file"):
         size = cfg.chunk_avg_size if kind == "fixed" else cfg.container_data
-        return [min(size, len(data) - i) for i in range(0, len(data), size)]
-    if kind == "ae":
-        return ae_lengths(data, cfg.chunk_avg_size, cfg.chunk_max_size)
-    return rabin_lengths(data, cfg.chunk_avg_size, cfg.chunk_min_size, cfg.chunk_max_size, kind)
+        for c in contents:
+            yield [min(size, len(c) - i) for i in range(0, len(c), size)]
+    elif kind == "ae":
+        for c in contents:
+            yield ae_lengths(np.frombuffer(c, np.uint8), cfg.chunk_avg_size, cfg.chunk_max_size)
+    else:
+        first = 0
+        while first < len(contents):
+            last, total = first, 0
+            while last < len(contents) and (last == first or total + len(contents[last]) <= RUN_BYTES):
+                total += len(contents[last])
+                last += 1
+            r, at = Residues(np.frombuffer(b"".join(contents[first:last]), np.uint8)), 0
+            for c in contents[first:last]:
+                yield rabin_file(r, at, at + len(c), cfg.chunk_avg_size, cfg.chunk_min_size, cfg.chunk_max_size, kind)
+                at += len(c)
+            first = last
 
 
 def fixed_chunks(files: DataFrame, size: int, with_data: bool = False) -> DataFrame:
@@ -167,21 +211,26 @@ def content_chunks(files: DataFrame, cfg: DedupConfig, with_data: bool = False)
     schema = "bv int, file_no bigint, chunk_no bigint, fp binary, size int" + (", data binary" if with_data else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["bv", "file_no", "chunk_no", "fp", "size", *(["data"] if with_data else [])]
         for b in batches:
-            for bv, file_no, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                if not content:
-                    continue
-                sizes = chunk_lengths(content, cfg)
-                ends = np.cumsum(sizes).tolist()
-                parts = [content[e - s : e] for s, e in zip(sizes, ends, strict=True)]
-                n = len(parts)
-                columns = [pa.array([bv] * n, pa.int32()), pa.array([file_no] * n, pa.int64()), pa.array(range(n), pa.int64()), pa.array([hashlib.sha1(p).digest() for p in parts], pa.binary()), pa.array(sizes, pa.int32())]
-                names = ["bv", "file_no", "chunk_no", "fp", "size"]
-                if with_data:
-                    columns, names = [*columns, pa.array(parts, pa.binary())], [*names, "data"]
-                yield pa.RecordBatch.from_arrays(columns, names=names)
-
-    return files.select(F.col("bv").cast("int"), F.col("file_no").cast("bigint"), "content").mapInArrow(run, schema)
+            contents = [x or b"" for x in b.column(2).to_pylist()]
+            keys = zip(b.column(0).to_pylist(), b.column(1).to_pylist(), contents, batch_lengths(contents, cfg), strict=True)
+            rows: list[tuple] = []
+            for bv, file_no, content, sizes in keys:
+                at = 0
+                for i, n in enumerate(sizes):
+                    part = content[at : at + n]
+                    rows.append((bv, file_no, i, hashlib.sha1(part).digest(), n, part)[: len(names)])
+                    at += n
+            if rows:
+                types = [pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=False)], names=names)
+
+    picked = files.select(F.col("bv").cast("int"), F.col("file_no").cast("bigint"), "content")
+    cores = picked.sparkSession.sparkContext.defaultParallelism
+    if picked.rdd.getNumPartitions() < cores:  # a small input in few row groups; a large one stays where it is
+        picked = picked.repartition(cores, "bv", "file_no")
+    return picked.mapInArrow(run, schema)
 
 
 def chunks(files: DataFrame, cfg: DedupConfig, with_data: bool = False) -> DataFrame:

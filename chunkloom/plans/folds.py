@@ -49,7 +49,9 @@ def ae(spark: SparkSession, sf_dir: str) -> DataFrame:
 def content_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What each version stores after content-defined chunking."""
     rows = chunking.content_chunks(snapshots.document_files(spark, sf_dir), replace(CDC, chunk_algorithm="rabin"))
-    return lookup.dedup_by_version(chunking.with_seq(rows))
+    path = f"{work_dir(spark)}/chunks-{uuid.uuid4().hex}"
+    rows.write.parquet(path)  # metadata: bytes are cut once, however often it is asked about
+    return lookup.dedup_by_version(spark.read.parquet(path).withColumn("seq", F.col("file_no") * (1 << 32) + F.col("chunk_no")))
 
 
 @query(f"""WITH RECURSIVE {_CH[5:]}, s AS (SELECT *, {_TAIL} AS t FROM ch),

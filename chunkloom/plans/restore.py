@@ -105,26 +105,27 @@ def simulate(recipes: DataFrame, policies: list[tuple[str, int]], window: int =
 
     What a container holds is taken from all recipes of the configuration: the chunks that were ever located there.
     """
-    tried = F.explode(F.array(*[F.struct(F.lit(p).alias("policy"), F.lit(s).alias("cache_size")) for p, s in policies])).alias("p")
     stored = recipes.select("config", "cid", "fp").distinct().groupBy("config", "cid").agg(F.collect_list("fp").alias("fps"))
     asked = recipes.select("config", "bv", "cid").distinct().join(stored, ["config", "cid"]).groupBy("config", "bv").agg(F.collect_list(F.struct("cid", "fps")).alias("held"))
     streams = recipes.groupBy("config", "bv").agg(F.sort_array(F.collect_list(F.struct("seq", "fp", "size", "cid"))).alias("stream"))
-    jobs = streams.join(asked, ["config", "bv"]).select("config", "bv", "stream", "held", tried).select("config", "bv", "stream", "held", "p.policy", "p.cache_size")
+    # one row a version, and every policy in its task: nothing is sent twice
+    n = int(recipes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    jobs = streams.join(asked, ["config", "bv"]).repartition(n, "config", "bv")
 
     def run(batches):
-        for b in batches:
+        for r in (r for b in batches for i in range(b.num_rows) for r in b.slice(i, 1).to_pylist()):
             out = []
-            for r in b.to_pylist():
-                recipe = [(x["fp"], x["size"], x["cid"]) for x in r["stream"]]
-                content = {h["cid"]: set(h["fps"]) for h in r["held"]}
-                if r["policy"] == "lru":
-                    reads = lru_reads(recipe, content, r["cache_size"])
-                elif r["policy"] == "opt":
-                    reads = optimal_reads(recipe, content, r["cache_size"], window)
+            recipe = [(x["fp"], x["size"], x["cid"]) for x in r["stream"]]
+            content = {h["cid"]: set(h["fps"]) for h in r["held"]}
+            data = sum(x[1] for x in recipe)
+            for policy, size in policies:
+                if policy == "lru":
+                    reads = lru_reads(recipe, content, size)
+                elif policy == "opt":
+                    reads = optimal_reads(recipe, content, size, window)
                 else:
-                    reads = assembly_reads(recipe, content, r["cache_size"], area)
-                data = sum(x[1] for x in recipe)
-                out.append({"config": r["config"], "bv": r["bv"], "policy": r["policy"], "cache_size": r["cache_size"], "data_size": data, "chunk_num": len(recipe), "read_containers": reads, "speed_factor": data / (1048576.0 * reads) if reads else None})
+                    reads = assembly_reads(recipe, content, size, area)
+                out.append({"config": r["config"], "bv": r["bv"], "policy": policy, "cache_size": size, "data_size": data, "chunk_num": len(recipe), "read_containers": reads, "speed_factor": data / (1048576.0 * reads) if reads else None})
             yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("config", pa.string()), ("bv", pa.int32()), ("policy", pa.string()), ("cache_size", pa.int32()), ("data_size", pa.int64()), ("chunk_num", pa.int64()), ("read_containers", pa.int64()), ("speed_factor", pa.float64())]))
 
     return jobs.mapInArrow(run, SCHEMA)
