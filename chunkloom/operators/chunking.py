@@ -228,7 +228,7 @@ def content_chunks(files: DataFrame, cfg: DedupConfig, with_data: bool = False)
 
     picked = files.select(F.col("bv").cast("int"), F.col("file_no").cast("bigint"), "content")
     cores = picked.sparkSession.sparkContext.defaultParallelism
-    if picked.rdd.getNumPartitions() < cores:  # a small input in few row groups; a large one stays where it is
+    if picked.rdd.getNumPartitions() < 2 * cores:  # a small input in few row groups; a large one stays where it is
         picked = picked.repartition(cores, "bv", "file_no")
     return picked.mapInArrow(run, schema)
 
