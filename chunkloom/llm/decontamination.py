@@ -9,7 +9,8 @@ insertions, deletions and replacements away from it.
 2. CGK: each of ``walks`` random walks reads a window from the left, writes the word it stands on, and moves on or stays as a random function of step and word
    says; edit distance turns into Hamming distance, since walks over edited copies meet again after an edit.
 3. Bit sampling: ``tables`` keys for each walk, each of ``bits`` sampled steps, are looked up among the items' keys; any equal key makes a candidate.
-   More walks raise the recall; the tests measure it against brute force (>= 0.95 at the threshold, 1 for exact copies).
+   The number of walks is the least that finds ``target_recall`` of edited copies of the items, which have as many random edits as the threshold allows; fewer edits collide
+   more often, exact copies always. The tests measure recall against brute force.
 4. Candidates are verified by the exact word edit distance.
 
 The benchmark is read in blocks of at most ``BLOCK_WORDS`` words, each sent to the executors with a bound on its size; a larger benchmark takes more blocks.
@@ -22,7 +23,7 @@ each by themselves; ties among windows go to the first of least distance; empty
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
@@ -45,7 +46,9 @@ _PAD = U(0x1234567)
 class LeakParameters:
     similarity: float = 0.8
     min_words: int = 5
-    walks: int = 12
+    #: Share of windows at the threshold that some key finds; ``walks`` follows from it, block by block, unless it is given.
+    target_recall: float = 0.98
+    walks: int = 0
     tables: int = 2
     bits: int = 3
     seed: int = 5
@@ -75,6 +78,8 @@ class LeakIndex:
     key_items: np.ndarray = field(init=False)
 
     def __post_init__(self) -> None:
+        if not self.parameters.walks:
+            self.parameters = replace(self.parameters, walks=walks_needed(self.words, self.parameters))
         p = self.parameters
         self.sizes = np.array([len(w) for w in self.words], np.int64)
         d = p.edits(self.sizes)
@@ -197,6 +202,41 @@ def edit_distances(a: np.ndarray, length: np.ndarray, b: np.ndarray) -> np.ndarr
     return result
 
 
+#: Edited copies that the number of walks is chosen by, and walks that are tried on each.
+TRIALS, TRIED_WALKS = 192, 64
+
+
+def walks_needed(words: list[np.ndarray], p: LeakParameters) -> int:
+    """The least number of walks whose keys find ``target_recall`` of copies edited up to the threshold."""
+    rng = np.random.default_rng([p.seed, 77])
+    picked = [words[i] for i in rng.integers(0, len(words), TRIALS)]
+    index = LeakIndex.__new__(LeakIndex)
+    index.parameters = replace(p, walks=TRIED_WALKS)
+    size = np.array([len(w) for w in picked], np.int64)
+    width = int(size.max())
+    a, b = (np.full((TRIALS, width), _PAD, U) for _ in range(2))
+    for i, w in enumerate(picked):
+        a[i, : len(w)] = w
+        copy = w.tolist()
+        for _ in range(int(p.edits(len(w)))):
+            at, kind, new = int(rng.integers(0, max(len(copy), 1))), int(rng.integers(0, 3)), int(rng.integers(0, 1 << 62))
+            if kind == 0 and copy:
+                copy[at] = new
+            elif kind == 1:
+                copy.insert(at, new)
+            elif copy:
+                del copy[at]
+        copy = copy[: len(w)] + [int(x) for x in rng.integers(0, 1 << 62, max(len(w) - len(copy), 0))]  # the window goes on with other words
+        b[i, : len(w)] = np.array(copy, U)
+    same = (index.embed(a, size, size) == index.embed(b, size, size)).reshape(TRIALS, TRIED_WALKS, p.tables).any(2)
+    # a copy's chance a walk, drawn towards the mean of all so that none counts as impossible
+    chance = (same.sum(1) + same.mean() * 4) / (TRIED_WALKS + 4)
+    for n in range(1, 256):
+        if (1 - (1 - chance) ** n).mean() >= p.target_recall:
+            return n
+    return 256
+
+
 def item_words(texts: list[str | None]) -> list[np.ndarray]:
     out: list[np.ndarray] = []
     for _, _, w, h in lower_words(pa.array(texts, pa.string())):
