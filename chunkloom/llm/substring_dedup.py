@@ -14,8 +14,8 @@ only packed arrays of hashes are shuffled, a row for each chunk and bucket of th
    its first place; a bucket finds the first place of all and answers the chunks whose own first place is not it.
 3. Cut. A window repeats if its chunk holds it earlier, or if the answer names it; overlapping windows join to maximal repeats, whose words go.
 
-A passage that every document shares costs one entry a chunk in the shuffles, not one an occurrence. Windows are compared by 64-bit hashes of random
-polynomials, chosen apart from the data.
+A passage that every document shares costs one entry a chunk in the shuffles, not one an occurrence. Windows are compared by two 64-bit hashes each, polynomials at
+random points chosen apart from the data.
 
 Defined results: null and empty texts have no words and an empty remainder; texts under 20 words never lose a word; a null id counts as larger than all others; rows of the same id are
 ordered as the copied table has them (equal rows: one keeps its words); an empty table gives an empty result; columns other than the id and the text are ignored.
@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import batch_limit, large_binary, shared_dir, slices
-from .textkit import U, Words, covered, windows
+from .textkit import SECOND_BASE, U, Words, covered, windows
 
 WINDOW = 20
 BLOCK = 10
@@ -61,6 +61,20 @@ def bucket_of(h: np.ndarray, buckets: int) -> np.ndarray:
     return ((h >> U(32)) * U(buckets) >> U(32)).astype(np.int64)
 
 
+def firsts(h: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """The first place of each distinct pair, in the order of the pairs."""
+    order = np.argsort(h, kind="stable")
+    a = h[order]
+    tied = np.flatnonzero((a[1:] == a[:-1]) & (second[order][1:] != second[order][:-1]))
+    if len(tied):  # one hash, two texts: the second tells them apart
+        order = np.lexsort((np.arange(len(h)), second, h))
+        a = h[order]
+    b = second[order]
+    new = np.ones(len(h), bool)
+    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    return order[new]
+
+
 def bounds_of(bucket: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]])) if len(bucket) else np.zeros(1, np.int64)
 
@@ -89,6 +103,11 @@ class Chunk:
     def runs(self, size: int) -> tuple[np.ndarray, np.ndarray]:
         return windows(self.words, self.doc, size)
 
+    def pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(place, hash, second hash) of every window."""
+        at, h = self.runs(WINDOW)
+        return at, h, windows(self.words, self.doc, WINDOW, SECOND_BASE)[1]
+
     def anchors(self, shift: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(place, shortened hash, whether a reference block) of runs of BLOCK words in documents of WINDOW words or more."""
         at, key = self.runs(BLOCK)
@@ -158,21 +177,28 @@ def _gathered(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator
         yield held
 
 
-def _answers(chunks: list[int], keys: list[np.ndarray], said: np.ndarray) -> Iterator[pa.RecordBatch]:
-    at, out = 0, {"chunk": [], "keys": []}
+def _answers(chunks: list[int], keys: list[np.ndarray], said: np.ndarray, second: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
+    at, out = 0, {"chunk": [], "keys": [], "second": []}
     for c, k in zip(chunks, keys, strict=True):
-        mine = k[said[at : at + len(k)]]
-        at += len(k)
-        if len(mine):
+        mine = said[at : at + len(k)]
+        if mine.any():
             out["chunk"].append(c)
-            out["keys"].append(pack(mine))
+            out["keys"].append(pack(k[mine]))
+            out["second"].append(b"" if second is None else second[at : at + len(k)][mine].tobytes())
+        at += len(k)
     if out["chunk"]:
-        yield pa.RecordBatch.from_pydict({"chunk": pa.array(out["chunk"], pa.int64()), "keys": pa.array(out["keys"], pa.binary())})
+        yield pa.RecordBatch.from_pydict({"chunk": pa.array(out["chunk"], pa.int64()), "keys": pa.array(out["keys"], pa.binary()), "second": pa.array(out["second"], pa.binary())})
 
 
-def _said(answers: pa.Table) -> np.ndarray:
-    parts = [unpack(x.as_py()) for x in answers.column("keys")]
-    return np.sort(np.concatenate(parts)) if parts else np.zeros(0, U)
+def _said(answers: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Keys in order, and their second hashes where there are any."""
+    keys = [unpack(x.as_py()) for x in answers.column("keys")]
+    second = [np.frombuffer(x.as_py(), U) for x in answers.column("second")]
+    if not keys:
+        return np.zeros(0, U), np.zeros(0, U)
+    key, other = np.concatenate(keys), np.concatenate(second)
+    order = np.argsort(key, kind="stable")
+    return key[order], other[order] if len(other) else other
 
 
 def _member(values: np.ndarray, known: np.ndarray) -> np.ndarray:
@@ -182,6 +208,20 @@ def _member(values: np.ndarray, known: np.ndarray) -> np.ndarray:
     return known[at] == values
 
 
+def _pair_member(h: np.ndarray, second: np.ndarray, known: np.ndarray, others: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(h), bool)
+    ask = np.flatnonzero(_member(h, known))
+    at = np.searchsorted(known, h[ask])
+    while len(ask):
+        out[ask] |= others[at] == second[ask]
+        at = at + 1  # another text of the same first hash
+        on = (at < len(known)) & ~out[ask]
+        ask, at = ask[on], at[on]
+        on = known[at] == h[ask]
+        ask, at = ask[on], at[on]
+    return out
+
+
 def remove_repeats(documents: DataFrame) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_text): kept_text is the words that stay, joined by one space."""
     table, words = chunked(documents)
@@ -220,32 +260,34 @@ def remove_repeats(documents: DataFrame) -> DataFrame:
             return schema.empty_table()
         c = Chunk(t)
         at, short, _ = c.anchors(shift)
-        starts = c.candidates(at[_member(short, _said(answers))])
-        place, h = c.runs(WINDOW)
-        h = h[np.searchsorted(place, starts)]
-        unique, first = np.unique(h, return_index=True)  # the first of equal ones in the order of (id, row, place)
+        starts = c.candidates(at[_member(short, _said(answers)[0])])
+        place, h, second = c.pairs()
+        which = np.searchsorted(place, starts)
+        h, second = h[which], second[which]
+        first = firsts(h, second)  # of equal windows the first in the order of (id, row, place)
         doc = c.doc[starts[first]]
-        return pa.table(_rows(t.column("chunk")[0].as_py(), unique, bucket_of(unique, buckets), [c.ids[doc], (c.row[doc] | (c.void[doc].astype(np.int64) << 62))]), schema=schema)
+        return pa.table(_rows(t.column("chunk")[0].as_py(), h[first], bucket_of(h[first], buckets), [c.ids[doc], second[first]]), schema=schema)
 
     def beaten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for held in _gathered(batches, ["chunk", "keys", "m0", "m1"]):
             keys = [unpack(x) for x in held["keys"]]
-            key, ids, row = np.concatenate(keys), np.frombuffer(b"".join(held["m0"]), np.int64), np.frombuffer(b"".join(held["m1"]), np.int64)
-            order = np.lexsort((row, ids, key))
-            sorted_key = key[order]
+            key, ids, second = np.concatenate(keys), np.frombuffer(b"".join(held["m0"]), np.int64), np.frombuffer(b"".join(held["m1"]), U)
+            # equal ids stand in the order of the chunks, as rows of an id do in the copied table
+            order = np.lexsort((np.repeat(held["chunk"], [len(k) for k in keys]), ids, second, key))
+            a, b = key[order], second[order]
             said = np.zeros(len(key), bool)
-            said[order[1:]] = sorted_key[1:] == sorted_key[:-1]
-            yield from _answers(held["chunk"], keys, said)
+            said[order[1:]] = (a[1:] == a[:-1]) & (b[1:] == b[:-1])
+            yield from _answers(held["chunk"], keys, said, second)
 
     def cut(key: tuple, t: pa.Table, answers: pa.Table) -> pa.Table:
         schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_text", pa.string())])
         if not t.num_rows:
             return schema.empty_table()
         c = Chunk(t)
-        at, h = c.runs(WINDOW)
+        at, h, second = c.pairs()
         repeats = np.ones(len(h), bool)
-        repeats[np.unique(h, return_index=True)[1]] = False
-        repeats |= _member(h, _said(answers))
+        repeats[firsts(h, second)] = False
+        repeats |= _pair_member(h, second, *_said(answers))
         gone = covered(at[repeats], WINDOW, len(c.words))
         texts = []
         for i, text in enumerate(c.texts):
@@ -259,7 +301,7 @@ def remove_repeats(documents: DataFrame) -> DataFrame:
     def dealt(df: DataFrame) -> DataFrame:
         return df.repartition(wide, "bucket").sortWithinPartitions("bucket")
 
-    answer = "chunk bigint, keys binary"
+    answer = "chunk bigint, keys binary, second binary"
     probes = table.groupBy("chunk").applyInArrow(probe, "bucket bigint, chunk bigint, keys binary, m0 binary")
     hits = dealt(probes).mapInArrow(hit, answer)
     found = table.groupBy("chunk").cogroup(hits.groupBy("chunk")).applyInArrow(extend, "bucket bigint, chunk bigint, keys binary, m0 binary, m1 binary")

@@ -17,6 +17,7 @@ _rng = np.random.default_rng(20240229)
 BASE = int(_rng.integers(1 << 62, dtype=np.int64)) * 2 + 1
 BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.int64).astype(U)
 WORD_BASE = int(_rng.integers(1 << 62, dtype=np.int64)) * 2 + 1
+SECOND_BASE = int(_rng.integers(1 << 62, dtype=np.int64)) * 2 + 1
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
@@ -89,14 +90,14 @@ class Words:
         return span_hash(sums, self.start, self.end, BASE)
 
 
-def windows(words: np.ndarray, doc: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+def windows(words: np.ndarray, doc: np.ndarray, size: int, base: int = WORD_BASE) -> tuple[np.ndarray, np.ndarray]:
     """(position, hash) of each run of ``size`` words that lies in one text."""
     n = len(words) - size + 1
     if n <= 0:
         return np.zeros(0, np.int64), np.zeros(0, U)
     at = np.flatnonzero(doc[:n] == doc[size - 1 :])
-    sums = prefix(words, WORD_BASE)
-    return at, span_hash(sums, at, at + size, WORD_BASE)
+    sums = prefix(words, base)
+    return at, span_hash(sums, at, at + size, base)
 
 
 def per_doc(values: np.ndarray, first: np.ndarray) -> np.ndarray:

@@ -70,3 +70,12 @@ def test_packing_round_trip():
     v = np.unique(rng.integers(0, 1 << 63, 1000, dtype=np.int64)).astype(np.uint64) * np.uint64(2)
     assert (sd.unpack(sd.pack(v)) == v).all()
     assert len(sd.unpack(sd.pack(v[:0]))) == 0
+
+
+def test_one_first_hash_for_two_texts(spark, monkeypatch):
+    """If first hashes collide, the second ones still tell windows apart."""
+    h = np.array([5, 5, 9, 5, 9, 5], np.uint64)
+    second = np.array([1, 2, 7, 1, 7, 2], np.uint64)
+    assert sorted(sd.firsts(h, second).tolist()) == [0, 1, 2]
+    known, others = np.array([5, 5, 9], np.uint64), np.array([2, 3, 8], np.uint64)
+    assert sd._pair_member(h, second, known, others).tolist() == [False, True, False, False, False, True]
