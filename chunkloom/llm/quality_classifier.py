@@ -145,11 +145,18 @@ def classify_quality(documents: DataFrame, labels: DataFrame, n_features: int =
     return out, model
 
 
-def filter_quality(documents: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """``documents`` without the rows that the classifier rejects. Rows are scored in place: no join brings the texts together again."""
-    stats = written(text_stats(documents, ["doc_id"]).drop("stats_counts"), "quality-stats")
-    train = training_rows(stats, labels, "quality", 3, 1).withColumn("__fold", F.floor(F.crc32(F.col("doc_id").cast("string")) / F.lit(3)))
-    model = fit_quality(train, "__y", "__fold")
+def filter_quality(documents: DataFrame, labels: DataFrame, threshold: float = 0.5, max_rows: int = 200_000) -> DataFrame:
+    """``documents`` without the rows that the classifier rejects. Rows are scored in place: no join brings the texts together again.
+
+    The model is fitted on at most about ``max_rows`` labelled rows, drawn by a hash of the id, so that the statistics of all texts are taken once, not twice.
+    """
+    known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & F.coalesce(id_remainder("doc_id", 3) != 1, F.lit(False)))
+    known = known.select("doc_id", F.col("quality").alias("__y")).dropDuplicates(["doc_id"])
+    draw = F.pmod(F.xxhash64("doc_id", F.lit(41)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    sample = written(known.where(draw < F.lit(min(1.0, max_rows / max(known.count(), 1)))), "quality-sample")
+    picked = documents.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(sample), "doc_id")  # max_rows ids and labels
+    train = written(text_stats(picked, ["doc_id", "__y"]).drop("stats_counts"), "quality-train")
+    model = fit_quality(train.withColumn("__fold", F.floor(F.crc32(F.col("doc_id").cast("string")) / F.lit(3))), "__y", "__fold")
     batch_limit(documents.sparkSession)
     names = documents.columns
     rows = documents.select(*[F.col(f"`{c}`").alias(f"__c{i}") for i, c in enumerate(names)], F.col("text").cast("string").alias("__text"))
