@@ -419,3 +419,39 @@ SELECT bv, file_no, 2, chunk_no, fp || ' ' || size::VARCHAR FROM ch UNION ALL SE
 def trace_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = snapshots.document_files(spark, sf_dir)
     return _long(trace.trace_lines(chunking.fixed_chunks(files, CHUNK), files), "bv", "part")
+
+
+# ---- predicates, sets, containers
+
+
+@query("""WITH e AS (SELECT event_id, event_id % 2 = 1 AS dup, (event_id // 2) % 2 = 1 AS denied, (event_id // 4) % 2 = 1 AS sparse, (event_id // 8) % 2 = 1 AS ooo, (event_id // 16) % 2 = 1 AS cached, (event_id // 32) % 2 = 1 AS sw FROM events)
+SELECT event_id, (NOT dup OR (NOT denied AND (sparse OR (sw AND ooo AND NOT cached)))) AS written,
+(CASE WHEN dup THEN 256 ELSE 0 END + CASE WHEN sparse THEN 512 ELSE 0 END + CASE WHEN ooo THEN 1024 ELSE 0 END + CASE WHEN cached THEN 2048 ELSE 0 END + CASE WHEN denied THEN 4096 ELSE 0 END)::INT AS state FROM e""")
+def write_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The write predicate over all combinations of marks, and the marks as bits."""
+    bit = lambda i: F.pmod(F.floor(F.col("event_id") / (1 << i)), F.lit(2)) == 1
+    dup, denied, sparse, ooo, cached, switch = (bit(i) for i in range(6))
+    e = snapshots.table(spark, sf_dir, "events")
+    return e.select("event_id", fx.write_predicate(dup, denied, sparse, ooo, cached, switch).alias("written"), fx.state_bits(is_dup=dup, is_sparse=sparse, is_ooo=ooo, in_cache=cached, rewrite_denied=denied).alias("state"))
+
+
+@query(f"{_RECIPE} SELECT cid, fp, size AS len FROM pk")
+def container_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks cut out of whole containers by their entries, known again by their hashes."""
+    from ..operators import restore
+    from .workspace import packing_offsets
+
+    rows = chunking.with_seq(chunking.fixed_chunks(snapshots.document_files(spark, sf_dir), CHUNK, with_data=True))
+    stored = rows.groupBy("fp").agg(F.min(F.struct("bv", "seq", "size", "data")).alias("f")).select("fp", "f.bv", "f.seq", "f.size", "f.data")
+    packed = packing_offsets(packing.simple_pack(stored, CAPACITY))
+    entries = packed.select("cid", "fp", "off", F.col("size").alias("len"))
+    cut = restore.chunk_from_container(restore.container_payload(packed), entries)
+    return cut.select("cid", fx.encode_hex(fx.fingerprint(F.col("data"))).alias("fp"), F.octet_length("data").cast("bigint").alias("len"))
+
+
+@query(f"{_RANDOM}, d AS (SELECT *, row_number() OVER (PARTITION BY fp ORDER BY bv, seq) AS k FROM sg) SELECT bv, segment_no, feature FROM ft UNION SELECT bv, segment_no, fp FROM d WHERE k = 1")
+def exact_logical_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What an exact index over segments learns of each: its sampled features and the fingerprints it is the first to hold."""
+    segmented = segmenting.fixed_segments(_fixed(spark, sf_dir), SEGMENT)
+    new = lookup.first_occurrences(segmented).select("bv", F.floor(F.col("seq") / SEGMENT).alias("segment_no"), F.col("fp").alias("feature"))
+    return _long(_hex(sampling.sample_random(segmented, ["bv", "segment_no"], RATIO).unionByName(new).distinct(), "feature"), "bv")

@@ -88,6 +88,8 @@ def test_traces_store_what_payload_stores(spark, tmp_path):
     b.backup_trace(f"{tmp_path}/t")
     same = lambda w: w.stat().select("chunks", "data_size", "unique_chunks", "stored_size").first()
     assert same(a) == same(b)
+    with pytest.raises(ValueError):  # a store without payload can't be restored from later
+        Workspace(spark, cfg, f"{tmp_path}/b")
 
 
 def test_command_line(spark, tmp_path, capsys):
