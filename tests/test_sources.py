@@ -106,3 +106,36 @@ def test_store(spark, tmp_path):
     assert {r.file_no: bytes(r.content) for r in out.collect()} == want
     store.reset(spark, root)
     assert store.next_version(spark, root) == 0
+
+
+def test_binary_store_round_trip(spark, tmp_path):
+    from chunkloom.sources import binary_store as bs
+
+    chunks = [(rng.randbytes(20), rng.randbytes(rng.randint(1, 900))) for _ in range(30)]
+    pool = [(0, chunks[:10]), (1, chunks[10:29]), (2, chunks[29:])]
+    (tmp_path / "pool").write_bytes(bs.build_pool(pool))
+    (tmp_path / "dirs").write_bytes(bs.build_pool(pool, directory_only=True))
+    want = {(cid, fp, len(d)) for cid, own in pool for fp, d in own}
+    for name, only in (("pool", False), ("dirs", True)):
+        assert {(r.cid, bytes(r.fp), r.len) for r in bs.read_entries(spark, str(tmp_path / name), only).collect()} == want
+    got = restore.chunk_from_container(bs.read_payload(spark, str(tmp_path / "pool")), bs.read_entries(spark, str(tmp_path / "pool"))).collect()
+    assert {(r.cid, bytes(r.fp), bytes(r.data)) for r in got} == {(cid, fp, d) for cid, own in pool for fp, d in own}
+    with pytest.raises(ValueError):
+        bs.build_pool([(0, [(bytes(20), bytes(4_200_000))])])
+
+    pointers = [(fp, cid, len(d)) for cid, own in pool for fp, d in own]
+    (tmp_path / "r").write_bytes(bs.build_recipe([pointers[:7], pointers[7:30]]))
+    rows = bs.read_recipe(spark, str(tmp_path / "r")).orderBy("seq").collect()
+    assert [(bytes(r.fp), r.cid, r.size) for r in rows] == pointers and [r.segment_no for r in rows] == [0] * 7 + [1] * 23
+
+    (tmp_path / "m").write_bytes(bs.build_meta(4, "/p/ü/", True, 30, [("a", 7, 100), ("ü/empty", 0, 0)]))
+    assert tuple(bs.read_version(spark, str(tmp_path / "m")).first()) == (4, "/p/ü/", True, 2, 30)
+    assert [tuple(r) for r in bs.read_file_recipes(spark, str(tmp_path / "m")).orderBy("file_no").collect()] == [(0, "a", 7, 100), (1, "ü/empty", 0, 0)]
+
+    (tmp_path / "a").write_bytes(bs.build_records([0, 1, 0, 2]))
+    assert [r.cid for r in bs.read_records(spark, str(tmp_path / "a")).orderBy("record").collect()] == [0, 1, 0, 2]
+
+    index = {rng.randbytes(20): [5, 3], rng.randbytes(20): [9]}
+    (tmp_path / "i").write_bytes(bs.build_index(index, 2))
+    got = sorted((bytes(r.feature), r.ord, r.unit_id) for r in bs.read_index(spark, str(tmp_path / "i")).collect())
+    assert got == sorted((k, i, u) for k, units in index.items() for i, u in enumerate(units))
