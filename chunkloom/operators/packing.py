@@ -71,7 +71,7 @@ def access_records(recipe: DataFrame) -> DataFrame:
     """The containers a restore asks for, in order, repeats in a row once: (bv, record, cid)."""
     order = Window.partitionBy("bv").orderBy("seq")
     turns = recipe.withColumn("__last", F.lag("cid").over(order)).where(F.col("__last").isNull() | (F.col("__last") != F.col("cid")))
-    return turns.select("bv", "seq", "cid").withColumn("record", F.row_number().over(order) - 1)
+    return turns.select("bv", "seq", "cid").withColumn("record", (F.row_number().over(order) - 1).cast("bigint"))
 
 
 def next_use(records: DataFrame) -> DataFrame:

@@ -418,7 +418,7 @@ l AS (SELECT bv, file_no, 0 AS part, 0::BIGINT AS chunk_no, 'file start ' || len
 SELECT bv, file_no, 2, chunk_no, fp || ' ' || size::VARCHAR FROM ch UNION ALL SELECT bv, file_no, 3, 0, 'file end' FROM nm UNION ALL SELECT DISTINCT bv, 4611686018427387904, 4, 0::BIGINT, 'stream end' FROM nm) SELECT bv, file_no, part, chunk_no, line FROM l""")
 def trace_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = snapshots.document_files(spark, sf_dir)
-    return _long(trace.trace_lines(chunking.fixed_chunks(files, CHUNK), files), "bv", "part")
+    return _long(trace.trace_lines(chunking.fixed_chunks(files, CHUNK), files), "bv")
 
 
 # ---- predicates, sets, containers
