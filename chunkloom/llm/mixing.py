@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from .shared import written
 
 WORD = r"[^\x20\x09-\x0D]+"
-FAN_IN = 192
+FAN_IN = 1024
 #: Of a group's units in the order of their lengths, each KEEP-th goes up unmet, so that the root still has short ones to even out a long one.
 KEEP = 12
 #: Levels of the tree at most: each shrinks it by FAN_IN / (FAN_IN / KEEP + 1), over 11.
