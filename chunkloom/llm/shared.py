@@ -49,8 +49,9 @@ def extended(schema: StructType, more: str) -> StructType:
 
 
 def batch_limit(spark: SparkSession) -> None:
-    """Arrow batches of whole texts are kept small, so that a Python worker's memory doesn't follow the text length."""
+    """Arrow batches of whole texts are kept small, in rows and in bytes, so that a Python worker's memory doesn't follow the text length."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
 
 
 def large_binary(column: pa.ChunkedArray | pa.Array) -> pa.Array:

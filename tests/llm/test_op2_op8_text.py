@@ -3,7 +3,6 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
-import pyarrow as pa
 import pytest
 
 from chunkloom.llm import language_id as li
@@ -52,7 +51,6 @@ def brute_probability(texts, order=li.ORDER):
 
 
 def pairs(texts):
-    data = " \0".join(texts).encode()
     sizes = [len(t.encode()) for t in texts]
     at = np.concatenate([[0], np.cumsum(sizes)])
     return np.frombuffer("".join(texts).encode(), np.uint8), at
