@@ -2,23 +2,24 @@
 
 from __future__ import annotations
 
-import pyarrow as pa
+from collections.abc import Iterator
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DedupConfig
+from .ordered import ordered_fold
 
 
-def pack_sizes(sizes: list[int], capacity: int, entries: int) -> list[int]:
-    """The container (from 0) of each chunk: a new one when bytes or directory entries would not fit."""
-    out, at, used, n = [], 0, 0, 0
-    for s in sizes:
-        if n and (used + s > capacity or n + 1 > entries):
+def next_fit(rows: Iterator[tuple], capacity: int, entries: int) -> Iterator[tuple]:
+    """(container from 0, offset, row) of rows that end in their size: a new container when bytes or directory entries would not fit."""
+    at, used, n = 0, 0, 0
+    for r in rows:
+        if n and (used + r[-1] > capacity or n + 1 > entries):
             at, used, n = at + 1, 0, 0
-        out.append(at)
-        used += s
+        yield at, used, r
+        used += r[-1]
         n += 1
-    return out
 
 
 def pack_containers(stored: DataFrame, cfg: DedupConfig) -> DataFrame:
@@ -28,18 +29,11 @@ def pack_containers(stored: DataFrame, cfg: DedupConfig) -> DataFrame:
     """
     capacity, entries = cfg.container_data, cfg.container_entries
 
-    def fold(key: tuple, t: pa.Table) -> pa.Table:
-        t = t.sort_by("seq")
-        sizes = t.column("size").to_pylist()
-        local = pack_sizes(sizes, capacity, entries)
-        off, last, at = [], -1, 0
-        for c, s in zip(local, sizes, strict=True):
-            at = 0 if c != last else at
-            off.append(at)
-            at, last = at + s, c
-        return pa.table({"bv": t.column("bv").cast(pa.int32()), "seq": t.column("seq"), "fp": t.column("fp"), "size": t.column("size").cast(pa.int32()), "local": pa.array(local, pa.int64()), "off": pa.array(off, pa.int32())})
-
-    packed = stored.select("bv", "seq", "fp", "size").groupBy("bv").applyInArrow(fold, "bv int, seq bigint, fp binary, size int, local bigint, off int")
+    def fold(key: tuple, rows: Iterator[tuple]) -> Iterator[tuple]:
+        for at, off, r in next_fit(rows, capacity, entries):
+            yield *r, at, off
+
+    packed = ordered_fold(stored.select(F.col("bv").cast("int"), F.col("seq").cast("bigint"), "fp", F.col("size").cast("int")), ["bv"], ["seq"], "bv int, seq bigint, fp binary, size int, local bigint, off int", fold)
     per = packed.groupBy("bv").agg((F.max("local") + 1).alias("n"))
     base = per.select(F.col("bv").alias("__bv"), F.coalesce(F.sum("n").over(Window.orderBy("bv").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__base"))
     return packed.join(F.broadcast(base), F.col("bv") == F.col("__bv")).withColumn("cid", F.col("local") + F.col("__base")).drop("__bv", "__base", "local")

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-import pyarrow as pa
+from collections.abc import Iterable, Iterator
+from itertools import tee
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DedupConfig
 from ..functions.fingerprints import tail
+from .ordered import ordered_fold
 
 
 def fixed_segments(chunks: DataFrame, n: int) -> DataFrame:
@@ -26,33 +29,26 @@ def content_segments_simple(chunks: DataFrame, average: int) -> DataFrame:
     return chunks.withColumn("segment_no", F.sum(opens.cast("bigint")).over(order))
 
 
-def segment_lengths(tails: list[int], average: int, low: int, high: int) -> list[int]:
+def segment_numbers(tails: Iterable[int], average: int, low: int, high: int) -> Iterator[int]:
     """Content-defined with bounds: below ``low`` chunks nothing closes; then a divisible tail closes before its chunk, and ``high`` chunks close after."""
-    out, held = [], 0
+    number, held = 0, 0
     for t in tails:
-        if held and held >= low and t % average == 0:
-            out.append(held)
-            held = 0
+        if held >= max(high, 1) or held and held >= low and t % average == 0:
+            number, held = number + 1, 0
         held += 1
-        if held >= max(high, 1):
-            out.append(held)
-            held = 0
-    if held:
-        out.append(held)
-    return out
+        yield number
 
 
 def content_segments(chunks: DataFrame, average: int, low: int, high: int) -> DataFrame:
     """A fold over each version's stream: boundaries depend on where the last one fell. Only (seq, tail) enter it."""
-    marks = chunks.select("bv", "seq", tail(F.col("fp")).alias("t"))
+    marks = chunks.select(F.col("bv").cast("int").alias("bv"), F.col("seq").cast("bigint").alias("seq"), tail(F.col("fp")).alias("t"))
 
-    def fold(key: tuple, t: pa.Table) -> pa.Table:
-        t = t.sort_by("seq")
-        sizes = segment_lengths(t.column("t").to_pylist(), average, low, high)
-        number = [i for i, n in enumerate(sizes) for _ in range(n)]
-        return pa.table({"__bv": t.column("bv").cast(pa.int32()), "__seq": t.column("seq"), "segment_no": pa.array(number, pa.int64())})
+    def fold(key: tuple, rows: Iterator[tuple]) -> Iterator[tuple]:
+        mine, ahead = tee(rows)
+        for (bv, seq, _), number in zip(mine, segment_numbers((r[2] for r in ahead), average, low, high), strict=True):
+            yield bv, seq, number
 
-    found = marks.groupBy("bv").applyInArrow(fold, "__bv int, __seq bigint, segment_no bigint")
+    found = ordered_fold(marks, ["bv"], ["seq"], "__bv int, __seq bigint, segment_no bigint", fold)
     return chunks.join(found, (F.col("bv") == F.col("__bv")) & (F.col("seq") == F.col("__seq"))).drop("__bv", "__seq")
 
 

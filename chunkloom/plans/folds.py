@@ -3,15 +3,16 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 from dataclasses import replace
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import PRESETS, SMALL, DedupConfig, as_rows, parse_config
 from ..functions import fingerprints as fx
 from ..operators import chunking, lookup, packing, segmenting
+from ..operators.ordered import ordered_fold
 from ..sources import snapshots
 from . import backup, restore
 from .catalog import _CH, _FIRST, _RECORDS, _SEG, _TAIL, CAPACITY, CHUNK, _fixed, _hex, _long, _recipe, query
@@ -148,11 +149,10 @@ def lru_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Misses of a cache of 4 containers over each version's accesses, and the fragmentation level they mean."""
     recipe = _recipe(spark, sf_dir)
 
-    def fold(key: tuple, t: pa.Table) -> pa.Table:
-        t = t.sort_by("record")
-        return pa.table({"__bv": pa.array([key[0].as_py()], pa.int32()), "read_containers": pa.array([restore.lru_misses(t.column("cid").to_pylist(), 4)], pa.int64())})
+    def fold(key: tuple, rows: Iterator[tuple]) -> Iterator[tuple]:
+        yield key[0], restore.lru_misses((r[2] for r in rows), 4)
 
-    misses = packing.access_records(recipe).select("bv", "record", "cid").groupBy("bv").applyInArrow(fold, "__bv int, read_containers bigint")
+    misses = ordered_fold(packing.access_records(recipe).select("bv", "record", "cid"), ["bv"], ["record"], "__bv int, read_containers bigint", fold)
     totals = recipe.groupBy("bv").agg(F.sum("size").alias("s"), F.count("*").alias("n"))
     out = totals.join(misses, F.col("bv") == F.col("__bv"))
     return _long(out.select("bv", "read_containers", fx.fragmentation_level(F.col("s"), F.col("n"), F.col("read_containers")).alias("cfl"), fx.speed_factor(F.col("s"), F.col("read_containers")).alias("speed_factor")), "bv")

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import heapq
 from collections import OrderedDict
+from collections.abc import Iterable, Iterator
 
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.ordered import ordered_fold
+
 AREA = 4 * 1024 * 1024
 
 
@@ -105,33 +107,33 @@ def simulate(recipes: DataFrame, policies: list[tuple[str, int]], window: int =
 
     What a container holds is taken from all recipes of the configuration: the chunks that were ever located there.
     """
-    stored = recipes.select("config", "cid", "fp").distinct().groupBy("config", "cid").agg(F.collect_list("fp").alias("fps"))
-    asked = recipes.select("config", "bv", "cid").distinct().join(stored, ["config", "cid"]).groupBy("config", "bv").agg(F.collect_list(F.struct("cid", "fps")).alias("held"))
-    streams = recipes.groupBy("config", "bv").agg(F.sort_array(F.collect_list(F.struct("seq", "fp", "size", "cid"))).alias("stream"))
-    # one row a version, and every policy in its task: nothing is sent twice
-    n = int(recipes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    jobs = streams.join(asked, ["config", "bv"]).repartition(n, "config", "bv")
-
-    def run(batches):
-        for r in (r for b in batches for i in range(b.num_rows) for r in b.slice(i, 1).to_pylist()):
-            out = []
-            recipe = [(x["fp"], x["size"], x["cid"]) for x in r["stream"]]
-            content = {h["cid"]: set(h["fps"]) for h in r["held"]}
-            data = sum(x[1] for x in recipe)
-            for policy, size in policies:
-                if policy == "lru":
-                    reads = lru_reads(recipe, content, size)
-                elif policy == "opt":
-                    reads = optimal_reads(recipe, content, size, window)
-                else:
-                    reads = assembly_reads(recipe, content, size, area)
-                out.append({"config": r["config"], "bv": r["bv"], "policy": policy, "cache_size": size, "data_size": data, "chunk_num": len(recipe), "read_containers": reads, "speed_factor": data / (1048576.0 * reads) if reads else None})
-            yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("config", pa.string()), ("bv", pa.int32()), ("policy", pa.string()), ("cache_size", pa.int32()), ("data_size", pa.int64()), ("chunk_num", pa.int64()), ("read_containers", pa.int64()), ("speed_factor", pa.float64())]))
-
-    return jobs.mapInArrow(run, SCHEMA)
-
-
-def lru_misses(keys: list, size: int) -> int:
+    # a version's stream comes behind what the containers that it names hold, and every policy runs in its task: nothing is sent twice
+    held = recipes.select("config", "cid", "fp").distinct()
+    asked = recipes.select("config", "bv", "cid").distinct().join(held, ["config", "cid"]).select("config", "bv", F.lit(0).alias("part"), F.lit(0).cast("bigint").alias("seq"), "fp", F.lit(0).alias("size"), "cid")
+    stream = recipes.select("config", "bv", F.lit(1).alias("part"), "seq", "fp", F.col("size").cast("int").alias("size"), "cid")
+
+    def fold(key: tuple, rows: Iterator[tuple]) -> Iterator[tuple]:
+        content: dict[int, set[bytes]] = {}
+        recipe: list[tuple[bytes, int, int]] = []
+        for _, _, part, _, fp, size, cid in rows:
+            if part:
+                recipe.append((fp, size, cid))
+            else:
+                content.setdefault(cid, set()).add(fp)
+        data = sum(x[1] for x in recipe)
+        for policy, size in policies:
+            if policy == "lru":
+                reads = lru_reads(recipe, content, size)
+            elif policy == "opt":
+                reads = optimal_reads(recipe, content, size, window)
+            else:
+                reads = assembly_reads(recipe, content, size, area)
+            yield *key, policy, size, data, len(recipe), reads, data / (1048576.0 * reads) if reads else None
+
+    return ordered_fold(asked.unionByName(stream), ["config", "bv"], ["part", "seq"], SCHEMA, fold)
+
+
+def lru_misses(keys: Iterable, size: int) -> int:
     """Misses of a plain cache of ``size`` units: an access misses if as many others or more came since its last one."""
     cache: OrderedDict = OrderedDict()
     misses = 0
