@@ -163,7 +163,9 @@ POLICIES = [(p, s) for p in ("lru", "opt", "asm") for s in (2, 4, 8)]
 
 def _simulated(spark: SparkSession, sf_dir: str, policies: list[tuple[str, int]]) -> DataFrame:
     rows = backup.replayed_recipes(_fixed(spark, sf_dir), {k: v for k, v in rewriters().items() if k in ("none", "har")})
-    return restore.simulate(rows, policies, area=CAPACITY)
+    path = f"{work_dir(spark)}/recipes-{uuid.uuid4().hex}"
+    rows.write.parquet(path)  # a backup is replayed once, as a store keeps its recipes
+    return restore.simulate(spark.read.parquet(path), policies, area=CAPACITY)
 
 
 @query()
