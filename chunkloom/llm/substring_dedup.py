@@ -157,7 +157,7 @@ def chunked(documents: DataFrame) -> tuple[DataFrame, int]:
     buckets = int(min(99_999, max(size // CHUNK_BYTES + 1, int(spark.conf.get("spark.sql.shuffle.partitions")))))
     name = f"chunks_{uuid.uuid4().hex}"
     out = picked.mapInArrow(run, "chunk bigint, row bigint, doc_id bigint, text string")
-    out.write.bucketBy(buckets, "chunk").option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
+    out.write.bucketBy(buckets, "chunk").option("compression", "zstd").option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
     return spark.table(name), size // 4
 
 
