@@ -15,7 +15,7 @@ only packed arrays of hashes are shuffled, a row for each chunk and bucket of th
 3. Cut. A window repeats if its chunk holds it earlier, or if the answer names it; overlapping windows join to maximal repeats, whose words go.
 
 A passage that every document shares costs one entry a chunk in the shuffles, not one an occurrence. Windows are compared by two 64-bit hashes each, polynomials at
-random points chosen apart from the data.
+random points chosen apart from the data, of which 96 bits travel.
 
 Defined results: null and empty texts have no words and an empty remainder; texts under 20 words never lose a word; a null id counts as larger than all others; rows of the same id are
 ordered as the copied table has them (equal rows: one keeps its words); an empty table gives an empty result; columns other than the id and the text are ignored.
@@ -46,15 +46,20 @@ def pack(values: np.ndarray) -> bytes:
     """Sorted distinct unsigned values as differences, byte plane by byte plane (high planes are mostly zero and compress away)."""
     if not len(values):
         return b""
-    d = np.diff(values, prepend=U(0)).astype("<u8")
-    return np.ascontiguousarray(d.view(np.uint8).reshape(-1, 8).T).tobytes()
+    return planes(np.diff(values, prepend=U(0)))
 
 
 def unpack(raw: bytes) -> np.ndarray:
-    if not raw:
-        return np.zeros(0, U)
-    planes = np.frombuffer(raw, np.uint8).reshape(8, -1)
-    return np.cumsum(np.ascontiguousarray(planes.T).view("<u8").ravel(), dtype=U)
+    return np.cumsum(unplanes(raw), dtype=U)
+
+
+def planes(values: np.ndarray) -> bytes:
+    """64-bit values, all lowest bytes first."""
+    return np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
+def unplanes(raw: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, -1).T).view("<u8").ravel()
 
 
 def bucket_of(h: np.ndarray, buckets: int) -> np.ndarray:
@@ -104,9 +109,9 @@ class Chunk:
         return windows(self.words, self.doc, size)
 
     def pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(place, hash, second hash) of every window."""
+        """(place, hash, half of a second hash) of every window."""
         at, h = self.runs(WINDOW)
-        return at, h, windows(self.words, self.doc, WINDOW, SECOND_BASE)[1]
+        return at, h, (windows(self.words, self.doc, WINDOW, SECOND_BASE)[1] >> U(32)).astype(np.uint32)
 
     def anchors(self, shift: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(place, shortened hash, whether a reference block) of runs of BLOCK words in documents of WINDOW words or more."""
@@ -126,10 +131,10 @@ class Chunk:
 
 
 def _rows(chunk: int, keys: np.ndarray, buckets: np.ndarray, more: list[np.ndarray]) -> dict[str, list]:
-    """Keys (sorted by bucket) cut to a row a bucket."""
+    """Keys (sorted by bucket) cut to a row a bucket; 64-bit columns go plane by plane."""
     b = bounds_of(buckets)
     cut = list(zip(b[:-1].tolist(), b[1:].tolist(), strict=True))
-    return {"bucket": [int(buckets[s]) for s, _ in cut], "chunk": [chunk] * len(cut), "keys": [pack(keys[s:e]) for s, e in cut]} | {f"m{i}": [x[s:e].tobytes() for s, e in cut] for i, x in enumerate(more)}
+    return {"bucket": [int(buckets[s]) for s, _ in cut], "chunk": [chunk] * len(cut), "keys": [pack(keys[s:e]) for s, e in cut]} | {f"m{i}": [planes(x[s:e]) if x.itemsize == 8 else x[s:e].tobytes() for s, e in cut] for i, x in enumerate(more)}
 
 
 def chunked(documents: DataFrame) -> tuple[DataFrame, int]:
@@ -193,9 +198,9 @@ def _answers(chunks: list[int], keys: list[np.ndarray], said: np.ndarray, second
 def _said(answers: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     """Keys in order, and their second hashes where there are any."""
     keys = [unpack(x.as_py()) for x in answers.column("keys")]
-    second = [np.frombuffer(x.as_py(), U) for x in answers.column("second")]
+    second = [np.frombuffer(x.as_py(), np.uint32) for x in answers.column("second")]
     if not keys:
-        return np.zeros(0, U), np.zeros(0, U)
+        return np.zeros(0, U), np.zeros(0, np.uint32)
     key, other = np.concatenate(keys), np.concatenate(second)
     order = np.argsort(key, kind="stable")
     return key[order], other[order] if len(other) else other
@@ -271,7 +276,7 @@ def remove_repeats(documents: DataFrame) -> DataFrame:
     def beaten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for held in _gathered(batches, ["chunk", "keys", "m0", "m1"]):
             keys = [unpack(x) for x in held["keys"]]
-            key, ids, second = np.concatenate(keys), np.frombuffer(b"".join(held["m0"]), np.int64), np.frombuffer(b"".join(held["m1"]), U)
+            key, ids, second = np.concatenate(keys), np.concatenate([unplanes(x) for x in held["m0"]]).view(np.int64), np.frombuffer(b"".join(held["m1"]), np.uint32)
             # equal ids stand in the order of the chunks, as rows of an id do in the copied table
             order = np.lexsort((np.repeat(held["chunk"], [len(k) for k in keys]), ids, second, key))
             a, b = key[order], second[order]
