@@ -5,12 +5,13 @@ item of n words if one of its windows of n consecutive words (the whole document
 insertions, deletions and replacements away from it.
 
 1. Windows. By the pigeonhole principle a window within d edits of an item shares an unbroken run of ceil((n - d) / (d + 1)) words with it; windows that share
-   no run of that size (4 words at most are asked for) can't match and are not embedded. A shared run at item offset q proposes the window that puts it at q.
+   no run of that size (4 words at most are asked for) can't match and are not embedded. Insertions and deletions before the run shift it, in a window as long as
+   the item by floor(d / 2) words at most: a shared run at item offset q proposes all windows that put it at q - floor(d / 2) to q + floor(d / 2).
 2. CGK: each of ``walks`` random walks reads a window from the left, writes the word it stands on, and moves on or stays as a random function of step and word
    says; edit distance turns into Hamming distance, since walks over edited copies meet again after an edit.
 3. Bit sampling: ``tables`` keys for each walk, each of ``bits`` sampled steps, are looked up among the items' keys; any equal key makes a candidate.
-   The number of walks is the least that finds ``target_recall`` of edited copies of the items, which have as many random edits as the threshold allows; fewer edits collide
-   more often, exact copies always. The tests measure recall against brute force.
+   The number of walks is the least that finds ``target_recall`` of copies of the items with as many edits as the threshold allows, whatever class of lengths they are of; fewer
+   edits collide more often, exact copies always. The tests measure recall against brute force, and at the threshold item length by item length.
 4. Candidates are verified by the exact word edit distance.
 
 The benchmark is read in blocks of at most ``BLOCK_WORDS`` words, each sent to the executors with a bound on its size; a larger benchmark takes more blocks.
@@ -150,10 +151,7 @@ class LeakIndex:
         if not starts or not sum(map(len, starts)):
             return none, none, none, none
         start, doc, item = np.concatenate(starts), np.concatenate(docs), np.concatenate(item)
-        size = self.sizes[item]
-        lo, hi = w.first[doc], w.first[doc + 1]
-        start = np.maximum(np.minimum(start, hi - size), lo)
-        seen = np.unique(np.stack([doc, start, size], 1), axis=0)
+        seen = self._proposed(w, doc, start, self.sizes[item])
         found = [self._verify(w, h, seen[i : i + 4096]) for i in range(0, len(seen), 4096)]
         doc, item, start, distance = (np.concatenate(x) for x in zip(*found, strict=True))
         order = np.lexsort((start, distance, item, doc))
@@ -162,6 +160,23 @@ class LeakIndex:
         best[1:] = (doc[1:] != doc[:-1]) | (item[1:] != item[:-1])
         return doc[best], item[best], (start - w.first[doc])[best], distance[best]
 
+    def _proposed(self, w: Words, doc: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """(text, first word, size) of every window that unbalanced edits can shift a run to: each one once."""
+        shift = self.parameters.edits(size) // 2
+        lo = w.first[doc]
+        top = np.maximum(w.first[doc + 1] - size, lo)
+        # intervals of starts, side by side for each size, are merged before they are spread out
+        n = len(w) + 1
+        a = np.clip(start - shift, lo, top) + size * n
+        b = np.clip(start + shift, lo, top) + size * n
+        order = np.argsort(a, kind="stable")
+        a, b = a[order], np.maximum.accumulate(b[order])
+        first = np.concatenate([[True], a[1:] > b[:-1]])
+        a, b = a[first], b[np.append(np.flatnonzero(first)[1:] - 1, len(b) - 1)]
+        count = b - a + 1
+        at = np.repeat(a - np.cumsum(count) + count, count) + np.arange(count.sum())
+        return np.stack([w.doc[at % n], at % n, at // n], 1)
+
     def _verify(self, w: Words, h: np.ndarray, seen: np.ndarray) -> tuple[np.ndarray, ...]:
         doc, start, size = seen.T
         length = np.minimum(size, w.first[doc + 1] - start)
@@ -202,12 +217,31 @@ def edit_distances(a: np.ndarray, length: np.ndarray, b: np.ndarray) -> np.ndarr
     return result
 
 
-#: Edited copies that the number of walks is chosen by, and walks that are tried on each.
+#: Edited copies of each class of lengths that the number of walks is chosen by, and walks that are tried on each.
 TRIALS, TRIED_WALKS = 192, 64
 
 
+def edited_copy(words: np.ndarray, edits: int, rng: np.random.Generator) -> np.ndarray:
+    """``words`` after so many edits that leave their number as it is: as many insertions as deletions, the rest replacements."""
+    moves = int(rng.integers(0, edits // 2 + 1))
+    at = rng.permutation(len(words))[:edits]
+    copies = np.ones(len(words), np.int64)
+    copies[at[:moves]], copies[at[moves : 2 * moves]] = 2, 0
+    out = words.copy()
+    out[at[2 * moves :]] = rng.integers(0, 1 << 62, edits - 2 * moves)
+    out = np.repeat(out, copies)
+    fresh = (np.cumsum(copies) - copies)[at[:moves]]
+    out[fresh] = rng.integers(0, 1 << 62, moves)
+    return out
+
+
 def walks_needed(words: list[np.ndarray], p: LeakParameters) -> int:
-    """The least number of walks whose keys find ``target_recall`` of copies edited up to the threshold."""
+    """The least number of walks whose keys find ``target_recall`` of copies with as many edits as the threshold allows, in each class of lengths (by powers of two)."""
+    octave = np.array([len(w).bit_length() for w in words])
+    return max((_walks_needed([words[i] for i in np.flatnonzero(octave == o)], p) for o in np.unique(octave)), default=1)
+
+
+def _walks_needed(words: list[np.ndarray], p: LeakParameters) -> int:
     rng = np.random.default_rng([p.seed, 77])
     picked = [words[i] for i in rng.integers(0, len(words), TRIALS)]
     index = LeakIndex.__new__(LeakIndex)
@@ -217,17 +251,7 @@ def walks_needed(words: list[np.ndarray], p: LeakParameters) -> int:
     a, b = (np.full((TRIALS, width), _PAD, U) for _ in range(2))
     for i, w in enumerate(picked):
         a[i, : len(w)] = w
-        copy = w.tolist()
-        for _ in range(int(p.edits(len(w)))):
-            at, kind, new = int(rng.integers(0, max(len(copy), 1))), int(rng.integers(0, 3)), int(rng.integers(0, 1 << 62))
-            if kind == 0 and copy:
-                copy[at] = new
-            elif kind == 1:
-                copy.insert(at, new)
-            elif copy:
-                del copy[at]
-        copy = copy[: len(w)] + [int(x) for x in rng.integers(0, 1 << 62, max(len(w) - len(copy), 0))]  # the window goes on with other words
-        b[i, : len(w)] = np.array(copy, U)
+        b[i, : len(w)] = edited_copy(w, int(p.edits(len(w))), rng)
     same = (index.embed(a, size, size) == index.embed(b, size, size)).reshape(TRIALS, TRIED_WALKS, p.tables).any(2)
     # a copy's chance a walk, drawn towards the mean of all so that none counts as impossible
     chance = (same.sum(1) + same.mean() * 4) / (TRIED_WALKS + 4)

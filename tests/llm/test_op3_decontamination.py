@@ -59,6 +59,49 @@ def test_recall_and_precision_against_brute_force(spark):
     assert dc.remove_leaks(frame, bench).columns == frame.columns
 
 
+def test_unbalanced_edits_before_the_shared_run(spark):
+    item = [f"w{i}" for i in range(1, 11)]
+    text = ["a", "b", "w1", *item[2:8], "x", "w9", "w10", "c", "d"]  # w2 is gone, x came: distance 2, and the shared runs stand one word off
+    frame = spark.createDataFrame([(1, " ".join(text), "en", 1)], DOCS)
+    bench = spark.createDataFrame([(7, " ".join(item))], "item_id bigint, text string")
+    assert brute(text, item) == 2
+    assert [tuple(r) for r in dc.leaks(frame, bench, dc.LeakParameters(walks=64)).collect()] == [(1, 7, 2, 10, 2)]
+
+
+def test_proposed_windows_hold_every_shift():
+    """The starts alone, without keys: every copy at the threshold is among them, and each window is proposed once."""
+    own = np.random.default_rng(8)
+    items = [own.integers(1, 1 << 62, n).astype(np.uint64) for n in (5, 9, 10, 12, 20, 33, 60) for _ in range(12)]
+    seen = []
+    text = lambda words: " ".join(map("w{}".format, words.tolist()))
+    of = dc.item_words([text(x) for x in items])
+    index = dc.LeakIndex(dc.LeakParameters(walks=1), list(range(len(of))), of)
+    index._verify = lambda w, h, windows: seen.append(windows) or tuple(np.zeros(0, np.int64) for _ in range(4))
+    noise = lambda: own.integers(1, 1 << 62, 25).astype(np.uint64)
+    copies = [dc.edited_copy(x, int(0.2 * len(x) + 1e-9), own) for x in items]
+    docs = [text(np.concatenate([noise(), c, noise()])) for c in copies]
+    (_, _, w, h), = dc.lower_words(dc.pa.array(docs))
+    index.search(w, h)
+    found = np.concatenate(seen)
+    assert len(np.unique(found, axis=0)) == len(found)
+    pairs = set(map(tuple, found.tolist()))
+    assert all((i, int(w.first[i]) + 25, len(x)) in pairs for i, x in enumerate(items))
+
+
+def test_recall_at_the_threshold_length_by_length(spark):
+    """Copies with exactly as many edits as the threshold allows."""
+    own = np.random.default_rng(4)
+    fresh = lambda n: own.integers(1, 1 << 62, n).astype(np.uint64)
+    text = lambda words: " ".join(map("w{}".format, words.tolist()))
+    items = [fresh(n) for n in (5, 10, 16, 25, 40, 80) for _ in range(60)]
+    docs = [np.concatenate([fresh(20), dc.edited_copy(x, int(0.2 * len(x) + 1e-9), own), fresh(20)]) for x in items]
+    frame = spark.createDataFrame([(i, text(x), "en", 1) for i, x in enumerate(docs)], DOCS)
+    bench = spark.createDataFrame([(i, text(x)) for i, x in enumerate(items)], "item_id bigint, text string")
+    got = {r.doc_id for r in dc.leaks(frame, bench).collect() if r.doc_id == r.item_id}
+    found = {n: [i in got for i, x in enumerate(items) if len(x) == n] for n in {len(x) for x in items}}
+    assert all(np.mean(x) >= 0.95 for x in found.values()), {n: np.mean(x) for n, x in found.items()}
+
+
 def test_blocks_give_the_same_result(spark, monkeypatch):
     items = [sentence(20) for _ in range(12)]
     frame = spark.createDataFrame([(i, " ".join(sentence(9) + it + sentence(4)), None, None) for i, it in enumerate(items)], DOCS)
