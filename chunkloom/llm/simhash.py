@@ -206,13 +206,13 @@ def linked(distinct: DataFrame, total: int) -> DataFrame:
 
 
 def classes(prints: DataFrame) -> DataFrame:
-    """(fp, component_id) of every distinct fingerprint of ``prints`` (doc_id, fp): the smallest id that links reach."""
+    """(fp, component, component_id) of every distinct fingerprint of ``prints`` (doc_id, fp): the smallest fingerprint and the smallest id that links reach."""
     nodes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("low")), "simhash-nodes")
     links = written(linked(nodes.select("fp"), nodes.count()), "simhash-links")
     found = components(links)  # by fingerprint
     tagged = nodes.join(found, nodes["fp"] == found["node"], "left").select("fp", "low", F.coalesce("component", "fp").alias("component"))
     least = tagged.groupBy("component").agg(F.min("low").alias("component_id"))
-    return written(tagged.join(least, "component").select("fp", "component_id"), "simhash-classes")
+    return written(tagged.join(least, "component").select("fp", "component", "component_id"), "simhash-classes")
 
 
 def near_duplicates(documents: DataFrame) -> DataFrame:
@@ -227,10 +227,10 @@ def keep_one(documents: DataFrame) -> DataFrame:
     """``documents`` with one row of each component: of the rows with its smallest id the one whose content hash is smallest (equal rows: one of them)."""
     names = documents.columns
     prints = written(fingerprints(documents.withColumn("__row", F.xxhash64(*[F.col(f"`{c}`").cast("string") for c in names])), ["doc_id", "__row"]), "simhash-prints")
-    by_fp = classes(prints).select(F.col("fp").alias("__fp"), "component_id")
-    tagged = prints.join(by_fp, F.col("fp") == F.col("__fp")).select("doc_id", "__row", "component_id")
-    # a component without any id is its own: null ids group together only there
-    best = tagged.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("doc_id"), F.col("__row").alias("row"))).alias("best"))
+    by_fp = classes(prints).select(F.col("fp").alias("__fp"), "component")
+    tagged = prints.join(by_fp, F.col("fp") == F.col("__fp")).select("doc_id", "__row", "component")
+    # by the component and not by its id, which components without ids, or with the same id, have in common
+    best = tagged.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("doc_id"), F.col("__row").alias("row"))).alias("best"))
     kept = best.select(F.col("best.doc_id").alias("__id"), F.col("best.row").alias("__best"))
     rows = documents.withColumn("__row", F.xxhash64(*[F.col(f"`{c}`").cast("string") for c in names]))
     out = rows.join(kept, (F.col("__row") == F.col("__best")) & F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")

@@ -129,6 +129,14 @@ def test_near_duplicates(spark):
     assert simhash.near_duplicates(frame.limit(0)).count() == 0 and simhash.keep_one(frame.limit(0)).count() == 0
 
 
+def test_one_row_of_each_component_whatever_its_ids(spark):
+    """Rows that share an id, or have none, but not their texts, are components of their own."""
+    a, b, c, d, e = (words(60) for _ in range(5))
+    rows = [(None, a), (None, a), (None, b), (7, c), (7, c), (7, d), (None, e), (9, e)]
+    kept = simhash.keep_one(spark.createDataFrame([(i, t, "en", "s", 1, "z") for i, t in rows], DOCS).repartition(3)).collect()
+    assert sorted((str(r.doc_id), r.text) for r in kept) == sorted([("None", a), ("None", b), ("7", c), ("7", d), ("9", e)])
+
+
 def test_preferences(spark):
     turns = [
         (1, True, 0, "user", "hi"), (1, True, 1, "assistant", "yes"), (1, True, 2, "user", "ok"), (1, False, 0, "user", "hi"), (1, False, 1, "assistant", "no"),
