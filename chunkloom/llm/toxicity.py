@@ -1,8 +1,9 @@
-"""Toxicity: nearest labelled examples by exact TF-IDF cosine, found in a block-max inverted index; distance-weighted votes, calibrated, with evidence.
+"""Toxicity: nearest labelled examples by TF-IDF cosine over a selected vocabulary, found in a block-max inverted index; distance-weighted votes, calibrated, with evidence.
 
 Terms are the lower-cased words of a text and the first ``PREFIX`` bytes of longer ones (languages that compound words share them). The vocabulary holds the terms
 that tell the classes apart among the examples: chi-square at least ``min_chi`` and a rate that differs by ``min_lift`` or more, the ``max_terms`` strongest at most. Document frequencies
-are counted over all documents. Weights are (1 + ln tf) * idf, vectors have length 1.
+are counted over all documents. Weights are (1 + ln tf) * idf, vectors have length 1: other terms count neither in products nor in norms, so that these are not the
+neighbours by whole texts.
 
 The examples are a sample of at most about ``max_examples`` labelled rows, drawn by a hash of the id. Their postings are cut into blocks of ``BLOCK`` examples;
 each term knows its largest weight in each block. A query adds up these bounds, visits blocks in falling order of bounds, and stops when the bound of the next
