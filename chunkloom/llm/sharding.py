@@ -20,6 +20,9 @@ from pyspark.sql import functions as F
 #: Rows that a virtual partition, and a sub-bucket of a shard, hold on average.
 ROWS_EACH = 2048
 MAX_PARTITIONS = 65536
+#: Rooms from which numpy has no hypergeometric draw; then places are drawn, so many at once.
+NUMPY_DRAWS = 1_000_000_000
+DRAWN_AT_ONCE = 1 << 20
 
 
 def communication_matrix(counts: np.ndarray, capacity: np.ndarray, seed: int) -> np.ndarray:
@@ -28,26 +31,32 @@ def communication_matrix(counts: np.ndarray, capacity: np.ndarray, seed: int) ->
     left = capacity.astype(np.int64).copy()
     out = np.zeros((len(counts), len(capacity)), np.int64)
     for p, n in enumerate(counts):
-        room = int(left.sum())
         need = int(n)
+        while need and int(left.sum()) >= NUMPY_DRAWS:
+            part = _drawn(rng, left, min(need, DRAWN_AT_ONCE))
+            out[p] += part
+            left -= part
+            need -= int(part.sum())
+        room, own = int(left.sum()), out[p].copy()
         for s in range(len(left)):
             room -= int(left[s])
             if not need:
                 break
             # of the rows still to be placed, those that fall on shard s rather than on the later ones
-            out[p, s] = need if not room else (0 if not left[s] else _hypergeometric(rng, int(left[s]), room, need))
-            need -= out[p, s]
-        left -= out[p]
+            part = need if not room else (0 if not left[s] else int(rng.hypergeometric(int(left[s]), room, need)))
+            out[p, s] += part
+            need -= part
+        left -= out[p] - own
     return out
 
 
-def _hypergeometric(rng: np.random.Generator, good: int, bad: int, draws: int) -> int:
-    if good + bad < 1_000_000_000:
-        return int(rng.hypergeometric(good, bad, draws))
-    # beyond what numpy draws from: the normal limit, held to what is possible
-    n, p = good + bad, good / (good + bad)
-    sd = (draws * p * (1 - p) * (n - draws) / (n - 1)) ** 0.5
-    return int(min(max(round(rng.normal(draws * p, sd)), draws - bad, 0), good, draws))
+def _drawn(rng: np.random.Generator, left: np.ndarray, draws: int) -> np.ndarray:
+    """How many of so many rooms, drawn without return, lie in each shard: distinct places among all that are left, so that no number is too large."""
+    total = int(left.sum())
+    at = np.unique(rng.integers(0, total, draws))
+    while len(at) < draws:
+        at = np.union1d(at, rng.integers(0, total, draws - len(at)))
+    return np.bincount(np.searchsorted(np.cumsum(left), at, side="right"), minlength=len(left))
 
 
 def row_hash(df: DataFrame, seed: int) -> Column:

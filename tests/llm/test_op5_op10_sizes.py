@@ -43,6 +43,23 @@ def test_shards(spark, tmp_path):
     assert [r.shard for r in sharding.shard_rows(frame.limit(1), 16).collect()] == [0]
 
 
+def test_exact_draws_beyond_numpys(monkeypatch):
+    """Margins hold above the limit, and the draw of places has the hypergeometric law: no room is drawn twice, which a rounded normal doesn't know."""
+    big = np.array([1 << 31, 1 << 31, (1 << 31) - 5])
+    matrix = sharding.communication_matrix(np.array([5000, 3_000_000, 0, 7]), big, 3)
+    assert matrix.sum(1).tolist() == [5000, 3_000_000, 0, 7] and (matrix <= big).all()
+    assert all(abs(x - 1_000_000) < 6 * (2 / 9 * 3_000_000) ** 0.5 for x in matrix[1])
+    monkeypatch.setattr(sharding, "NUMPY_DRAWS", 4, raising=False)
+    monkeypatch.setattr(sharding, "DRAWN_AT_ONCE", 2, raising=False)
+    seen = [tuple(sharding.communication_matrix(np.array([3, 3]), np.array([2, 4]), seed)[0]) for seed in range(4000)]
+    # three of six rooms, two of them in the first shard: 4, 12 and 4 of 20 ways
+    assert all(abs(seen.count((k, 3 - k)) / 4000 - ways / 20) < 0.03 for k, ways in ((0, 4), (1, 12), (2, 4)))
+    monkeypatch.undo()
+    # a few draws from many rooms: a rounded normal has no such skew (1 in 1001 rooms, 1000 draws: e^-1 of all have none)
+    many = [sharding.communication_matrix(np.array([1000]), np.array([2_000_000, 2_000_000_000]), seed)[0, 0] for seed in range(1500)]
+    assert abs(np.mean(np.array(many) == 0) - np.exp(-1)) < 0.05
+
+
 def test_shards_of_many_partitions(spark, monkeypatch):
     monkeypatch.setattr(sharding, "ROWS_EACH", 8)
     rows = sharding.shard_rows(spark.range(1000).withColumnRenamed("id", "doc_id"), 7).collect()
