@@ -9,39 +9,71 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Partial sums meet in this many groups before the last addition, so that no task reads a row from every partition.
+from .shared import id_remainder
+
+#: Lanes in which the partial sums of a key meet before the last addition, so that no task reads a row from every partition.
 FAN_IN = 32
 
 
 def summed(df: DataFrame, partial: Callable[[Iterator[pa.RecordBatch]], dict[int, np.ndarray]], width: int) -> dict[int, np.ndarray]:
     """The sum over all partitions of the vectors (``width`` doubles) that ``partial`` makes by key.
 
-    ``partial`` sees a partition's batches once and returns a few vectors of fixed size. They are added in two levels of shuffles;
-    what reaches the driver is one vector for each key.
+    ``partial`` sees a partition's batches once and returns a few vectors of fixed size. They are added in two levels of shuffles, in the order of the
+    partitions' numbers: a task that runs again deals its sums out as before, and the sum doesn't depend on which task is done first. One vector for each key
+    reaches the driver.
     """
 
     def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import os
+        from pyspark import TaskContext
 
-        out = partial(batches)
-        if out:
-            lane = int.from_bytes(os.urandom(4), "little") % FAN_IN  # any lane gives the same sum
-            yield pa.RecordBatch.from_pydict({"k": pa.array(list(out), pa.int64()), "lane": pa.array([lane] * len(out), pa.int64()), "v": pa.array([x.astype(np.float64).tobytes() for x in out.values()], pa.binary())})
+        part = TaskContext.get().partitionId()
+        for k, v in partial(batches).items():
+            yield pa.RecordBatch.from_pydict({"k": pa.array([k], pa.int64()), "lane": pa.array([part % FAN_IN], pa.int64()), "part": pa.array([part], pa.int64()), "v": pa.array([v.astype(np.float64).tobytes()], pa.binary())})
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[tuple[int, int], np.ndarray] = {}
+        # rows come sorted by key and lane: one vector is held at a time
+        now, total = None, None
         for b in batches:
             for k, lane, v in zip(b.column("k").to_pylist(), b.column("lane").to_pylist(), b.column("v"), strict=True):
-                total[k, lane] = total.get((k, lane), 0) + np.frombuffer(v.as_py(), np.float64)
-        if total:
-            yield pa.RecordBatch.from_pydict({"k": pa.array([k for k, _ in total], pa.int64()), "lane": pa.array([x for _, x in total], pa.int64()), "v": pa.array([x.tobytes() for x in total.values()], pa.binary())})
-
-    schema = "k bigint, lane bigint, v binary"
-    lanes = df.mapInArrow(mapped, schema).repartition(FAN_IN, "lane").mapInArrow(add, schema)
-    out: dict[int, np.ndarray] = {}
-    for r in lanes.toLocalIterator():
-        out[r["k"]] = out.get(r["k"], np.zeros(width)) + np.frombuffer(r["v"], np.float64)
-    return out
+                if (k, lane) != now:
+                    if now is not None:
+                        yield row(now, total)
+                    now, total = (k, lane), np.zeros(width)
+                total += np.frombuffer(v.as_buffer(), np.float64)
+        if now is not None:
+            yield row(now, total)
+
+    def row(key: tuple[int, int], v: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_pydict({"k": pa.array([key[0]], pa.int64()), "lane": pa.array([key[1]], pa.int64()), "part": pa.array([0], pa.int64()), "v": pa.array([v.tobytes()], pa.binary())})
+
+    schema = "k bigint, lane bigint, part bigint, v binary"
+    lanes = df.mapInArrow(mapped, schema).repartition(FAN_IN, "k", "lane").sortWithinPartitions("k", "lane", "part").mapInArrow(add, schema)
+    whole = lanes.repartition(FAN_IN, "k").sortWithinPartitions("k", "lane").select("k", F.lit(0).cast("bigint").alias("lane"), "part", "v").mapInArrow(add, schema)
+    return {r["k"]: np.frombuffer(r["v"], np.float64) for r in whole.select("k", "v").collect()}
+
+
+def agreed_labels(labels: DataFrame, label: str, modulus: int, held: int) -> DataFrame:
+    """(doc_id, y 0/1) of the ids outside the held-out remainder that have a label: of labels that disagree the more frequent, and 0 if none is."""
+    known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & F.coalesce(id_remainder("doc_id", modulus) != held, F.lit(False)))
+    return known.groupBy("doc_id").agg((F.avg((F.col(label) > 0).cast("double")) > 0.5).cast("int").alias("y"))
+
+
+def drawn_rows(documents: DataFrame, known: DataFrame, most: int | dict[int, int], seed: int) -> DataFrame:
+    """(doc_id, text, digest, y, stands_for): about ``most`` rows at most (of each label, if it says so), drawn by a hash of id and text; rows equal in both count once.
+
+    Ids are counted first, so that texts that aren't drawn never move. ``stands_for`` is the number of labelled rows that a drawn one stands for.
+    """
+    sizes = {r["y"]: r["n"] for r in documents.groupBy("doc_id").agg(F.count("*").alias("n")).join(known, "doc_id").groupBy("y").agg(F.sum("n").alias("n")).collect()}
+    if isinstance(most, int):
+        rate = dict.fromkeys((0, 1), min(1.0, most / max(sum(sizes.values()), 1)))
+    else:
+        rate = {y: min(1.0, n / sizes[y]) if sizes.get(y) else 0.0 for y, n in most.items()}
+    digest = F.xxhash64("doc_id", "text", F.lit(seed))
+    draw = F.pmod(F.col("digest"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    rows = documents.where(F.col("doc_id").isNotNull()).select("doc_id", F.col("text").cast("string").alias("text")).withColumn("digest", digest)
+    rows = rows.where(draw < F.lit(max(rate.values(), default=0.0))).dropDuplicates(["doc_id", "digest"]).join(known, "doc_id")
+    own = F.coalesce(*[F.when(F.col("y") == y, F.lit(r)) for y, r in rate.items()], F.lit(0.0))
+    return rows.where(draw < own).withColumn("stands_for", 1 / own)
 
 
 def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

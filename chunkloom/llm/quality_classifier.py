@@ -6,7 +6,8 @@ matrix for each of ``FOLDS`` folds and the driver solves systems of that fixed s
 out-of-fold error; scores of labelled rows by the model that has not seen their fold are calibrated by isotonic regression.
 
 Defined results: null and empty texts have zero statistics and are scored like any text; a null id is held_out = false and never a
-training row; repeated rows are scored row by row (a label of a repeated id counts once for each row); without training labels, or with
+training row; repeated rows are scored row by row (a label of a repeated id counts once for each row; of labels that disagree about an id the more
+frequent counts, and 0 if none is); without training labels, or with
 one class only, every score is 0.5 or that class's share; an empty table gives an empty result; other columns are ignored.
 """
 
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .fitting import binned, calibrated, isotonic, summed
+from .fitting import agreed_labels, binned, calibrated, drawn_rows, isotonic, summed
 from .shared import batch_limit, extended, id_remainder, slices, written
 from .textstats import RATIOS, measure, text_stats
 
@@ -131,7 +132,7 @@ def score_quality(stats: DataFrame, model: QualityModel) -> DataFrame:
 
 def training_rows(stats: DataFrame, labels: DataFrame, label: str, modulus: int, held: int) -> DataFrame:
     """Rows of ``stats`` that have a label and whose id does not fall in the held-out remainder."""
-    known = labels.select(F.col("doc_id"), F.col(label).alias("__y")).where(F.col("__y").isNotNull() & F.col("doc_id").isNotNull()).dropDuplicates(["doc_id"])
+    known = agreed_labels(labels, label, modulus, held).withColumnRenamed("y", "__y")
     return stats.where(F.coalesce(id_remainder("doc_id", modulus) != held, F.lit(False))).join(known, "doc_id")
 
 
@@ -139,7 +140,7 @@ def classify_quality(documents: DataFrame, labels: DataFrame, n_features: int =
     """(doc_id, held_out, score, predicted, stats_ratios) of every row of ``documents``, and the model."""
     stats = written(text_stats(documents, ["doc_id"]).drop("stats_counts"), "quality-stats")
     train = training_rows(stats, labels, "quality", 3, 1).withColumn("__fold", F.floor(F.crc32(F.col("doc_id").cast("string")) / F.lit(3)))
-    model = fit_quality(train, "__y", "__fold", n_features, bandwidth)
+    model = fit_quality(written(train.drop("doc_id"), "quality-train"), "__y", "__fold", n_features, bandwidth)  # joined once, read by each step of the fit
     scored = score_quality(stats, model)
     out = scored.select("doc_id", F.coalesce(id_remainder("doc_id", 3) == 1, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "stats_ratios")
     return out, model
@@ -148,13 +149,10 @@ def classify_quality(documents: DataFrame, labels: DataFrame, n_features: int =
 def filter_quality(documents: DataFrame, labels: DataFrame, threshold: float = 0.5, max_rows: int = 200_000) -> DataFrame:
     """``documents`` without the rows that the classifier rejects. Rows are scored in place: no join brings the texts together again.
 
-    The model is fitted on at most about ``max_rows`` labelled rows, drawn by a hash of the id, so that the statistics of all texts are taken once, not twice.
+    The model is fitted on about ``max_rows`` labelled rows at most, drawn by a hash of id and text (rows equal in both count once), so that the statistics of all texts are taken once, not twice.
+    Null and empty texts are scored like any other; a null id is never a training row; repeated rows are judged each by itself; an empty table stays empty; all columns, whatever their names, come back as they were.
     """
-    known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & F.coalesce(id_remainder("doc_id", 3) != 1, F.lit(False)))
-    known = known.select("doc_id", F.col("quality").alias("__y")).dropDuplicates(["doc_id"])
-    draw = F.pmod(F.xxhash64("doc_id", F.lit(41)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    sample = written(known.where(draw < F.lit(min(1.0, max_rows / max(known.count(), 1)))), "quality-sample")
-    picked = documents.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(sample), "doc_id")  # max_rows ids and labels
+    picked = drawn_rows(documents, agreed_labels(labels, "quality", 3, 1), max_rows, seed=41).withColumnRenamed("y", "__y")
     train = written(text_stats(picked, ["doc_id", "__y"]).drop("stats_counts"), "quality-train")
     model = fit_quality(train.withColumn("__fold", F.floor(F.crc32(F.col("doc_id").cast("string")) / F.lit(3))), "__y", "__fold")
     batch_limit(documents.sparkSession)

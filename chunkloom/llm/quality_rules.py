@@ -4,9 +4,10 @@ Each rule is a conjunction of thresholds on a text's statistics (``textstats``).
 condition at a time by FOIL's gain for the label 0, and pruned on the other third: conditions are cut from the end while that raises (p - n) / (p + n). A rule that is
 right on less than ``min_precision`` of the rows it covers there ends the list. What no rule covers is kept. The rules are plain text and a ``CASE WHEN`` in order.
 
-Learning reads at most about ``max_rows`` labelled rows (a sample by a hash of the id, of a fixed number of statistics each); applying them reads every whole text once.
+Learning reads at most about ``max_rows`` labelled rows (a sample by a hash of id and statistics, of a fixed number of statistics each); applying them reads every whole text once.
+Parameters of the method bound the list: ``BINS`` thresholds a statistic at each step (all of them where it has no more values), ``max_conditions`` conditions a rule, ``max_rules`` rules.
 
-Defined results: null and empty texts have zero statistics (and fail the base rules); a null id is never a training row; repeated rows are judged one by one; without labelled rows of both
+Defined results: null and empty texts have zero statistics (and fail the base rules); a null id is never a training row; of labels that disagree about an id the more frequent counts, and 0 if none is; repeated rows are judged one by one; without labelled rows of both
 classes the list is empty and keeps everything; an empty table gives an empty result; other columns are ignored.
 """
 
@@ -18,6 +19,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .fitting import agreed_labels
 from .shared import id_remainder, written
 from .textstats import COUNTS, RATIOS, text_stats
 
@@ -137,16 +139,20 @@ def rule_column(rules: list[Rule], ratios: Column) -> Column:
 
 
 def fit_rules(stats: DataFrame, labels: DataFrame, max_rows: int = 60_000) -> list[Rule]:
-    """Learns from rows of ``stats`` (doc_id, stats_ratios) that have a quality label and whose crc32(id) mod 3 is not 1."""
-    known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & (id_remainder("doc_id", 3) != 1)).select("doc_id", F.col("quality").alias("__y")).dropDuplicates(["doc_id"])
-    n = known.count()
-    draw = F.pmod(F.xxhash64("doc_id", F.lit(37)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    sample = known.where(draw < F.lit(min(1.0, max_rows / max(n, 1))))
-    rows = stats.join(sample, "doc_id").select("doc_id", "__y", "stats_ratios").toArrow()
-    if not rows.num_rows:
+    """Learns from about ``max_rows`` rows of ``stats`` (doc_id, stats_ratios) at most that have a quality label and whose crc32(id) mod 3 is not 1.
+
+    Rows are drawn by a hash of id and statistics, and rows equal in both count once: the copies of an id can't exceed the bound.
+    """
+    known = agreed_labels(labels, "quality", 3, 1).withColumnRenamed("y", "__y")
+    rows = stats.where(F.coalesce(id_remainder("doc_id", 3) != 1, F.lit(False))).withColumn("__h", F.xxhash64("doc_id", "stats_ratios", F.lit(37)))
+    n = rows.groupBy("doc_id").agg(F.count("*").alias("n")).join(known, "doc_id").agg(F.sum("n")).first()[0] or 0
+    draw = F.pmod(F.col("__h"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    sample = rows.where(draw < F.lit(min(1.0, max_rows / max(n, 1)))).dropDuplicates(["doc_id", "__h"])
+    found = sample.join(known, "doc_id").select("doc_id", "__y", "stats_ratios").toArrow()
+    if not found.num_rows:
         return []
-    x = rows.column("stats_ratios").combine_chunks().flatten().to_numpy().reshape(rows.num_rows, -1)
-    ids, y = rows.column("doc_id").to_numpy(), rows.column("__y").to_numpy()
+    x = found.column("stats_ratios").combine_chunks().flatten().to_numpy().reshape(found.num_rows, -1)
+    ids, y = found.column("doc_id").to_numpy(), found.column("__y").to_numpy()
     order = np.lexsort((*x.T[::-1], ids))  # the same rows in the same order, however they arrive
     return learn_rules(x[order], y[order] == 0)
 

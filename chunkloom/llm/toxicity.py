@@ -1,248 +1,337 @@
-"""Toxicity: nearest labelled examples by TF-IDF cosine over a selected vocabulary, found in a block-max inverted index; distance-weighted votes, calibrated, with evidence.
+"""Toxicity: nearest labelled examples by TF-IDF cosine over whole texts, found in a block-max inverted index; distance-weighted votes, calibrated, with evidence.
 
-Terms are the lower-cased words of a text and the first ``PREFIX`` bytes of longer ones (languages that compound words share them). The vocabulary holds the terms
-that tell the classes apart among the examples: chi-square at least ``min_chi`` and a rate that differs by ``min_lift`` or more, the ``max_terms`` strongest at most. Document frequencies
-are counted over all documents. Weights are (1 + ln tf) * idf, vectors have length 1: other terms count neither in products nor in norms, so that these are not the
-neighbours by whole texts.
+Terms are the words of a text, A-Z lower-cased. Every term of a text counts: its weight is (1 + ln tf) * idf * (``FLOOR`` + phi^2), where idf = ln((2 + N) / (1 + df)) over all
+documents, and phi^2 is how strongly the term goes with the label among the examples (0 for a term that no example has). Vectors have length 1. The last factor is a supervised
+term weight beside plain TF-IDF: in plain TF-IDF the few telling words of a text drown among hundreds of others (the README has the figures of both).
 
-The examples are a sample of at most about ``max_examples`` labelled rows, drawn by a hash of the id. Their postings are cut into blocks of ``BLOCK`` examples;
-each term knows its largest weight in each block. A query adds up these bounds, visits blocks in falling order of bounds, and stops when the bound of the next
-is below its k-th best similarity: the k nearest are exact, ties going to the example that comes first. Each neighbour votes with its similarity; a vector without any term has
-as its neighbours all examples without terms. Votes become scores by isotonic regression on the examples' own votes, each without itself.
+The examples are a bounded sample of labelled rows, about ``max_examples`` / 2 of each label at most, drawn by a hash of id and text; rows equal in both count once. Their postings are
+exact by 64-bit hashes of terms. They lie in blocks of ``BLOCK`` examples; each term knows its largest weight in each block. A query adds up these bounds, looks into the ``FIRST``
+blocks of the largest bounds, and then into all blocks whose bound reaches the k-th best cosine found: the k nearest are exact, ties going to the example that comes first. Document
+frequencies of the examples' terms are exact too; terms outside the examples, which only enter the length of a text's own vector, are counted in ``BUCKETS`` buckets of their hashes.
 
-Whole texts are read once for the sample and once for all; what remains of a text is the counts of its vocabulary terms.
+Each neighbour votes with its cosine. A text that shares no term with any example has the examples' common rate as its vote. Votes become scores by isotonic regression on the
+examples' own votes, each without itself, weighted by what a drawn row stands for. Whole texts are read three times (sample, document frequencies, scores) and never shuffled.
 
-Defined results: null and empty texts have no terms; repeated rows are scored each by itself; a null id is held_out = false and never an example; without labelled examples
-all scores are 0; an empty table gives an empty result; other columns are ignored.
+Defined results: null and empty texts have no terms; repeated rows are scored each by itself; a null id is held_out = false and never an example; of labels that disagree about an id the
+more frequent counts, and 0 if none is; without labelled examples all scores are 0; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .fitting import calibrated, isotonic
+from .fitting import agreed_labels, calibrated, drawn_rows, isotonic, summed
 from .shared import batch_limit, extended, id_remainder, slices, written
 from .textkit import BASE, BYTE, LOWER, U, Words, mix, prefix, span_hash
 
 SEPARATOR = np.ones(256, bool)
 SEPARATOR[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
-PREFIX = 5
+FLOOR = 0.01
 BLOCK = 64
+FIRST = 8
 NEIGHBOURS = 24
-#: Votes that the base rate has beside the neighbours'.
+BUCKETS = 1 << 18
+#: Votes that the common rate has beside the neighbours'.
 PRIOR = 0.5
+#: Counts that one row of the document frequencies holds.
+PIECE = 1 << 13
 
 
-def terms(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(term hash, text) of every term of a slice, and the words of each text."""
+def counted_terms(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(term hash, text, times) of the distinct terms of each text of a slice, text after text."""
     w = Words(data, offsets, SEPARATOR)
-    sums = prefix(BYTE[LOWER[data]], BASE)
-    long = w.end - w.start > PREFIX
-    whole = span_hash(sums, w.start, w.end, BASE)
-    stems = mix(span_hash(sums, w.start[long], w.start[long] + PREFIX, BASE) + U(1))
-    return np.concatenate([whole, stems]), np.concatenate([w.doc, w.doc[long]]), np.diff(w.first)
+    key = span_hash(prefix(BYTE[LOWER[data]], BASE), w.start, w.end, BASE)
+    _, at, tf = np.unique(mix(key + w.doc.astype(U) * U(0x9E3779B97F4A7C15)), return_index=True, return_counts=True)
+    order = np.lexsort((key[at], w.doc[at]))
+    return key[at][order], w.doc[at][order], tf[order]
 
 
-@dataclass
-class ToxicityModel:
-    vocabulary: np.ndarray  # sorted term hashes
-    idf: np.ndarray = field(default_factory=lambda: np.zeros(0))
-    index: BlockMaxIndex | None = None
-    empty_rate: float = 0.0
-    base: float = 0.0
-    knots: tuple[np.ndarray, np.ndarray] = (np.zeros(0), np.zeros(0))
+def bucket_of(key: np.ndarray) -> np.ndarray:
+    return (key >> U(64 - BUCKETS.bit_length() + 1)).astype(np.int64)
+
+
+class Vocabulary:
+    """The sorted hashes of the examples' terms, with a bitmap that turns most others away."""
 
-    def vector(self, ids: np.ndarray, tfs: np.ndarray) -> np.ndarray:
-        v = (1 + np.log(tfs)) * self.idf[ids]
-        return v / np.sqrt(v @ v) if len(v) else v
+    def __init__(self, keys: np.ndarray):
+        self.keys = keys
+        self.bitmap = np.zeros(1 << 20, bool)
+        self.bitmap[keys >> U(44)] = True
 
-    def vote(self, near: np.ndarray, similarity: np.ndarray) -> float:
-        return float((similarity @ self.index.labels[near] + PRIOR * self.base) / (similarity.sum() + PRIOR))
+    def find(self, key: np.ndarray) -> np.ndarray:
+        """The number of each term, -1 for others."""
+        out = np.full(len(key), -1, np.int64)
+        maybe = np.flatnonzero(self.bitmap[key >> U(44)])
+        if len(maybe):
+            at = np.minimum(np.searchsorted(self.keys, key[maybe]), len(self.keys) - 1)
+            out[maybe] = np.where(self.keys[at] == key[maybe], at, -1)
+        return out
 
 
-def side_by_side(vectors: list[tuple[np.ndarray, np.ndarray]]) -> list[int]:
-    """Alike vectors in a row make tight bounds: by strongest term, then by its weight."""
-    return [x[2] for x in sorted((int(i[np.argmax(v)]), -float(v.max()), k) for k, (i, v) in enumerate(vectors))]
+@dataclass
+class Weights:
+    """What turns counts into vectors: document frequencies and label relevance."""
+
+    vocabulary: Vocabulary
+    df: np.ndarray  # of the vocabulary
+    other: np.ndarray  # of the buckets of terms outside
+    total: int
+    phi: np.ndarray
+
+    def vectors(self, key: np.ndarray, doc: np.ndarray, tf: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(term, weight) of the terms in the vocabulary, and where each text's begin; the lengths are over all terms."""
+        at = self.vocabulary.find(key)
+        known = at >= 0
+        df = np.where(known, self.df[np.maximum(at, 0)] if len(self.df) else 0, self.other[bucket_of(key)])
+        factor = FLOOR + np.where(known, self.phi[np.maximum(at, 0)] if len(self.phi) else 0, 0.0)
+        w = (1 + np.log(tf)) * np.log((2 + self.total) / (1 + df)) * factor
+        length = np.sqrt(np.bincount(doc, weights=w * w, minlength=n))
+        return at[known], (w / np.maximum(length[doc], 1e-300))[known], np.searchsorted(doc[known], np.arange(n + 1))
+
+
+def phi_squared(a: np.ndarray, n: np.ndarray, n1: int, n0: int) -> np.ndarray:
+    """Squared correlation of a term with the label, from the examples that have it (a of label 1, n of both)."""
+    total, b = float(n1 + n0), n - a
+    with np.errstate(divide="ignore", invalid="ignore"):
+        out = (a * (n0 - b) - b * (n1 - a)) ** 2 / (n * (total - n) * float(n1) * float(n0))
+    return np.nan_to_num(out, nan=0.0, posinf=0.0)
 
 
 class BlockMaxIndex:
-    """Postings of unit vectors in blocks of examples, with each term's largest weight in each block."""
+    """Postings of unit vectors in blocks of examples, with each term's largest weight in each block where it occurs."""
 
-    def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, names: np.ndarray, n_terms: int):
-        order = side_by_side(vectors)
-        self.labels, self.names = labels[order].astype(np.float64), names[order]
-        self.n = len(order)
+    def __init__(self, term: np.ndarray, weight: np.ndarray, first: np.ndarray, n_terms: int):
+        self.n = len(first) - 1
         self.blocks = -(-self.n // BLOCK)
-        term = np.concatenate([vectors[k][0] for k in order]) if order else np.zeros(0, np.int64)
-        weight = np.concatenate([vectors[k][1] for k in order]) if order else np.zeros(0)
-        example = np.repeat(np.arange(self.n), [len(vectors[k][0]) for k in order]) if order else np.zeros(0, np.int64)
+        example = np.repeat(np.arange(self.n), np.diff(first))
+        # alike vectors in a row make tight bounds: by strongest term, then by its weight
+        top = np.zeros(self.n, np.int64)
+        high = np.zeros(self.n)
+        by = np.lexsort((weight, example))
+        ends = np.searchsorted(example[by], np.arange(self.n), side="right") - 1
+        some = np.flatnonzero(np.diff(first) > 0)
+        top[some], high[some] = term[by][ends[some]], weight[by][ends[some]]
+        self.order = np.lexsort((np.arange(self.n), -high, top))
+        place = np.empty(self.n, np.int64)
+        place[self.order] = np.arange(self.n)
+        self.place = place
+        example = place[example]
         by = np.lexsort((example, term))
-        term, self.weight, self.example = term[by], weight[by], example[by]
-        # bounds[t * blocks + b]: where the postings of term t in block b begin
-        self.bounds = np.searchsorted(term * max(self.blocks, 1) + self.example // BLOCK, np.arange(n_terms * max(self.blocks, 1) + 1))
-        self.max = np.zeros((n_terms, self.blocks), np.float64)
-        np.maximum.at(self.max, (term, self.example // BLOCK), self.weight)
+        term, self.weight, self.example = term[by], weight[by], example[by].astype(np.int32)
+        block = self.example // BLOCK
+        opens = np.ones(len(term), bool)
+        opens[1:] = (term[1:] != term[:-1]) | (block[1:] != block[:-1])
+        start = np.flatnonzero(opens)
+        self.start = np.append(start, len(term))
+        self.block = block[start]
+        self.max = np.maximum.reduceat(self.weight, start) if len(start) else np.zeros(0)
+        self.segments = np.searchsorted(term[start], np.arange(n_terms + 1))
 
     def nearest(self, ids: np.ndarray, v: np.ndarray, k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """(examples, cosines) of the k nearest with a cosine above 0, the nearest first."""
-        upper = v @ self.max[ids]
-        found, cosine = np.zeros(0, np.int64), np.zeros(0)
-        for b in np.argsort(-upper, kind="stable").tolist():
-            if upper[b] <= 0 or len(found) == k and upper[b] < cosine[-1] - 1e-12:
-                break
-            scores = np.zeros(BLOCK)
-            for t, q in zip(ids.tolist(), v.tolist(), strict=True):
-                s, e = self.bounds[t * self.blocks + b], self.bounds[t * self.blocks + b + 1]
-                if e > s:
-                    scores[self.example[s:e] - b * BLOCK] += q * self.weight[s:e]
-            own = np.flatnonzero(scores > 0)
-            own = own[own + b * BLOCK != without]
-            found, cosine = np.concatenate([found, own + b * BLOCK]), np.concatenate([cosine, scores[own]])
-            top = np.lexsort((found, -np.round(cosine, 12)))[:k]
-            found, cosine = found[top], cosine[top]
+        """(places of examples, cosines) of the k nearest with a cosine above 0, the nearest first."""
+        s = _spread(self.segments[ids], self.segments[ids + 1])
+        q = np.repeat(v, self.segments[ids + 1] - self.segments[ids])
+        block = self.block[s]
+        upper = np.bincount(block, weights=q * self.max[s], minlength=self.blocks)
+        order = np.argsort(-upper, kind="stable")
+        found, cosine = self._inside(s, q, block, order[:FIRST], k, without)
+        rest = order[FIRST:]
+        rest = rest[(upper[rest] > 0) & ((upper[rest] >= cosine[-1] - 1e-12) if len(found) == k else True)]
+        if len(rest):
+            more, cosines = self._inside(s, q, block, rest, k, without)
+            found, cosine = _best(np.concatenate([found, more]), np.concatenate([cosine, cosines]), k)
         return found, cosine
 
+    def _inside(self, s: np.ndarray, q: np.ndarray, block: np.ndarray, chosen: np.ndarray, k: int, without: int) -> tuple[np.ndarray, np.ndarray]:
+        wanted = np.zeros(self.blocks, bool)
+        wanted[chosen] = True
+        inside = wanted[block]
+        s, q = s[inside], q[inside]
+        p = _spread(self.start[s], self.start[s + 1])
+        scores = np.bincount(self.example[p], weights=np.repeat(q, self.start[s + 1] - self.start[s]) * self.weight[p], minlength=self.n)
+        if without >= 0:
+            scores[without] = 0
+        own = np.flatnonzero(scores > 0)
+        return _best(own, scores[own], k)
+
+
+def _spread(start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """All numbers of the ranges, one range behind the other."""
+    n = end - start
+    return np.repeat(start - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+
+
+def _best(found: np.ndarray, cosine: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    cosine = np.round(cosine, 12)
+    if len(found) > 4 * k:  # all that may belong to the k best, ties included
+        keep = cosine >= np.partition(cosine, len(cosine) - k)[len(cosine) - k]
+        found, cosine = found[keep], cosine[keep]
+    top = np.lexsort((found, -cosine))[:k]
+    return found[top], cosine[top]
+
+
+@dataclass
+class ToxicityModel:
+    weights: Weights
+    index: BlockMaxIndex
+    labels: np.ndarray  # by place
+    names: np.ndarray
+    base: float
+    knots: tuple[np.ndarray, np.ndarray] = (np.zeros(0), np.zeros(0))
+
+    def vote(self, near: np.ndarray, cosine: np.ndarray) -> float:
+        return float((cosine @ self.labels[near] + PRIOR * self.base) / (cosine.sum() + PRIOR))
+
+    def votes(self, data: np.ndarray, offsets: np.ndarray, without: np.ndarray | None = None, evidence: int = 0, cache: dict | None = None) -> tuple[list[float], list[list[dict]]]:
+        """Each text's vote and its nearest examples; ``without``: the example that a text itself is."""
+        n = len(offsets) - 1
+        ids, weights, first = self.weights.vectors(*counted_terms(data, offsets), n)
+        votes, seen = [], []
+        for i in range(n):
+            own, v = ids[first[i] : first[i + 1]], weights[first[i] : first[i + 1]]
+            key = (own.tobytes(), v.tobytes()) if cache is not None else None
+            if key is not None and key in cache:
+                got = cache[key]
+            else:
+                near, cosine = self.index.nearest(own, v, NEIGHBOURS, -1 if without is None else int(self.index.place[without[i]]))
+                got = self.vote(near, cosine), [{"doc_id": int(self.names[x]), "similarity": float(s), "toxic": int(self.labels[x])} for x, s in zip(near[:evidence], cosine[:evidence], strict=True)]
+                if key is not None:
+                    if len(cache) >= 2000:
+                        cache.clear()
+                    cache[key] = got
+            votes.append(got[0])
+            seen.append(got[1])
+        return votes, seen
+
+
+def _example_vectors(examples: DataFrame) -> pa.Table:
+    """(number, keys, tfs) of every example: bounded by the sample."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lo, hi, data, offsets in slices(b.column(1)):
+                key, doc, tf = counted_terms(data, offsets)
+                cuts = pa.array(np.searchsorted(doc, np.arange(hi - lo + 1)).astype(np.int32))
+                lists = [pa.ListArray.from_arrays(cuts, pa.array(x.astype(np.int64) if x is tf else x.view(np.int64))) for x in (key, tf)]
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), *lists], names=["number", "keys", "tfs"])
+
+    return examples.select("number", "text").mapInArrow(run, "number bigint, keys array<bigint>, tfs array<bigint>").toArrow()
+
 
-def counted(documents: DataFrame, vocabulary: np.ndarray, keep: list[str]) -> DataFrame:
-    """Columns ``keep``, ``terms`` (numbers in the vocabulary), ``tfs`` of every row, in one pass over whole texts."""
+def document_frequencies(documents: DataFrame, vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray, int]:
+    """(of the vocabulary, of the buckets of all other terms, number of documents), over every whole text."""
     spark = documents.sparkSession
     batch_limit(spark)
-    shared = spark.sparkContext.broadcast(vocabulary)  # max_terms hashes at most
-    picked = documents.select(*[F.col(c) for c in keep], F.col("text").cast("string").alias("__text"))
-    schema = extended(picked.drop("__text").schema, "terms array<int>, tfs array<int>")
+    shared = spark.sparkContext.broadcast(vocabulary)  # the examples' terms
+    size = len(vocabulary.keys) + BUCKETS + 1
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> dict[int, np.ndarray]:
+        own = shared.value
+        total = np.zeros(-(-size // PIECE) * PIECE)
+        for b in batches:
+            total[size - 1] += b.num_rows
+            for _, _, data, offsets in slices(b.column(0)):
+                key, _, _ = counted_terms(data, offsets)
+                at = own.find(key)
+                total += np.bincount(np.where(at >= 0, at, len(own.keys) + bucket_of(key)), minlength=len(total))
+        pieces = total.reshape(-1, PIECE)
+        return {int(i): pieces[i] for i in np.flatnonzero(pieces.any(1))}
+
+    sums = summed(documents.select(F.col("text").cast("string").alias("text")), partial, PIECE)
+    flat = np.zeros(-(-size // PIECE) * PIECE)
+    for i, v in sums.items():
+        flat[i * PIECE : (i + 1) * PIECE] = v
+    n = len(vocabulary.keys)
+    return flat[:n], flat[n : n + BUCKETS], int(flat[size - 1])
+
+
+def fit_toxicity(documents: DataFrame, labels: DataFrame, max_examples: int = 4096) -> ToxicityModel | None:
+    """The model; None without labelled examples."""
+    spark = documents.sparkSession
+    batch_limit(spark)
+    known = agreed_labels(labels, "toxic", 4, 2)
+    drawn = drawn_rows(documents, known, {y: max_examples // 2 for y in (0, 1)}, seed=31)
+    order = F.row_number().over(_by_id())
+    examples = written(drawn.select((order - 1).cast("bigint").alias("number"), "doc_id", "text", "y", "stands_for"), "toxic-examples")
+    rows = examples.select("number", "doc_id", "y", "stands_for").toPandas().sort_values("number")
+    if not len(rows):
+        return None
+    y, stands_for = rows["y"].to_numpy(np.float64), rows["stands_for"].to_numpy(np.float64)
+    parts = _example_vectors(examples)
+    sizes = np.diff(np.concatenate([[0], np.cumsum(parts.column("keys").combine_chunks().value_lengths().to_numpy())]))
+    number = np.repeat(parts.column("number").to_numpy(), sizes)
+    key = parts.column("keys").combine_chunks().flatten().to_numpy().view(U)
+    tf = parts.column("tfs").combine_chunks().flatten().to_numpy()
+    by = np.lexsort((key, number))
+    key, number, tf = key[by], number[by], tf[by]
+    vocabulary = Vocabulary(np.unique(key))
+    at = np.searchsorted(vocabulary.keys, key)
+    size = len(vocabulary.keys)
+    phi = phi_squared(np.bincount(at, weights=y[number], minlength=size), np.bincount(at, minlength=size).astype(np.float64), int(y.sum()), int((1 - y).sum()))
+    df, other, total = document_frequencies(documents, vocabulary)
+    weights = Weights(vocabulary, df, other, total, phi)
+    index = BlockMaxIndex(*weights.vectors(key, number, tf, len(y)), size)
+    base = float((y * stands_for).sum() / stands_for.sum())
+    model = ToxicityModel(weights, index, y[index.order], rows["doc_id"].to_numpy(np.int64)[index.order], base)
+    model.knots = _calibrate(examples, model)
+    return model
+
+
+def _by_id():
+    from pyspark.sql import Window
+
+    return Window.orderBy("doc_id", "digest")  # the sample, which is bounded
+
+
+def _calibrate(examples: DataFrame, model: ToxicityModel) -> tuple[np.ndarray, np.ndarray]:
+    """Isotonic regression on the examples' votes, each without itself."""
+    shared = examples.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = shared.value
-        bitmap = np.zeros(1 << 16, bool)
-        bitmap[known >> U(48)] = True
         for b in batches:
+            number = b.column(0).to_numpy()
             for lo, hi, data, offsets in slices(b.column(b.num_columns - 1)):
-                key, doc, _ = terms(data, offsets)
-                maybe = bitmap[key >> U(48)]
-                key, doc = key[maybe], doc[maybe]
-                at = np.searchsorted(known, key)
-                hit = known[np.minimum(at, len(known) - 1)] == key if len(known) else np.zeros(len(key), bool)
-                pair, tf = np.unique(doc[hit] * max(len(known), 1) + at[hit], return_counts=True)
-                rows = pair // max(len(known), 1)
-                cuts = pa.array(np.searchsorted(rows, np.arange(hi - lo + 1)).astype(np.int32))
-                lists = [pa.ListArray.from_arrays(cuts, pa.array(x.astype(np.int32))) for x in (pair % max(len(known), 1), tf)]
-                yield pa.RecordBatch.from_arrays([*b.slice(lo, hi - lo).columns[:-1], *lists], names=[*b.schema.names[:-1], "terms", "tfs"])
-
-    return picked.mapInArrow(run, schema)
-
-
-def choose_terms(examples: DataFrame, max_terms: int, min_chi: float, min_lift: float) -> np.ndarray:
-    """The terms of ``examples`` (text, y 0/1) that tell the classes apart, as sorted hashes."""
-    spark = examples.sparkSession
-    sizes = {int(r["y"]): r["n"] for r in examples.groupBy("y").agg(F.count("*").alias("n")).collect()}
-    n1, n0 = sizes.get(1, 0), sizes.get(0, 0)
-    if not n1 or not n0:
-        return np.zeros(0, U)
-
-    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            y = b.column(0).to_numpy()
-            for lo, hi, data, offsets in slices(b.column(1)):
-                key, doc, _ = terms(data, offsets)
-                order = np.lexsort((doc, key))
-                key, doc = key[order], doc[order]
-                new = np.ones(len(key), bool)
-                new[1:] = (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])
-                key, of = key[new], y[lo:hi][doc[new]]
-                unique, inverse = np.unique(key, return_inverse=True)
-                both = np.bincount(inverse, minlength=len(unique))
-                toxic = np.bincount(inverse, weights=of, minlength=len(unique)).astype(np.int64)
-                yield pa.RecordBatch.from_pydict({"t": pa.array(unique.view(np.int64)), "a": pa.array(toxic), "n": pa.array(both)})
-
-    sums = examples.select(F.col("y").cast("double"), "text").mapInArrow(tally, "t bigint, a bigint, n bigint").groupBy("t").agg(F.sum("a").cast("double").alias("a"), F.sum("n").cast("double").alias("n"))
-    a, b = F.col("a"), F.col("n") - F.col("a")
-    n = float(n1 + n0)
-    chi = n * F.pow(a * (n0 - b) - b * (n1 - a), 2) / (F.col("n") * (n - F.col("n")) * float(n1) * float(n0))
-    lift = ((a + 0.5) / (n1 + 1.0)) / ((b + 0.5) / (n0 + 1.0))
-    best = sums.where((F.col("n") < n) & ((lift >= min_lift) | (lift <= 1 / min_lift))).withColumn("chi", chi).where(F.col("chi") >= min_chi).orderBy(F.desc("chi"), "t").limit(max_terms)
-    return np.sort(np.array([r["t"] for r in best.select("t").collect()], np.int64).view(U))
-
-
-def fit_toxicity(documents: DataFrame, labels: DataFrame, max_examples: int = 20_000, max_terms: int = 4096, min_chi: float = 36.0, min_lift: float = 2.5) -> tuple[ToxicityModel, DataFrame]:
-    """The model, and every row of ``documents`` as (doc_id, terms, tfs)."""
-    train = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & F.coalesce(id_remainder("doc_id", 4) != 2, F.lit(False)))
-    known = train.select("doc_id", F.col("toxic").cast("int").alias("y")).dropDuplicates(["doc_id"])
-    n = known.count()
-    draw = F.pmod(F.xxhash64("doc_id", F.lit(31)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    sample = written(known.where(draw < F.lit(min(1.0, max_examples / max(n, 1)))), "toxic-sample")  # about max_examples ids: small enough to be sent
-    batch_limit(documents.sparkSession)
-    examples = written(documents.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(sample), "doc_id"), "toxic-examples")
-    model = ToxicityModel(choose_terms(examples, max_terms, min_chi, min_lift))
-    table = written(counted(documents, model.vocabulary, ["doc_id"]), "toxic-terms")
-    total = table.count()
-    df = np.zeros(len(model.vocabulary))
-    for r in table.select(F.explode("terms").alias("t")).groupBy("t").agg(F.count("*").alias("n")).collect():  # max_terms rows
-        df[r["t"]] = r["n"]
-    model.idf = np.log((1 + total) / (1 + df)) + 1
-    # repeated rows of a sampled id may exceed the sample; they are as many examples
-    rows = counted(examples, model.vocabulary, ["doc_id", "y"]).collect()
-    rows.sort(key=lambda r: (r["doc_id"], r["terms"], r["tfs"]))
-    y = np.array([r["y"] for r in rows], np.float64)
-    if not len(y):
-        return model, table
-    model.base = float(y.mean())
-    some = np.array([bool(r["terms"]) for r in rows])
-    model.empty_rate = float((y[~some].sum() + PRIOR * model.base) / ((~some).sum() + PRIOR))
-    vectors = [(np.array(r["terms"], np.int64), model.vector(np.array(r["terms"], np.int64), np.array(r["tfs"], np.float64))) for r in rows if r["terms"]]
-    names = np.array([r["doc_id"] for r in rows], np.int64)
-    model.index = BlockMaxIndex(vectors, y[some], names[some], len(model.vocabulary))
-    raw = np.full(len(y), model.empty_rate)
-    of = {int(x): i for i, x in enumerate(side_by_side(vectors))}
-    for j, k in enumerate(np.flatnonzero(some)):
-        near, cosine = model.index.nearest(*vectors[j], NEIGHBOURS, without=of[j])
-        raw[k] = model.vote(near, cosine)
-    bins = np.round(raw, 3)
-    unique, inverse = np.unique(bins, return_inverse=True)
-    weight = np.bincount(inverse).astype(np.float64)
-    model.knots = isotonic(unique, np.bincount(inverse, weights=y) / weight, weight)
-    return model, table
-
-
-def score_toxicity(table: DataFrame, model: ToxicityModel, evidence: int = 3) -> DataFrame:
-    """``table`` (with terms, tfs) with ``score`` and ``evidence``: the nearest examples (doc_id, similarity, toxic)."""
-    spark = table.sparkSession
-    shared = spark.sparkContext.broadcast(model)  # bounded by max_examples and max_terms
-    schema = extended(table.drop("terms", "tfs").schema, "score double, evidence array<struct<doc_id:bigint,similarity:double,toxic:int>>")
-    kept = [c for c in table.columns if c not in ("terms", "tfs")]
+                votes, _ = shared.value.votes(data, offsets, without=number[lo:hi])
+                yield pa.RecordBatch.from_arrays([*b.slice(lo, hi - lo).columns[1:-1], pa.array(votes, pa.float64())], names=["y", "stands_for", "vote"])
+
+    spread = examples.select("number", "y", "stands_for", "text").repartition(examples.sparkSession.sparkContext.defaultParallelism, "number")
+    rows = spread.mapInArrow(run, "y int, stands_for double, vote double").toPandas()  # a row an example
+    rows = rows.sort_values(["vote", "y", "stands_for"])
+    bins, inverse = np.unique(np.round(rows["vote"].to_numpy(), 3), return_inverse=True)
+    weight = np.bincount(inverse, weights=rows["stands_for"])
+    return isotonic(bins, np.bincount(inverse, weights=rows["y"] * rows["stands_for"]) / weight, weight)
+
+
+def score_toxicity(documents: DataFrame, model: ToxicityModel | None, keep: list[str], evidence: int = 3) -> DataFrame:
+    """Columns ``keep`` of every row with ``score`` and ``evidence``: the nearest examples (doc_id, similarity, toxic)."""
+    spark = documents.sparkSession
+    batch_limit(spark)
+    nearest = "array<struct<doc_id:bigint,similarity:double,toxic:int>>"
+    if model is None:
+        return documents.select(*keep, F.lit(0.0).alias("score"), F.array().cast(nearest).alias("evidence"))
+    shared = spark.sparkContext.broadcast(model)  # bounded by max_examples rows
+    picked = documents.select(*[F.col(c) for c in keep], F.col("text").cast("string").alias("__text"))
+    kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("similarity", pa.float64()), ("toxic", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
-        cache: dict[tuple, tuple[float, list]] = {}
+        m, cache = shared.value, {}
         for b in batches:
-            raw, seen = [], []
-            for ids, tfs in zip(b.column("terms").to_pylist(), b.column("tfs").to_pylist(), strict=True):
-                if not ids or m.index is None:
-                    raw.append(m.empty_rate)
-                    seen.append([])
-                    continue
-                key = (tuple(ids), tuple(tfs))
-                if key not in cache:
-                    if len(cache) > 20_000:
-                        cache.clear()
-                    i = np.array(ids, np.int64)
-                    near, cosine = m.index.nearest(i, m.vector(i, np.array(tfs, np.float64)), NEIGHBOURS)
-                    cache[key] = m.vote(near, cosine), [{"doc_id": int(m.index.names[x]), "similarity": float(s), "toxic": int(m.index.labels[x])} for x, s in zip(near[:evidence], cosine[:evidence], strict=True)]
-                raw.append(cache[key][0])
-                seen.append(cache[key][1])
-            score = calibrated(np.array(raw, np.float64), m.knots, 0.0)
-            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in kept], pa.array(score), pa.array(seen, pa.list_(pa.struct([("doc_id", pa.int64()), ("similarity", pa.float64()), ("toxic", pa.int32())])))], names=[*kept, "score", "evidence"])
+            for lo, hi, data, offsets in slices(b.column(b.num_columns - 1)):
+                votes, seen = m.votes(data, offsets, evidence=evidence, cache=cache)
+                score = calibrated(np.array(votes, np.float64), m.knots, 0.0)
+                yield pa.RecordBatch.from_arrays([*b.slice(lo, hi - lo).columns[:-1], pa.array(score), pa.array(seen, kind)], names=[*b.schema.names[:-1], "score", "evidence"])
 
-    return table.mapInArrow(run, schema)
+    return picked.mapInArrow(run, extended(picked.drop("__text").schema, f"score double, evidence {nearest}"))
 
 
-def classify_toxicity(documents: DataFrame, labels: DataFrame, max_examples: int = 20_000) -> DataFrame:
+def classify_toxicity(documents: DataFrame, labels: DataFrame, max_examples: int = 4096) -> DataFrame:
     """(doc_id, held_out, score, predicted, evidence) of every row of ``documents``."""
-    model, table = fit_toxicity(documents, labels, max_examples)
+    model = fit_toxicity(documents, labels, max_examples)
     held = F.coalesce(id_remainder("doc_id", 4) == 2, F.lit(False))
-    return score_toxicity(table, model).select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), "evidence")
+    return score_toxicity(documents, model, ["doc_id"]).select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), "evidence")
