@@ -4,7 +4,7 @@ Of two conversations, chosen and rejected, the longest common prefix of turns (s
 on either side is its completion. A completion comes with its segments: (start, end, train) in characters of the completion, one a turn, where only
 turns of ``TRAIN_ROLE`` are trained on; the header of a turn is not, its closing mark is.
 
-A pair's turns meet in one group, which the resulting row has to hold in any case; conversations are never compared with one another beyond their pair, and nothing else is shuffled.
+A pair's turns meet in one group, which the resulting row has to hold in any case; conversations are never compared with one another beyond their pair.
 
 Defined results: turns are ordered by (turn, role, text), null turns first, and repeated rows are turns of their own; null roles render as an empty role, null texts as empty texts (a null is not equal to an
 empty text when prefixes are compared); pairs of which a side has no turn have an empty prompt and that side's completion empty; turns without a pair key are left out; an
@@ -47,13 +47,22 @@ def segments(turns: Column) -> Column:
 
 def preference_pairs(turns: DataFrame, pair: str = "pair_id", side: str = "chosen") -> DataFrame:
     """One row a pair from turns (pair key, ``chosen`` boolean, turn, role, text)."""
-    turn = F.struct(F.col("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
+    turn = _turn()
     grouped = turns.where(F.col(pair).isNotNull() & F.col(side).isNotNull()).groupBy(pair).agg(F.sort_array(F.collect_list(F.when(F.col(side), turn))).alias("a"), F.sort_array(F.collect_list(F.when(~F.col(side), turn))).alias("b"))
+    return format_pairs(grouped, pair)
+
+
+def _turn() -> Column:
+    return F.struct(F.col("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
+
+
+def format_pairs(pairs: DataFrame, pair: str = "pair_id") -> DataFrame:
+    """One row a pair from (pair key, a: turns of the chosen conversation, b: of the rejected one), both in order."""
     # the first place at which the sides differ, or the end of the shorter one
     both = F.zip_with(F.slice("a", 1, F.least(F.size("a"), F.size("b"))), F.slice("b", 1, F.least(F.size("a"), F.size("b"))), lambda x, y: x["role"].eqNullSafe(y["role"]) & x["text"].eqNullSafe(y["text"]))
     same = F.array_position(both, F.lit(False))
     n = F.when(same > 0, same - 1).otherwise(F.size(both)).cast("int")
-    cut = grouped.withColumn("prompt_turns", n)
+    cut = pairs.withColumn("prompt_turns", n)
     rest = lambda x: F.slice(x, F.col("prompt_turns") + 1, F.size(x))
     cut = cut.select(pair, "prompt_turns", F.slice("a", 1, F.col("prompt_turns")).alias("p"), *[F.when(F.size(x) > F.col("prompt_turns"), rest(x)).otherwise(F.slice(x, 1, 0)).alias(x) for x in ("a", "b")])
     return cut.select(pair, "prompt_turns", render(F.col("p")).alias("prompt"), render(F.col("a")).alias("chosen"), segments(F.col("a")).alias("chosen_segments"), render(F.col("b")).alias("rejected"), segments(F.col("b")).alias("rejected_segments"))
@@ -64,6 +73,19 @@ def masked(text: Column, parts: Column) -> Column:
     return F.concat_ws("", F.transform(F.filter(parts, lambda s: s["train"]), lambda s: F.substring(text, s["start"] + 1, s["end"] - s["start"])))
 
 
-def neighbours_as_pairs(conversations: DataFrame) -> DataFrame:
-    """Turns of pairs: of conversations 2k and 2k + 1 the even one is the chosen side, the odd one the rejected."""
-    return conversations.select(F.floor(F.col("conv_id") / 2).cast("long").alias("pair_id"), (F.pmod(F.col("conv_id"), F.lit(2)) == 0).alias("chosen"), "turn", "role", "text")
+def rejected_variants(conversations: DataFrame) -> DataFrame:
+    """Pairs (pair_id, a, b) for ``format_pairs`` from conversations (conv_id, turn, role, text), which hold no preferences: each conversation is the chosen side of a pair.
+
+    A digit drawn by the MD5 of its id says what is rejected. 0 to 2: the conversation that shares all but the lowest bit of the id (no turn if there is none), so that prefixes are mostly
+    empty; 3 to 5: the conversation without its last turn, a prefix that the rejected side has whole; others: the conversation with the text of its last turn
+    exchanged for that of its neighbour's last turn (null if there is none), so that all turns but the last are shared. Conversations meet only their neighbour, by an equi-join on the id.
+    """
+    whole = conversations.where(F.col("conv_id").isNotNull()).groupBy(F.col("conv_id").cast("bigint").alias("pair_id")).agg(F.sort_array(F.collect_list(_turn())).alias("a"))
+    other = whole.select(F.col("pair_id").bitwiseXOR(F.lit(1).cast("bigint")).alias("pair_id"), F.col("a").alias("o"))
+    kind = F.conv(F.substring(F.md5(F.col("pair_id").cast("string")), 1, 1), 16, 10).cast("int")
+    last = F.element_at("a", -1)
+    swapped = F.struct(last["turn"].alias("turn"), last["role"].alias("role"), F.element_at("o", -1)["text"].alias("text"))
+    shorter = F.slice("a", 1, F.size("a") - 1)
+    none = F.slice("a", 1, 0)
+    b = F.when(kind <= 2, F.coalesce("o", none)).when(kind <= 5, shorter).otherwise(F.concat(shorter, F.array(swapped)))
+    return whole.join(other, "pair_id", "left").select("pair_id", "a", b.alias("b"))

@@ -43,11 +43,11 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return language_id.predict_languages(table(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score")
+    return language_id.predict_languages(table(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score", "rejected")
 
 
 def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = chat_format.preference_pairs(chat_format.neighbours_as_pairs(table(spark, sf_dir, "conversations")))
+    pairs = chat_format.format_pairs(chat_format.rejected_variants(table(spark, sf_dir, "conversations")))
     spans = lambda c: F.concat_ws(",", F.transform(F.filter(c, lambda s: s["train"]), lambda s: F.concat_ws("-", s["start"], s["end"])))
     return pairs.select("pair_id", F.col("prompt_turns").cast("long").alias("prompt_turns"), "prompt", "chosen", "rejected", spans("chosen_segments").alias("chosen_train"), spans("rejected_segments").alias("rejected_train"))
 
@@ -60,10 +60,15 @@ QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_toxicity, op3_dec
 #: Operators that SQL can express. (The others learn, draw, or need a hash that the checking engine lacks: tests compare them with brute force.)
 ORACLE_SQL: dict[str, str] = {
     "op9_chat_formatting": """
-WITH t AS (
-  SELECT CAST(floor(conv_id / 2.0) AS BIGINT) AS pair_id, ((conv_id % 2) + 2) % 2 = 0 AS is_chosen, role, text,
-         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS i
+WITH c AS (
+  SELECT CAST(conv_id AS BIGINT) AS id, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS i,
+         count(*) OVER (PARTITION BY conv_id) AS n, strpos('0123456789abcdef', substr(md5(CAST(conv_id AS BIGINT)::VARCHAR), 1, 1)) - 1 AS kind
   FROM conversations WHERE conv_id IS NOT NULL),
+t AS (
+  SELECT id AS pair_id, true AS is_chosen, role, text, i FROM c
+  UNION ALL SELECT p.id, false, o.role, o.text, o.i FROM c p JOIN c o ON o.id = xor(p.id, 1) WHERE p.i = 1 AND p.kind <= 2
+  UNION ALL SELECT id, false, role, text, i FROM c WHERE kind > 2 AND i < n
+  UNION ALL SELECT p.id, false, p.role, o.text, p.i FROM c p LEFT JOIN c o ON o.id = xor(p.id, 1) AND o.i = o.n WHERE p.kind > 5 AND p.i = p.n),
 m AS (
   SELECT a.pair_id, a.i FROM t a JOIN t b ON a.pair_id = b.pair_id AND a.i = b.i
   WHERE a.is_chosen AND NOT b.is_chosen AND a.role IS NOT DISTINCT FROM b.role AND a.text IS NOT DISTINCT FROM b.text),

@@ -224,14 +224,21 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
 
 
 def keep_one(documents: DataFrame) -> DataFrame:
-    """``documents`` with one row of each component: of the rows with its smallest id the one whose content hash is smallest (equal rows: one of them)."""
+    """``documents`` with one row of each component: of the rows with its smallest id (null ids last) the one whose content hashes are smallest.
+
+    Rows are told apart by two 64-bit hashes of all columns with marks for nulls; of rows equal in every column one stays. Equal rows meet in partial aggregates before the one
+    exchange of texts, and the join with the chosen rows keeps its partitioning. Null and empty texts have fingerprint zero and are near duplicates of one another; an empty table
+    stays empty; all columns, whatever their names, come back as they were.
+    """
     names = documents.columns
-    prints = written(fingerprints(documents.withColumn("__row", F.xxhash64(*[F.col(f"`{c}`").cast("string") for c in names])), ["doc_id", "__row"]), "simhash-prints")
+    marked = [x for c in names for x in (F.col(f"`{c}`").isNull(), F.col(f"`{c}`").cast("string"))]
+    keys = [F.xxhash64(F.lit(seed), *marked).alias(k) for seed, k in ((1, "__a"), (2, "__b"))]
+    prints = written(fingerprints(documents.select(F.col("doc_id"), F.col("text"), *keys), ["doc_id", "__a", "__b"]), "simhash-prints")
     by_fp = classes(prints).select(F.col("fp").alias("__fp"), "component")
-    tagged = prints.join(by_fp, F.col("fp") == F.col("__fp")).select("doc_id", "__row", "component")
+    tagged = prints.join(by_fp, F.col("fp") == F.col("__fp")).select("doc_id", "__a", "__b", "component")
     # by the component and not by its id, which components without ids, or with the same id, have in common
-    best = tagged.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("doc_id"), F.col("__row").alias("row"))).alias("best"))
-    kept = best.select(F.col("best.doc_id").alias("__id"), F.col("best.row").alias("__best"))
-    rows = documents.withColumn("__row", F.xxhash64(*[F.col(f"`{c}`").cast("string") for c in names]))
-    out = rows.join(kept, (F.col("__row") == F.col("__best")) & F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
-    return out.dropDuplicates(["__row"]).drop("__row")
+    best = tagged.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("doc_id"), "__a", "__b")).alias("best"))
+    kept = best.select(F.col("best.__a").alias("__a"), F.col("best.__b").alias("__b"))
+    rows = documents.select(*[F.col(f"`{c}`").alias(f"__c{i}") for i, c in enumerate(names)], *keys)
+    out = rows.dropDuplicates(["__a", "__b"]).join(kept, ["__a", "__b"], "left_semi")
+    return out.select(*[F.col(f"__c{i}").alias(c) for i, c in enumerate(names)])
