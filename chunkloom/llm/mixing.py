@@ -10,8 +10,9 @@ the words a source takes differ from its target by less than the words of one do
 All randomness is a keyed hash of the row's content: reruns and recomputed tasks agree.
 
 Defined results: a null text has size 0, and a document without words is taken as often as the whole part says and adds nothing; a null source is
-the last one in the order; rows equal in every used column (same id and text) are one unit and share their number of copies; a source without words has
-target 0; an empty table gives an empty result; other columns are ignored by ``mix_sizes`` and kept by ``mix_documents``.
+the last one in the order; rows equal in every used column are one unit, whose copies are dealt out evenly among them; a source without words has
+target 0; an empty table gives an empty result; other columns are ignored by ``mix_sizes`` and kept by ``mix_documents``. A tree that has more than ``LEVELS`` levels
+(some 10^14 units) is an error.
 """
 
 from __future__ import annotations
@@ -30,10 +31,17 @@ LEVELS = 12
 MAX_COPIES = 3
 
 
-def sized(documents: DataFrame) -> DataFrame:
-    """Units: (doc_id, source, digest, size, rows) with one row for all rows equal in id, source and text."""
-    narrow = documents.select(F.col("doc_id"), F.col("source").cast("string").alias("source"), F.xxhash64(F.col("text").cast("string"), F.length(F.col("text").cast("string"))).alias("digest"), F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
-    return narrow.groupBy("doc_id", "source", "digest", "size").agg(F.count("*").alias("rows"))
+def identity(columns: list[str]) -> list[Column]:
+    """Two 64-bit hashes (d1, d2) of columns, with marks for nulls: rows equal in all of them are one unit."""
+    marked = [x for c in columns for x in (F.col(f"`{c}`").isNull(), F.col(f"`{c}`").cast("string"))]
+    return [F.xxhash64(F.lit(seed), *marked).alias(k) for seed, k in ((1, "d1"), (2, "d2"))]
+
+
+def sized(documents: DataFrame, columns: list[str]) -> DataFrame:
+    """Units: (doc_id, source, d1, d2, size, rows) with one row for all rows equal in ``columns``, which name id, source and text at least."""
+    size = F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORD)), F.lit(0)).cast("long").alias("size")
+    narrow = documents.select(F.col("doc_id"), F.col("source").cast("string").alias("source"), *identity(columns), size)
+    return narrow.groupBy("doc_id", "source", "d1", "d2", "size").agg(F.count("*").alias("rows"))
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = MAX_COPIES) -> DataFrame:
@@ -111,39 +119,68 @@ def pivotal(units: DataFrame, seed: int = 17) -> DataFrame:
         level = folded.where(F.col("n") > 1).select("s", (F.col("n") * (FAN_IN // KEEP + 1)).alias("k"), F.explode(up).alias("x")).select("s", F.col("x.u").alias("u"), F.col("x.a").alias("a"), F.col("x.p").alias("p"), "k")
         if level.isEmpty():
             break
+    else:
+        raise ValueError("more units than the reduction tree has levels for")
     out = parts[0]
     for x in parts[1:]:
         out = out.unionByName(x)
     return out
 
 
-def mix_units(documents: DataFrame, weights: tuple[int, ...] = (1, 2, 3), seed: int = 17) -> DataFrame:
-    """Units with source_size, target and ``copies`` (0 .. 3)."""
-    units = written(sized(documents), "mix-units")
+def mix_units(documents: DataFrame, columns: list[str], weights: tuple[int, ...] = (1, 2, 3), seed: int = 17) -> DataFrame:
+    """Units with source_size, target, ``whole`` copies of each of their ``rows`` and ``extra`` rows that are taken once more.
+
+    Of a unit's rows * p copies the whole part is certain; only a row for the rest goes to the meetings, so that no draw decides about more than one row.
+    """
+    units = written(sized(documents, columns), "mix-units")
     per_source = units.groupBy("source").agg(F.sum(F.col("size") * F.col("rows")).alias("source_size"), F.count("*").alias("k"))
     goal = written(targets(per_source, weights), "mix-targets")
     s = goal.select(F.col("source").alias("__source"), "source_size", "target", "k")
     joined = units.join(s, F.col("source").eqNullSafe(F.col("__source")), "left").drop("__source")
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    joined = joined.withColumn("__whole", F.least(F.floor(ratio), F.lit(MAX_COPIES))).withColumn("__p", F.when(F.col("__whole") < MAX_COPIES, ratio - F.col("__whole")).otherwise(F.lit(0.0)))
-    joined = joined.withColumn("u", F.xxhash64("doc_id", "source", "digest", F.lit(seed)))
-    open_units = joined.where((F.col("__p") > 0) & (F.col("size") > 0)).select(F.xxhash64("source", F.col("source").isNull()).alias("s"), "u", (F.col("size") * F.col("rows")).cast("double").alias("a"), F.col("__p").alias("p"), "k")
+    joined = joined.withColumn("whole", F.least(F.floor(ratio), F.lit(MAX_COPIES))).withColumn("__p", F.when(F.col("whole") < MAX_COPIES, ratio - F.col("whole")).otherwise(F.lit(0.0)))
+    joined = joined.withColumn("__sure", F.floor(F.col("rows") * F.col("__p"))).withColumn("__p", F.col("rows") * F.col("__p") - F.col("__sure"))
+    joined = joined.withColumn("u", F.xxhash64("d1", "d2", F.lit(seed)))
+    open_units = joined.where((F.col("__p") > 0) & (F.col("size") > 0)).select(F.xxhash64("source", F.col("source").isNull()).alias("s"), "u", F.col("size").cast("double").alias("a"), F.col("__p").alias("p"), "k")
     chosen = pivotal(open_units, seed)
     rounded = joined.join(chosen.select("u", "taken"), "u", "left")
-    return rounded.withColumn("copies", (F.col("__whole") + F.coalesce(F.col("taken"), F.lit(0))).cast("int")).drop("__whole", "__p", "taken", "u", "k")
+    return written(rounded.withColumn("extra", F.col("__sure") + F.coalesce(F.col("taken"), F.lit(0))).drop("__sure", "__p", "taken", "u", "k"), "mix-copies")
+
+
+#: Rows that one row spreads out to where it stands; more are dealt to as many tasks first.
+SPREAD = 1024
+
+
+def _spread(df: DataFrame, n: str, keys: list[str], share: str, before: str) -> DataFrame:
+    """Rows ``__i`` = 1 .. ``n`` of each row of ``df``: a row that stands for many is cut in pieces of SPREAD, which are dealt out before they spread."""
+    few = df.where(F.col(n) <= SPREAD).withColumn(share, F.col(n)).withColumn(before, F.lit(0).cast("long"))
+    if not df.where(F.col(n) > SPREAD).isEmpty():
+        pieces = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col(n) - 1) / F.lit(SPREAD))))
+        many = df.where(F.col(n) > SPREAD).withColumn("__piece", pieces)
+        many = many.withColumn(before, F.col("__piece") * F.lit(SPREAD)).withColumn(share, F.least(F.lit(SPREAD).cast("long"), F.col(n) - F.col(before)))
+        few = few.unionByName(many.repartition(*keys, "__piece").drop("__piece"))
+    return few.where(F.col(share) > 0).withColumn("__i", F.explode(F.sequence(F.col(before) + 1, F.col(before) + F.col(share)))).drop(share, before)
 
 
 def mix_sizes(documents: DataFrame, weights: tuple[int, ...] = (1, 2, 3), seed: int = 17) -> DataFrame:
     """(doc_id, size, source, source_size, target, taken, copies): a row for each row of ``documents``."""
-    out = mix_units(documents, weights, seed).withColumn("__row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("rows"))))
-    return out.select("doc_id", "size", "source", "source_size", "target", (F.col("size") * F.col("copies")).cast("long").alias("taken"), "copies")
+    out = _spread(mix_units(documents, ["doc_id", "source", "text"], weights, seed), "rows", ["d1", "d2"], "__n", "__o")
+    copies = (F.col("whole") + (F.col("__i") <= F.col("extra")).cast("int")).cast("int")
+    return out.select("doc_id", "size", "source", "source_size", "target", (F.col("size") * copies).cast("long").alias("taken"), copies.alias("copies"))
 
 
 def mix_documents(documents: DataFrame, weights: tuple[int, ...] = (1, 2, 3), seed: int = 17) -> DataFrame:
-    """``documents`` with every row as often as the mix takes it."""
-    copies = mix_units(documents, weights, seed).where(F.col("copies") > 0).select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("digest").alias("__digest"), F.col("copies").alias("__copies"))
-    digest = F.xxhash64(F.col("text").cast("string"), F.length(F.col("text").cast("string")))
-    left = documents.withColumn("__d", digest)
-    same = (F.col("__d") == F.col("__digest")) & F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("source").cast("string").eqNullSafe(F.col("__source"))
-    out = left.join(copies, same)
-    return out.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*[F.col(f"`{c}`") for c in documents.columns])
+    """``documents`` with every row as often as the mix takes it.
+
+    Rows equal in every column meet in partial aggregates before the one exchange of texts; their copies are spread out behind the join, in pieces on several tasks if there are many.
+    Null texts have size 0; a null source is the last one; an empty table stays empty; all columns, whatever their names, come back as they were.
+    """
+    names = documents.columns
+    units = mix_units(documents, names, weights, seed).select("d1", "d2", (F.col("rows") * F.col("whole") + F.col("extra")).cast("long").alias("__copies"))
+    rows = documents.select(*[F.col(f"`{c}`").alias(f"__c{i}") for i, c in enumerate(names)], *identity(names)).dropDuplicates(["d1", "d2"])
+    if units.where(F.col("__copies") > SPREAD).isEmpty():
+        out = rows.join(units.where(F.col("__copies") > 0), ["d1", "d2"]).withColumn("__i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies"))))
+    else:
+        # a row with many copies goes to several tasks with a share of them
+        out = _spread(written(rows.join(units.where(F.col("__copies") > 0), ["d1", "d2"]), "mix-rows"), "__copies", ["d1", "d2"], "__n", "__o")
+    return out.select(*[F.col(f"__c{i}").alias(c) for i, c in enumerate(names)])
