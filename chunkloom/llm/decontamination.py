@@ -39,6 +39,8 @@ SEPARATOR = np.ones(256, bool)
 SEPARATOR[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
 #: Words of the items that one block of the benchmark has at most (8 bytes each, and as much again for the keys).
 BLOCK_WORDS = 400_000
+#: Numbers that the walks of some windows, and the edit distances of some candidates, hold at once: memory doesn't follow the longest item.
+HELD = 4 << 20
 MAX_GRAM = 4
 _PAD = U(0x1234567)
 
@@ -97,25 +99,37 @@ class LeakIndex:
             bitmap = np.zeros(1 << 20, bool)
             bitmap[unique >> U(44)] = True
             self.grams[g] = (unique, np.append(first, len(key)), doc[at], at - start[at], bitmap)
-        padded = np.full((len(self.words), int(self.sizes.max(initial=0))), _PAD, U)
-        for i, w in enumerate(self.words):
-            padded[i, : len(w)] = w
-        keys = self.embed(padded, self.sizes, self.sizes)
+        flat = np.concatenate(self.words) if self.words else np.zeros(0, U)
+        keys = self.embed(flat, np.cumsum(self.sizes) - self.sizes, self.sizes, self.sizes)
         order = np.argsort(keys.ravel(), kind="stable")
         self.keys = keys.ravel()[order]
         self.key_items = np.repeat(np.arange(len(self.words)), keys.shape[1])[order]
 
-    def embed(self, padded: np.ndarray, length: np.ndarray, size: np.ndarray) -> np.ndarray:
-        """Keys (rows x walks * tables) of word sequences of some length, read as windows of some size."""
+    def embed(self, flat: np.ndarray, start: np.ndarray, length: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Keys (rows x walks * tables) of the runs flat[start : start + length], read as windows of some size; alike sizes side by side, as many as ``HELD`` allows."""
         p = self.parameters
-        c, steps = len(padded), int(2 * size.max(initial=0))
+        out = np.empty((len(start), p.walks * p.tables), U)
+        order = np.argsort(size, kind="stable")
+        at = 0
+        while at < len(order):
+            # steps x walks numbers a row; the longest of a group is at most twice its shortest
+            shortest = int(size[order[at]])
+            end = int(np.searchsorted(size[order], 2 * max(shortest, 16), side="right"))
+            end = at + max(1, min(end - at, HELD // (2 * int(size[order[end - 1]]) * p.walks + 1)))
+            own = order[at:end]
+            out[own] = self._walk(flat, start[own], length[own], size[own])
+            at = end
+        return out
+
+    def _walk(self, flat: np.ndarray, start: np.ndarray, length: np.ndarray, size: np.ndarray) -> np.ndarray:
+        p = self.parameters
+        c, steps = len(start), int(2 * size.max(initial=0))
         at = np.zeros((c, p.walks), np.int64)
         out = np.empty((steps, c, p.walks), U)
         keys_of_step = mix(np.arange(1, (steps + 1) * p.walks + 1, dtype=np.uint64) * U(0x9E3779B97F4A7C15) + U(p.seed)).reshape(-1, p.walks)
-        rows = np.arange(c)[:, None]
-        top = max(padded.shape[1] - 1, 0)
+        top, begin, end = max(len(flat) - 1, 0), start[:, None], length[:, None]
         for j in range(steps):
-            symbol = np.where(at < length[:, None], padded[rows, np.minimum(at, top)], _PAD)
+            symbol = np.where(at < end, flat[np.minimum(begin + at, top)], _PAD) if len(flat) else np.full(at.shape, _PAD, U)
             out[j] = symbol
             z = (symbol ^ keys_of_step[j]) * U(0xFF51AFD7ED558CCD)
             at += ((z ^ (z >> U(29))) * U(0xC4CEB9FE1A85EC53) >> U(63)).astype(np.int64)
@@ -180,10 +194,7 @@ class LeakIndex:
     def _verify(self, w: Words, h: np.ndarray, seen: np.ndarray) -> tuple[np.ndarray, ...]:
         doc, start, size = seen.T
         length = np.minimum(size, w.first[doc + 1] - start)
-        width = int(size.max())
-        span = np.arange(width)
-        padded = np.where(span < length[:, None], h[np.minimum(start[:, None] + span, len(h) - 1)], _PAD)
-        keys = self.embed(padded, length, size)
+        keys = self.embed(h, start, length, size)
         lo, hi = np.searchsorted(self.keys, keys.ravel(), "left"), np.searchsorted(self.keys, keys.ravel(), "right")
         count = hi - lo
         row = np.repeat(np.repeat(np.arange(len(doc)), keys.shape[1]), count)
@@ -193,11 +204,13 @@ class LeakIndex:
         same = self.sizes[item] == size[row]
         row, item = row[same], item[same]
         distance = np.zeros(len(row), np.int64)
-        for n in np.unique(size[row]):
-            own = np.flatnonzero(size[row] == n)
-            for i in range(0, len(own), 2048):
-                part = own[i : i + 2048]
-                distance[part] = edit_distances(padded[row[part], :n], length[row[part]], np.stack([self.words[x] for x in item[part]]))
+        for n in np.unique(size[row]).tolist():
+            own, step = np.flatnonzero(size[row] == n), max(1, HELD // (8 * (n + 1)))
+            for i in range(0, len(own), step):
+                part = own[i : i + step]
+                r = row[part]
+                padded = np.where(np.arange(n) < length[r][:, None], h[np.minimum(start[r][:, None] + np.arange(n), len(h) - 1)], _PAD)
+                distance[part] = edit_distances(padded, length[r], np.stack([self.words[x] for x in item[part]]))
         ok = distance <= self.parameters.edits(size[row])
         return doc[row][ok], item[ok], start[row][ok], distance[ok]
 
@@ -247,12 +260,10 @@ def _walks_needed(words: list[np.ndarray], p: LeakParameters) -> int:
     index = LeakIndex.__new__(LeakIndex)
     index.parameters = replace(p, walks=TRIED_WALKS)
     size = np.array([len(w) for w in picked], np.int64)
-    width = int(size.max())
-    a, b = (np.full((TRIALS, width), _PAD, U) for _ in range(2))
-    for i, w in enumerate(picked):
-        a[i, : len(w)] = w
-        b[i, : len(w)] = edited_copy(w, int(p.edits(len(w))), rng)
-    same = (index.embed(a, size, size) == index.embed(b, size, size)).reshape(TRIALS, TRIED_WALKS, p.tables).any(2)
+    begin = np.cumsum(size) - size
+    edited = [edited_copy(w, int(p.edits(len(w))), rng) for w in picked]
+    keys = [index.embed(np.concatenate(x), begin, size, size) for x in (picked, edited)]
+    same = (keys[0] == keys[1]).reshape(TRIALS, TRIED_WALKS, p.tables).any(2)
     # a copy's chance a walk, drawn towards the mean of all so that none counts as impossible
     chance = (same.sum(1) + same.mean() * 4) / (TRIED_WALKS + 4)
     for n in range(1, 256):
@@ -313,7 +324,10 @@ def leaks(documents: DataFrame, benchmark: DataFrame, parameters: LeakParameters
 
 
 def remove_leaks(documents: DataFrame, benchmark: DataFrame, parameters: LeakParameters | None = None) -> DataFrame:
-    """``documents`` without the rows that hold an item. Rows are judged where they are: no join."""
+    """``documents`` without the rows that hold an item. Rows are judged where they are: no join.
+
+    Null and empty texts hold nothing and stay; repeated rows are judged each by itself; an empty table, or an empty benchmark, takes nothing away; all columns, whatever their names, come back as they were.
+    """
     spark = documents.sparkSession
     batch_limit(spark)
     names = documents.columns
