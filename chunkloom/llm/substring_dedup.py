@@ -3,22 +3,24 @@
 Words are runs of bytes other than the six ASCII separators. A window is 20 consecutive words of a document. A word goes if a window covers it
 whose word sequence also starts earlier (smaller id; in the same document at an earlier word).
 
-The texts are copied once into a table of chunks (some MB each), bucketed by chunk, so that every later pass reads a chunk where it lies; between the passes
-only packed arrays of hashes are shuffled, a row for each chunk and bucket of the hash space.
+The texts are copied once into a table of chunks (some MB and at most ``CHUNK_ROWS`` rows each), bucketed by chunk, so that every later pass reads a chunk where it lies; between the passes
+only packed arrays are shuffled, a row for each chunk and bucket of the hash space, and the words that are compared.
 
 1. Index and probe. The non-overlapping reference blocks of ``BLOCK`` = 10 words of every document are the anchors; every rolling run of 10 words of every document
    probes them. Any 20-word window holds a whole reference block of the document it stands in, so each repeat hits an anchor. Chunks send their distinct runs
    (shortened to log2(words) + 13 bits, sorted, as differences), marked where a reference block lies; a bucket answers each chunk which of its runs are
-   anchors that also stand elsewhere. Shortened runs may hit falsely; nothing is decided here.
-2. Extend. The windows around a chunk's hits, up to a whole window on both sides, are the candidates. A chunk sends each distinct candidate once, with
-   its first place; a bucket finds the first place of all and answers the chunks whose own first place is not it.
-3. Cut. A window repeats if its chunk holds it earlier, or if the answer names it; overlapping windows join to maximal repeats, whose words go.
-
-A passage that every document shares costs one entry a chunk in the shuffles, not one an occurrence. Windows are compared by two 64-bit hashes each, polynomials at
-random points chosen apart from the data, of which 96 bits travel.
-
-Defined results: null and empty texts have no words and an empty remainder; texts under 20 words never lose a word; a null id counts as larger than all others; rows of the same id are
-ordered as the copied table has them (equal rows: one keeps its words); an empty table gives an empty result; columns other than the id and the text are ignored.
+   anchors that also stand elsewhere, in other chunks or in this one. Shortened runs may hit falsely; nothing is decided here.
+2. Extend. The windows around a chunk's hits, up to a whole window on both sides, are the candidates; no other window is looked at. Of equal candidates in a chunk the first is found by two
+   hashes (96 bits), and the words of the others are compared with its words. The chunk sends each distinct candidate once, with the place where it first stands; a bucket finds the first
+   place of all and tells the chunks whose own first place is not it where that is.
+3. Compare. Windows whose first places follow one another as they do themselves join to maximal runs. Each run's words go to the chunk that holds their first place (once for each map
+   task, however many chunks have the run), and are compared there, word by word, while that chunk is cut. A difference would be a collision of 96 bits: it stops the job, and nothing wrong comes out.
+4. Cut. The words that the repeating windows cover go.
+
+A passage that every document shares costs one entry a chunk in the shuffles, not one an occurrence.
+
+Defined results: null and empty texts have no words and an empty remainder; texts under 20 words never lose a word; a null id counts as larger than all others; rows of the same id stand
+in the order of a hash of their texts (of equal rows one keeps its words), whatever the partitioning; an empty table gives an empty result; columns other than the id and the text are ignored.
 """
 
 from __future__ import annotations
@@ -31,14 +33,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import batch_limit, large_binary, shared_dir, slices
+from .shared import batch_limit, large_binary, shared_dir, slices, written
 from .textkit import SECOND_BASE, U, Words, covered, windows
 
 WINDOW = 20
 BLOCK = 10
-#: Bytes of text in a chunk (a longer document is a chunk of its own), and hashes that one bucket holds on average.
+#: Bytes of text (a longer document is a chunk of its own) and rows in a chunk, hashes that one bucket holds on average, bytes that are compared at once.
 CHUNK_BYTES = 8 << 20
+CHUNK_ROWS = 1 << 15
 BUCKET_HASHES = 1 << 21
+COMPARED = 1 << 20
 LAST = np.int64((1 << 63) - 1)
 
 
@@ -54,20 +58,22 @@ def unpack(raw: bytes) -> np.ndarray:
 
 
 def planes(values: np.ndarray) -> bytes:
-    """64-bit values, all lowest bytes first."""
-    return np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes()
+    """Values of 4 or 8 bytes, all lowest bytes first."""
+    n = values.itemsize
+    return np.ascontiguousarray(np.ascontiguousarray(values).view(np.uint8).reshape(-1, n).T).tobytes()
 
 
-def unplanes(raw: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, -1).T).view("<u8").ravel()
+def unplanes(raw: bytes, kind: type = U) -> np.ndarray:
+    n = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(n, -1).T).view(kind).ravel()
 
 
 def bucket_of(h: np.ndarray, buckets: int) -> np.ndarray:
     return ((h >> U(32)) * U(buckets) >> U(32)).astype(np.int64)
 
 
-def firsts(h: np.ndarray, second: np.ndarray) -> np.ndarray:
-    """The first place of each distinct pair, in the order of the pairs."""
+def firsts(h: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first place of each distinct pair, in the order of the pairs, and the number of its pair for each place."""
     order = np.argsort(h, kind="stable")
     a = h[order]
     tied = np.flatnonzero((a[1:] == a[:-1]) & (second[order][1:] != second[order][:-1]))
@@ -77,33 +83,64 @@ def firsts(h: np.ndarray, second: np.ndarray) -> np.ndarray:
     b = second[order]
     new = np.ones(len(h), bool)
     new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-    return order[new]
+    group = np.empty(len(h), np.int64)
+    group[order] = np.cumsum(new) - 1
+    return order[new], group
 
 
 def bounds_of(bucket: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]])) if len(bucket) else np.zeros(1, np.int64)
 
 
+def _ranges(start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    n = end - start
+    return np.repeat(start - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+
+
 class Chunk:
-    """Words of a chunk's documents, in the order of (id, row)."""
+    """Words of a chunk's documents, in the order of (id, hash of the text where ids repeat, row)."""
 
-    def __init__(self, table: pa.Table):
+    def __init__(self, table: pa.Table, hashed: bool = True):
         ids = table.column("doc_id").combine_chunks()
         self.void = np.asarray(ids.is_null())
         ids = ids.fill_null(int(LAST)).to_numpy(zero_copy_only=False).astype(np.int64)
-        row = table.column("row").to_numpy()
-        self.order = np.lexsort((row, self.void, ids))
-        self.ids, self.row, self.void = ids[self.order], row[self.order], self.void[self.order]
+        row, tie = table.column("row").to_numpy(), table.column("tie").to_numpy()
+        self.order = np.lexsort((row, tie, self.void, ids))
+        self.ids, self.tie, self.void = ids[self.order], tie[self.order], self.void[self.order]
         self.texts = large_binary(table.column("text")).take(pa.array(self.order))
-        parts, counts = [], []
-        for _, _, data, offsets in slices(self.texts):
-            w = Words(data, offsets)
-            parts.append(w.hashes())
+        parts, counts, starts, ends, data, base = [], [], [], [], [], 0
+        for _, _, own, offsets in slices(self.texts):
+            w = Words(own, offsets)
+            if hashed:
+                parts.append(w.hashes())
             counts.append(np.diff(w.first))
+            starts.append(w.start + base)
+            ends.append(w.end + base)
+            data.append(own)
+            base += len(own)
+        none = np.zeros(0, np.int64)
         self.words = np.concatenate(parts) if parts else np.zeros(0, U)
-        self.count = np.concatenate(counts) if counts else np.zeros(0, np.int64)
+        self.count = np.concatenate(counts) if counts else none
         self.first = np.concatenate([[0], np.cumsum(self.count)])
         self.doc = np.repeat(np.arange(len(self.count)), self.count)
+        self.start, self.end = (np.concatenate(x) if x else none for x in (starts, ends))
+        self.data = np.concatenate(data) if data else np.zeros(0, np.uint8)
+
+    def same_words(self, a: np.ndarray, b: np.ndarray) -> bool:
+        """Whether the words numbered a equal those numbered b, byte by byte."""
+        size = self.end[a] - self.start[a]
+        if (size != self.end[b] - self.start[b]).any():
+            return False
+        cuts = np.searchsorted(np.cumsum(size), np.arange(0, int(size.sum()) + COMPARED, COMPARED))
+        for i, j in zip(cuts[:-1], np.maximum(cuts[1:], cuts[:-1] + 1), strict=True):
+            x, y = self.start[a[i:j]], self.start[b[i:j]]
+            if (self.data[_ranges(x, x + size[i:j])] != self.data[_ranges(y, y + size[i:j])]).any():
+                return False
+        return True
+
+    def text_of(self, word: int, n: int) -> bytes:
+        """Words ``word`` to ``word + n``, joined by one space."""
+        return b" ".join([self.data[s:e].tobytes() for s, e in zip(self.start[word : word + n].tolist(), self.end[word : word + n].tolist(), strict=True)])
 
     def runs(self, size: int) -> tuple[np.ndarray, np.ndarray]:
         return windows(self.words, self.doc, size)
@@ -130,40 +167,49 @@ class Chunk:
         return np.flatnonzero(np.cumsum(marks[:-1]) > 0)
 
 
-def _rows(chunk: int, keys: np.ndarray, buckets: np.ndarray, more: list[np.ndarray]) -> dict[str, list]:
-    """Keys (sorted by bucket) cut to a row a bucket; 64-bit columns go plane by plane."""
+def _cut_rows(chunk: int, buckets: np.ndarray, columns: dict[str, np.ndarray], pack_keys: bool) -> dict[str, list]:
+    """Columns (in the order of buckets) cut to a row a bucket; wide values go plane by plane, so that what hardly changes compresses away."""
     b = bounds_of(buckets)
     cut = list(zip(b[:-1].tolist(), b[1:].tolist(), strict=True))
-    return {"bucket": [int(buckets[s]) for s, _ in cut], "chunk": [chunk] * len(cut), "keys": [pack(keys[s:e]) for s, e in cut]} | {f"m{i}": [planes(x[s:e]) if x.itemsize == 8 else x[s:e].tobytes() for s, e in cut] for i, x in enumerate(more)}
+    out: dict[str, list] = {"bucket": [int(buckets[s]) for s, _ in cut], "chunk": [chunk] * len(cut)}
+    for name, x in columns.items():
+        write = pack if pack_keys and name == "keys" else planes if x.itemsize > 1 else np.ndarray.tobytes
+        out[name] = [write(x[s:e]) for s, e in cut]
+    return out
 
 
 def chunked(documents: DataFrame) -> tuple[DataFrame, int]:
-    """The table of chunks (chunk, row, doc_id, text), bucketed by chunk, and the number of its words."""
+    """The table of chunks (chunk, row, doc_id, tie, text), bucketed by chunk, and the number of its words."""
     spark = documents.sparkSession
     batch_limit(spark)
     picked = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    # ids that repeat need an order of their rows; where none does, the column is empty and costs nothing
+    repeats = not picked.groupBy("doc_id").agg(F.count("*").alias("n")).where(F.col("n") > 1).isEmpty()
+    picked = picked.select("doc_id", (F.xxhash64("text") if repeats else F.lit(0).cast("bigint")).alias("tie"), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        base, filled, n = TaskContext.get().partitionId() << 16, 0, 0
+        now, filled, n = TaskContext.get().partitionId() << 32, 0, 0
         for b in batches:
-            sizes = np.diff(np.frombuffer(large_binary(b.column(1)).buffers()[1], np.int64)[: b.num_rows + 1])
-            chunk = np.empty(b.num_rows, np.int64)
+            sizes = np.diff(np.frombuffer(large_binary(b.column(2)).buffers()[1], np.int64)[: b.num_rows + 1])
+            chunk, row = np.empty(b.num_rows, np.int64), np.empty(b.num_rows, np.int64)
             for i, size in enumerate(sizes.tolist()):
-                if filled and filled + size > CHUNK_BYTES:
-                    base, filled = base + 1, 0
-                filled += size
-                chunk[i] = base
-            yield pa.RecordBatch.from_arrays([pa.array(chunk), pa.array((chunk << 20) + np.arange(n, n + b.num_rows) % (1 << 20)), *b.columns], names=["chunk", "row", "doc_id", "text"])
-            n += b.num_rows
+                if n and (filled + size > CHUNK_BYTES or n >= CHUNK_ROWS):
+                    now, filled, n = now + 1, 0, 0
+                chunk[i], row[i] = now, n
+                filled, n = filled + size, n + 1
+            yield pa.RecordBatch.from_arrays([pa.array(chunk), pa.array(row), *b.columns], names=["chunk", "row", "doc_id", "tie", "text"])
 
     size = picked.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = int(min(99_999, max(size // CHUNK_BYTES + 1, int(spark.conf.get("spark.sql.shuffle.partitions")))))
     name = f"chunks_{uuid.uuid4().hex}"
-    out = picked.mapInArrow(run, "chunk bigint, row bigint, doc_id bigint, text string")
+    out = picked.mapInArrow(run, "chunk bigint, row bigint, doc_id bigint, tie bigint, text string")
     out.write.bucketBy(buckets, "chunk").option("compression", "zstd").option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
-    return spark.table(name), size // 4
+    table = spark.table(name)
+    table.schema  # noqa: B018  resolved, with its buckets, before the catalog forgets it; the files stay in the shared folder
+    spark.sql(f"DROP TABLE {name}")
+    return table, size // 4
 
 
 def _gathered(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[dict[str, list]]:
@@ -182,28 +228,16 @@ def _gathered(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator
         yield held
 
 
-def _answers(chunks: list[int], keys: list[np.ndarray], said: np.ndarray, second: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
-    at, out = 0, {"chunk": [], "keys": [], "second": []}
+def _hits(chunks: list[int], keys: list[np.ndarray], said: np.ndarray) -> Iterator[pa.RecordBatch]:
+    at, out = 0, {"chunk": [], "keys": []}
     for c, k in zip(chunks, keys, strict=True):
         mine = said[at : at + len(k)]
         if mine.any():
             out["chunk"].append(c)
             out["keys"].append(pack(k[mine]))
-            out["second"].append(b"" if second is None else second[at : at + len(k)][mine].tobytes())
         at += len(k)
     if out["chunk"]:
-        yield pa.RecordBatch.from_pydict({"chunk": pa.array(out["chunk"], pa.int64()), "keys": pa.array(out["keys"], pa.binary()), "second": pa.array(out["second"], pa.binary())})
-
-
-def _said(answers: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    """Keys in order, and their second hashes where there are any."""
-    keys = [unpack(x.as_py()) for x in answers.column("keys")]
-    second = [np.frombuffer(x.as_py(), np.uint32) for x in answers.column("second")]
-    if not keys:
-        return np.zeros(0, U), np.zeros(0, np.uint32)
-    key, other = np.concatenate(keys), np.concatenate(second)
-    order = np.argsort(key, kind="stable")
-    return key[order], other[order] if len(other) else other
+        yield pa.RecordBatch.from_pydict({"chunk": pa.array(out["chunk"], pa.int64()), "keys": pa.array(out["keys"], pa.binary())})
 
 
 def _member(values: np.ndarray, known: np.ndarray) -> np.ndarray:
@@ -213,18 +247,39 @@ def _member(values: np.ndarray, known: np.ndarray) -> np.ndarray:
     return known[at] == values
 
 
-def _pair_member(h: np.ndarray, second: np.ndarray, known: np.ndarray, others: np.ndarray) -> np.ndarray:
-    out = np.zeros(len(h), bool)
-    ask = np.flatnonzero(_member(h, known))
-    at = np.searchsorted(known, h[ask])
-    while len(ask):
-        out[ask] |= others[at] == second[ask]
-        at = at + 1  # another text of the same first hash
-        on = (at < len(known)) & ~out[ask]
-        ask, at = ask[on], at[on]
-        on = known[at] == h[ask]
-        ask, at = ask[on], at[on]
-    return out
+def _windows_of(intervals: bytes) -> np.ndarray:
+    """Places from (first, last) pairs."""
+    pairs = np.frombuffer(intervals, np.int64).reshape(-1, 2)
+    return _ranges(pairs[:, 0], pairs[:, 1] + 1)
+
+
+def _intervals(places: np.ndarray) -> bytes:
+    """Rising places as (first, last) pairs."""
+    opens = np.ones(len(places), bool)
+    opens[1:] = places[1:] != places[:-1] + 1
+    return np.stack([places[opens], places[np.append(np.flatnonzero(opens)[1:] - 1, len(places) - 1)]], 1).astype(np.int64).tobytes() if len(places) else b""
+
+
+PROBES = pa.schema([("bucket", pa.int64()), ("chunk", pa.int64()), ("keys", pa.binary()), ("flags", pa.binary())])
+FOUND = pa.schema([("bucket", pa.int64()), ("chunk", pa.int64()), *[(c, pa.binary()) for c in ("keys", "second", "place", "ids", "tie", "own")]])
+#: Places of a chunk's windows that repeat: inside it (intervals), or those that start earlier in another chunk, and where.
+LOST = pa.schema([("chunk", pa.int64()), *[(c, pa.binary()) for c in ("own", "place", "owner", "owner_place")]])
+RESULT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_text", pa.string())])
+
+
+def _ddl(schema: pa.Schema) -> str:
+    kinds = {pa.int64(): "bigint", pa.binary(): "binary", pa.string(): "string"}
+    return ", ".join(f"{f.name} {kinds[f.type]}" for f in schema)
+
+
+def _lost_places(answers: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(places that repeat inside the chunk; places that start earlier elsewhere, in order, with the chunk and the place where)."""
+    own = [_windows_of(x.as_py()) for x in answers.column("own") if x.is_valid and len(x.as_py())]
+    rows = [(unplanes(p.as_py(), np.int32), unplanes(o.as_py(), np.int64), unplanes(q.as_py(), np.int32)) for p, o, q in zip(*[answers.column(c) for c in ("place", "owner", "owner_place")], strict=True) if p.is_valid and len(p.as_py())]
+    none = np.zeros(0, np.int64)
+    place, owner, at = (np.concatenate([r[i] for r in rows]).astype(np.int64) if rows else none for i in range(3))
+    order = np.argsort(place, kind="stable")
+    return np.concatenate(own) if own else none, place[order], owner[order], at[order]
 
 
 def remove_repeats(documents: DataFrame) -> DataFrame:
@@ -236,79 +291,148 @@ def remove_repeats(documents: DataFrame) -> DataFrame:
     buckets = int(max(1, words // BUCKET_HASHES, min(int(spark.conf.get("spark.sql.shuffle.partitions")), words >> 12)))
     wide = int(max(buckets, int(spark.conf.get("spark.sql.shuffle.partitions"))))
 
+    def dealt(df: DataFrame) -> DataFrame:
+        return df.repartition(wide, "bucket").sortWithinPartitions("bucket")
+
+    probes = table.groupBy("chunk").applyInArrow(_prober(shift, buckets), _ddl(PROBES))
+    hits = dealt(probes).mapInArrow(_anchored, "chunk bigint, keys binary")
+    found = table.groupBy("chunk").cogroup(hits.groupBy("chunk")).applyInArrow(_extender(shift, buckets), _ddl(FOUND))
+    lost = written(dealt(found).mapInArrow(_beaten, _ddl(LOST)), "repeats")
+    runs = table.groupBy("chunk").cogroup(lost.groupBy("chunk")).applyInArrow(_runs, "owner bigint, owner_place bigint, n bigint, words binary").distinct()
+    told = lost.select("*", F.lit(None).cast("bigint").alias("n"), F.lit(None).cast("binary").alias("words"))
+    asked = runs.select(F.col("owner").alias("chunk"), *[F.lit(None).cast("binary").alias(c) for c in ("own", "place", "owner")], F.encode(F.col("owner_place").cast("string"), "UTF-8").alias("owner_place"), "n", "words")
+    return table.groupBy("chunk").cogroup(told.unionByName(asked).groupBy("chunk")).applyInArrow(_cut, _ddl(RESULT))
+
+
+def _prober(shift: int, buckets: int):
     def probe(t: pa.Table) -> pa.Table:
         c = Chunk(t)
         _, key, block = c.anchors(shift)
         unique, inverse, count = np.unique(key, return_inverse=True, return_counts=True)
         anchor = np.zeros(len(unique), bool)
         anchor[inverse[block]] = True
-        flags = (anchor.astype(np.uint8) | ((count > 1).astype(np.uint8) << 1))
-        return pa.table(_rows(t.column("chunk")[0].as_py(), unique, bucket_of(unique << U(shift), buckets), [flags]), schema=pa.schema([("bucket", pa.int64()), ("chunk", pa.int64()), ("keys", pa.binary()), ("m0", pa.binary())]))
-
-    def hit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for held in _gathered(batches, ["chunk", "keys", "m0"]):
-            keys = [unpack(x) for x in held["keys"]]
-            key, flags = np.concatenate(keys), np.frombuffer(b"".join(held["m0"]), np.uint8)
-            order = np.argsort(key, kind="stable")
-            sorted_key = key[order]
-            new = np.concatenate([[True], sorted_key[1:] != sorted_key[:-1]])
-            group = np.cumsum(new) - 1
-            several = (np.bincount(group) > 1) | (np.bincount(group, weights=flags[order] >> 1) > 0)
-            anchored = np.bincount(group, weights=flags[order] & 1) > 0
-            said = np.zeros(len(key), bool)
-            said[order] = (several & anchored)[group]
-            yield from _answers(held["chunk"], keys, said)
+        flags = anchor.astype(np.uint8) | ((count > 1).astype(np.uint8) << 1)
+        return pa.table(_cut_rows(t.column("chunk")[0].as_py(), bucket_of(unique << U(shift), buckets), {"keys": unique, "flags": flags}, True), schema=PROBES)
+
+    return probe
+
 
+def _anchored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Which runs of each chunk are anchors that stand elsewhere too."""
+    for held in _gathered(batches, ["chunk", "keys", "flags"]):
+        keys = [unpack(x) for x in held["keys"]]
+        key, flags = np.concatenate(keys), np.frombuffer(b"".join(held["flags"]), np.uint8)
+        order = np.argsort(key, kind="stable")
+        sorted_key = key[order]
+        new = np.concatenate([[True], sorted_key[1:] != sorted_key[:-1]])
+        group = np.cumsum(new) - 1
+        several = (np.bincount(group) > 1) | (np.bincount(group, weights=flags[order] >> 1) > 0)
+        anchored = np.bincount(group, weights=flags[order] & 1) > 0
+        said = np.zeros(len(key), bool)
+        said[order] = (several & anchored)[group]
+        yield from _hits(held["chunk"], keys, said)
+
+
+def _extender(shift: int, buckets: int):
     def extend(key: tuple, t: pa.Table, answers: pa.Table) -> pa.Table:
-        schema = pa.schema([("bucket", pa.int64()), ("chunk", pa.int64()), ("keys", pa.binary()), ("m0", pa.binary()), ("m1", pa.binary())])
         if not t.num_rows or not answers.num_rows:
-            return schema.empty_table()
+            return FOUND.empty_table()
         c = Chunk(t)
         at, short, _ = c.anchors(shift)
-        starts = c.candidates(at[_member(short, _said(answers)[0])])
+        known = np.sort(np.concatenate([unpack(x.as_py()) for x in answers.column("keys")]))
+        starts = c.candidates(at[_member(short, known)])
         place, h, second = c.pairs()
         which = np.searchsorted(place, starts)
         h, second = h[which], second[which]
-        first = firsts(h, second)  # of equal windows the first in the order of (id, row, place)
+        first, group = firsts(h, second)  # of equal windows the first in the order of (id, row, place)
+        rest = np.ones(len(starts), bool)
+        rest[first] = False
+        _compare_inside(c, starts[rest], starts[first[group[rest]]])
+        number = t.column("chunk")[0].as_py()
+        first = np.sort(first)
+        bucket = bucket_of(h[first], buckets)
+        by = np.argsort(bucket, kind="stable")  # by place in each bucket: ids hardly change from one to the next
+        first, bucket = first[by], bucket[by]
         doc = c.doc[starts[first]]
-        return pa.table(_rows(t.column("chunk")[0].as_py(), h[first], bucket_of(h[first], buckets), [c.ids[doc], second[first]]), schema=schema)
-
-    def beaten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for held in _gathered(batches, ["chunk", "keys", "m0", "m1"]):
-            keys = [unpack(x) for x in held["keys"]]
-            key, ids, second = np.concatenate(keys), np.concatenate([unplanes(x) for x in held["m0"]]).view(np.int64), np.frombuffer(b"".join(held["m1"]), np.uint32)
-            # equal ids stand in the order of the chunks, as rows of an id do in the copied table
-            order = np.lexsort((np.repeat(held["chunk"], [len(k) for k in keys]), ids, second, key))
-            a, b = key[order], second[order]
-            said = np.zeros(len(key), bool)
-            said[order[1:]] = (a[1:] == a[:-1]) & (b[1:] == b[:-1])
-            yield from _answers(held["chunk"], keys, said, second)
-
-    def cut(key: tuple, t: pa.Table, answers: pa.Table) -> pa.Table:
-        schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_text", pa.string())])
-        if not t.num_rows:
-            return schema.empty_table()
-        c = Chunk(t)
-        at, h, second = c.pairs()
-        repeats = np.ones(len(h), bool)
-        repeats[firsts(h, second)] = False
-        repeats |= _pair_member(h, second, *_said(answers))
-        gone = covered(at[repeats], WINDOW, len(c.words))
-        texts = []
-        for i, text in enumerate(c.texts):
-            own = text.as_buffer().to_pybytes().split() if text.is_valid else []
-            g = gone[c.first[i] : c.first[i + 1]]
-            texts.append((b" ".join([x for x, out in zip(own, g.tolist(), strict=True) if not out]) if g.any() else b" ".join(own)).decode())
-        removed = np.add.reduceat(np.append(gone, False).astype(np.int64), c.first[:-1]) if len(c.count) else np.zeros(0, np.int64)
-        removed = np.where(c.count > 0, removed, 0)
-        return pa.table([pa.array(c.ids, mask=c.void), pa.array(c.count), pa.array(removed), pa.array(texts, pa.string())], schema=schema)
-
-    def dealt(df: DataFrame) -> DataFrame:
-        return df.repartition(wide, "bucket").sortWithinPartitions("bucket")
-
-    answer = "chunk bigint, keys binary, second binary"
-    probes = table.groupBy("chunk").applyInArrow(probe, "bucket bigint, chunk bigint, keys binary, m0 binary")
-    hits = dealt(probes).mapInArrow(hit, answer)
-    found = table.groupBy("chunk").cogroup(hits.groupBy("chunk")).applyInArrow(extend, "bucket bigint, chunk bigint, keys binary, m0 binary, m1 binary")
-    lost = dealt(found).mapInArrow(beaten, answer)
-    return table.groupBy("chunk").cogroup(lost.groupBy("chunk")).applyInArrow(cut, "doc_id bigint, n_words bigint, n_removed bigint, kept_text string")
+        rows = _cut_rows(number, bucket, {"keys": h[first], "second": second[first], "place": starts[first].astype(np.int32), "ids": c.ids[doc], "tie": c.tie[doc]}, False)
+        rows["own"] = [b""] * len(rows["bucket"])
+        if rest.any():
+            for name, value in zip(FOUND.names, (number % buckets, number, b"", b"", b"", b"", b"", _intervals(starts[rest])), strict=True):
+                rows[name].append(value)
+        return pa.table(rows, schema=FOUND)
+
+    return extend
+
+
+def _compare_inside(c: Chunk, later: np.ndarray, first: np.ndarray) -> None:
+    """Compares the words of windows with those of the first window that has their hashes: whole windows where a run begins, one more word where it goes on."""
+    if not len(later):
+        return
+    goes_on = np.zeros(len(later), bool)
+    goes_on[1:] = (later[1:] == later[:-1] + 1) & (first[1:] == first[:-1] + 1)
+    a = np.concatenate([_ranges(later[~goes_on], later[~goes_on] + WINDOW), later[goes_on] + WINDOW - 1])
+    b = np.concatenate([_ranges(first[~goes_on], first[~goes_on] + WINDOW), first[goes_on] + WINDOW - 1])
+    if not c.same_words(a, b):
+        raise ValueError("different words share 96 bits of two hashes")
+
+
+def _beaten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each chunk its windows that another chunk has earlier, and where."""
+    for held in _gathered(batches, ["chunk", "keys", "second", "place", "ids", "tie", "own"]):
+        out: dict[str, list] = {c: [] for c in LOST.names}
+        key, second, place, ids, tie = (np.concatenate([unplanes(x, kind) for x in held[c]]) for c, kind in (("keys", U), ("second", np.uint32), ("place", np.int32), ("ids", np.int64), ("tie", np.int64)))
+        sizes = [len(x) // 8 for x in held["keys"]]
+        chunk = np.repeat(np.array(held["chunk"], np.int64), sizes)
+        order = np.lexsort((chunk, tie, ids, second, key))
+        a, b = key[order], second[order]
+        new = np.ones(len(order), bool)
+        new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+        owner = np.empty(len(order), np.int64)  # of each entry the first of its group
+        owner[order] = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
+        at = 0
+        for number, n, own in zip(held["chunk"], sizes, held["own"], strict=True):
+            mine = np.arange(at, at + n)
+            mine = mine[owner[mine] != mine]
+            at += n
+            if len(mine) or own:
+                for name, value in zip(LOST.names, (number, own, planes(place[mine]), planes(chunk[owner[mine]]), planes(place[owner[mine]])), strict=True):
+                    out[name].append(value)
+        if out["chunk"]:
+            yield pa.RecordBatch.from_pydict(out, schema=LOST)
+
+
+def _runs(key: tuple, t: pa.Table, answers: pa.Table) -> pa.Table:
+    """The maximal runs of words that start earlier elsewhere: (chunk and place of the first, number of words, the words)."""
+    schema = pa.schema([("owner", pa.int64()), ("owner_place", pa.int64()), ("n", pa.int64()), ("words", pa.binary())])
+    if not t.num_rows or not answers.num_rows:
+        return schema.empty_table()
+    _, place, owner, at = _lost_places(answers)
+    if not len(place):
+        return schema.empty_table()
+    c = Chunk(t, hashed=False)
+    opens = np.ones(len(place), bool)
+    opens[1:] = (place[1:] != place[:-1] + 1) | (owner[1:] != owner[:-1]) | (at[1:] != at[:-1] + 1)
+    begin = np.flatnonzero(opens)
+    n = np.diff(np.append(begin, len(place))) + WINDOW - 1
+    words = [c.text_of(p, m) for p, m in zip(place[begin].tolist(), n.tolist(), strict=True)]
+    return pa.table([pa.array(owner[begin]), pa.array(at[begin]), pa.array(n), pa.array(words, pa.binary())], schema=schema)
+
+
+def _cut(key: tuple, t: pa.Table, answers: pa.Table) -> pa.Table:
+    if not t.num_rows:
+        return RESULT.empty_table()
+    c = Chunk(t, hashed=False)
+    asks = np.asarray(answers.column("words").is_valid()) if answers.num_rows else np.zeros(0, bool)
+    own, place, _, _ = _lost_places(answers.filter(pa.array(~asks)))
+    for at, n, words in zip(*[answers.filter(pa.array(asks)).column(x).to_pylist() for x in ("owner_place", "n", "words")], strict=True):
+        if c.text_of(int(at), n) != words:
+            raise ValueError("different words share 96 bits of two hashes")
+    gone = covered(np.concatenate([own, place]), WINDOW, len(c.start))
+    texts = []
+    for i, text in enumerate(c.texts):
+        words = text.as_buffer().to_pybytes().split() if text.is_valid else []
+        g = gone[c.first[i] : c.first[i + 1]]
+        texts.append((b" ".join([x for x, out in zip(words, g.tolist(), strict=True) if not out]) if g.any() else b" ".join(words)).decode())
+    removed = np.add.reduceat(np.append(gone, False).astype(np.int64), c.first[:-1]) if len(c.count) else np.zeros(0, np.int64)
+    removed = np.where(c.count > 0, removed, 0)
+    return pa.table([pa.array(c.ids, mask=c.void), pa.array(c.count), pa.array(removed), pa.array(texts, pa.string())], schema=RESULT)
