@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -18,9 +19,11 @@ SLICE_BYTES = 1 << 18
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; one of our own only where that is unset (tests)."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. One of our own only where that is unset and all tasks run in the driver (tests); a cluster has to name one."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         where = os.path.join(tempfile.gettempdir(), "checkpoints", uuid.uuid4().hex)
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
