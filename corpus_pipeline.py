@@ -1,4 +1,8 @@
-"""The corpus pipeline: operators of chunkloom.llm one after another, each stage written as Parquet and read again."""
+"""The corpus pipeline: operators of chunkloom.llm one after another, each stage written as Parquet and read again.
+
+Every stage but the last returns the columns of its input as they were, whatever they are called, and handles a table without rows. Null ids and texts, empty texts and repeated rows are
+rows like any other; the stages say what becomes of them.
+"""
 
 from __future__ import annotations
 
@@ -11,27 +15,27 @@ from chunkloom.llm.shared import shared_dir, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without the documents that the quality classifier rejects."""
+    """Without the documents that the quality classifier rejects. Null and empty texts are scored like any other; without labels of both classes, by that class's share."""
     return quality_classifier.filter_quality(docs, table(spark, sf_dir, "labels"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates."""
+    """One document of each group of near duplicates: that of the smallest id, null ids last. Null, empty and wordless texts are near duplicates of one another; of equal rows one stays."""
     return simhash.keep_one(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without the documents that hold a benchmark item."""
+    """Without the documents that hold a benchmark item. Null and empty texts hold none."""
     return decontamination.remove_leaks(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix of sources takes it."""
+    """Each document as often as the mix of sources takes it, up to three times. A null source is a source; texts without words are taken as often as the whole part of their source's ratio says."""
     return mixing.mix_documents(docs)
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every row with its shard and slot."""
+    """Every row with its shard and slot, two columns more; columns of these names are replaced. Equal rows get slots of their own."""
     return sharding.shard_rows(docs)
 
 
