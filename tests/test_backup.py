@@ -2,7 +2,7 @@
 
 import random
 from dataclasses import replace
-from itertools import permutations
+from itertools import accumulate, permutations
 
 import pytest
 
@@ -85,32 +85,97 @@ def test_deletion_keeps_what_lives():
 
 def test_capping_keeps_the_fullest():
     chunks = [bk.Chunk(i, 0, bytes([i]), s, cid=c, is_dup=True) for i, (c, s) in enumerate([(1, 5), (2, 9), (3, 5), (1, 1), (4, 2)])]
-    bk.mark_capped(chunks, 5, 2)
+    bk.marked(chunks, bk.Capping(5, 2))
     assert [c.is_ooo for c in chunks] == [False, False, True, False, True]
     again = [replace(c, is_ooo=False) for c in chunks]
-    bk.mark_capped(again, 5, 9)
+    bk.marked(again, bk.Capping(5, 9))
     assert not any(c.is_ooo for c in again)
 
 
 def test_islands():
     make = lambda *cids: [bk.Chunk(i, 0, b"", 10, cid=c, is_dup=c is not None) for i, c in enumerate(cids)]
     a = make(None, 1, 1, 1, 2, None, 1)
-    bk.mark_islands(a, 100, 35)
+    bk.marked(a, bk.Islands(100, 35))
     # new, 1, 1, 1 are an island of 40; 2 alone; new and 1 another
     assert [c.is_ooo for c in a] == [False, False, False, False, True, False, True]
     b = make(1, 1, 1, 1)
-    bk.mark_islands(b, 2, 25)  # the buffer's end cuts
+    bk.marked(b, bk.Islands(2, 25))  # the buffer's end cuts
     assert all(c.is_ooo for c in b)
 
 
 def test_context_rewriting_spares_well_used_containers():
     chunks = [bk.Chunk(i, 0, b"", 100, cid=1 if i % 10 else 2, is_dup=True) for i in range(600)]
-    bk.mark_context(chunks, 50, 0.3, 0.2, 4000)
+    bk.marked(chunks, bk.Context(50, 0.3, 0.2, 4000))
     assert not any(c.is_ooo for c in chunks if c.cid == 1)
     assert any(c.is_ooo for c in chunks if c.cid == 2)
     assert not any(c.is_ooo for c in chunks[-49:])
 
 
+def literal_marks(stream, cfg):
+    """The three algorithms written out over one buffer a version, with every list recomputed at each step. stream: (known container or None, size, file, segment)."""
+    n, marks = cfg.rewrite_buffer, [False] * len(stream)
+    if cfg.rewrite_algorithm == "cap":
+        for b in range(0, len(stream), n):
+            part = range(b, min(b + n, len(stream)))
+            use = {c: sum(stream[i][1] for i in part if stream[i][0] == c) for c in {stream[i][0] for i in part} - {None}}
+            top = sorted(use, key=lambda c: (-use[c], c))[: cfg.capping_level]
+            for i in part:
+                marks[i] = stream[i][0] is not None and stream[i][0] not in top
+    elif cfg.rewrite_algorithm == "cfl":
+        island = []
+        for i in [*range(len(stream)), None]:
+            if island:
+                last, now = stream[island[-1]], stream[i] if i is not None else None
+                if now is None or last[0] is not None and (now[0] != last[0] or now[2:] != last[2:]) or len(island) >= n:
+                    if sum(stream[j][1] for j in island) < cfg.cfl_usage_threshold * cfg.container_data:
+                        for j in island:
+                            marks[j] = stream[j][0] is not None
+                    island = []
+            island.append(i)
+    else:
+        buckets, keep, threshold = [0] * 10_000, {}, cfg.cbr_minimal_utility
+        lowest = min(int(cfg.cbr_minimal_utility * 10_000), 9_999)
+        for i in range(len(stream) - n + 1):
+            ahead = stream[i : i + n]
+            keep = {c: k for c, k in keep.items() if any(x[0] == c for x in ahead[:-1])}  # forgotten when its last chunk leaves
+            c, utility = ahead[0][0], 0.0
+            if c is not None and not keep.get(c):
+                utility = max(0.0, 1 - (sum(x[1] for x in ahead if x[0] == c) + ahead[0][1]) / cfg.container_data)
+                if utility < cfg.cbr_minimal_utility or utility < threshold:
+                    keep[c] = True
+                else:
+                    marks[i] = True
+            buckets[min(int(utility * 10_000), 9_999)] += 1
+            if i + 1 >= 100:
+                wanted = int((i + 1) * cfg.cbr_limit)
+                upwards = list(accumulate(reversed(buckets)))  # chunks in the highest k + 1 buckets
+                edges = [b for b in range(9_999, lowest - 1, -1) if upwards[9_999 - b] >= wanted][:1]
+                threshold = (edges[0] + 1 if edges else lowest) / 10_000
+    return marks
+
+
+@pytest.mark.parametrize("algorithm", ["cap", "cfl", "cbr"])
+@pytest.mark.parametrize("segment,buffer", [(16, 48), (48, 48), (100, 48), (1000, 48), (32, 7)])
+def test_rewriting_has_one_buffer_a_version(monkeypatch, algorithm, segment, buffer):
+    cfg = replace(TINY, index_preset="ddfs", segment_average=segment, rewrite_buffer=buffer, rewrite_algorithm=algorithm, capping_level=2, cfl_usage_threshold=0.1, cbr_limit=0.05, cbr_minimal_utility=0.2)
+    seen = []
+    for kind in (bk.Rewriter, bk.Islands):
+        def push(self, c, push=kind.push):
+            seen[-1].append((c, (c.cid if c.is_dup else None, c.size, c.file_no, c.segment_no)))
+            return push(self, c)
+
+        monkeypatch.setattr(kind, "push", push)
+    of = bk.rewriter_of
+    monkeypatch.setattr(bk, "rewriter_of", lambda *a: (seen.append([]), of(*a))[1])
+    some = 0
+    for _, chunks, _ in bk.replay(stream(5, 300), cfg):
+        assert [c for c, _ in seen[-1]] == chunks
+        got = [c.is_ooo for c, _ in seen[-1]]
+        assert got == literal_marks([x for _, x in seen[-1]], cfg)
+        some += sum(got)
+    assert some
+
+
 @pytest.mark.parametrize("size", [1, 2, 3, 5])
 def test_caches_against_models(size):
     keys = [rng.randrange(7) for _ in range(300)]
