@@ -100,3 +100,18 @@ def state_bits(**marks: Column) -> Column:
     for name, column in marks.items():
         out = out.bitwiseOR(F.when(column, F.lit(FLAGS[name])).otherwise(F.lit(0)))
     return out
+
+
+def throughput(size: Column, seconds: Column) -> Column:
+    """MiB a second; null where no time passed."""
+    return F.when(seconds > 0, size / (F.lit(1048576.0) * seconds))
+
+
+def power_of_two(n: Column) -> Column:
+    """The largest power of two that n > 0 holds; 1 for anything smaller. Read off the binary digits, so that no logarithm rounds."""
+    return F.when(n > 0, F.call_function("shiftleft", F.lit(1).cast("bigint"), F.length(F.bin(n)) - 1)).otherwise(F.lit(1).cast("bigint"))
+
+
+def yes_no(text: Column) -> Column:
+    """true for yes, false for no, in any case; null for anything else."""
+    return F.when(F.lower(text) == "yes", True).when(F.lower(text) == "no", False)

@@ -196,10 +196,15 @@ def gc_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return backup.gc_stats(_fixed(spark, sf_dir), {"physical": cfg, "logical": replace(SMALL, index_logical=True, selection="base", retention=5)})
 
 
-@query()
+@query("""SELECT * FROM (VALUES ('working_directory', '/home/data/working/'), ('simulation_level', 'no'), ('trace_format', 'native'), ('log_level', 'warning'), ('chunk_algorithm', 'normalized rabin'), ('chunk_avg_size', '8192'),
+('chunk_max_size', '65536'), ('chunk_min_size', '1024'), ('index_exact', 'False'), ('index_logical', 'True'), ('index_preset', 'sparse index'), ('index_cache_size', '4096'), ('index_key_value', 'htable'), ('index_key_size', '20'),
+('index_value_length', '1'), ('index_bloom_filter', '0'), ('sampling_method', 'random'), ('sampling_ratio', '128'), ('segment_algorithm', 'content-defined'), ('segment_average', '1024'), ('segment_min', '128'), ('segment_max', '10240'),
+('selection', 'top'), ('selection_top', '1'), ('prefetching', '1'), ('rewrite_algorithm', 'no'), ('rewrite_buffer', '1024'), ('cfl_switch', 'False'), ('cfl_require', '0.0'), ('cfl_usage_threshold', '0.0'), ('cbr_limit', '0.0'),
+('cbr_minimal_utility', '0.0'), ('capping_level', '0'), ('har', 'True'), ('har_utilization_threshold', '0.5'), ('har_rewrite_limit', '0.05'), ('cache_aware', 'False'), ('restore_cache', 'lru'), ('restore_cache_size', '30'),
+('restore_opt_window', '1000000'), ('retention', '30'), ('container_data', '4161536'), ('container_entries', '1169')) AS t(setting, value)""")
 def configuration(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Settings by directive lines, with an overriding one."""
-    text = 'chunk-algorithm "normalized rabin"\nfingerprint-index near-exact logical "sparse index" # a preset\nrestore-cache opt 64\nbackup-retention-time 30'
+    text = 'chunk-algorithm "normalized rabin"\nfingerprint-index near-exact logical "sparse index" # a preset\nrestore-cache opt 64\nbackup-retention-time 30\nrewrite-enable-har YES'
     return spark.createDataFrame(as_rows(parse_config(text, ("restore-cache lru 30",)).resolved()), "setting string, value string")
 
 
@@ -232,10 +237,16 @@ def streaming_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def work_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own where none is set."""
+    """The folder that driver and executors share; one of our own where none is set and all tasks run in the driver."""
+    import re
     import tempfile
 
-    return (spark.conf.get("spark.checkpoint.dir", None) or f"{tempfile.gettempdir()}/checkpoints/{uuid.uuid4().hex}").rstrip("/")
+    where = spark.conf.get("spark.checkpoint.dir", None)
+    if not where:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        where = f"{tempfile.gettempdir()}/checkpoints/{uuid.uuid4().hex}"
+    return where.rstrip("/")
 
 
 @query(f"{_SEG} SELECT bv, segment_no, count(DISTINCT fp) AS distinct_chunks FROM sg GROUP BY 1, 2")

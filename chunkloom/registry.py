@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import catalog, folds  # noqa: F401  (folds adds its queries)
+from .plans import catalog, folds, roundtrips, sequences  # noqa: F401  (the others add their queries)
 
 QUERIES = catalog.QUERIES
 ORACLE_SQL = catalog.ORACLE_SQL

@@ -9,12 +9,10 @@ from __future__ import annotations
 import struct
 from collections.abc import Iterator
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import StructType
 
 from ..config import CONTAINER_BYTES, DIRECTORY_BYTES
+from .images import parsed
 
 # Fixed values of the layout: the counter in front of a pool, the marks of a segment's ends in a recipe, and the end of access records.
 POOL_HEADER = 8
@@ -25,16 +23,7 @@ _ENTRY = struct.Struct("<20sii")
 
 
 def _table(spark: SparkSession, path: str, schema: str, rows_of) -> DataFrame:
-    arrow = to_arrow_schema(StructType.fromDDL(schema))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for content in b.column(0).to_pylist():
-                rows = list(rows_of(content))
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), arrow, strict=True)], names=arrow.names)
-
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, schema)
+    return parsed(spark.read.format("binaryFile").load(path), schema, rows_of)
 
 
 def pool_blocks(data: bytes, directory_only: bool = False) -> Iterator[tuple[int, list[tuple[bytes, int, int]], bytes]]:
@@ -54,7 +43,14 @@ def pool_blocks(data: bytes, directory_only: bool = False) -> Iterator[tuple[int
 
 def read_entries(spark: SparkSession, path: str, directory_only: bool = False) -> DataFrame:
     """(cid, fp, off, len) of a container pool."""
-    return _table(spark, path, "cid bigint, fp binary, off int, len int", lambda d: ((cid, *e) for cid, entries, _ in pool_blocks(d, directory_only) for e in entries))
+    return _table(spark, path, ENTRIES, lambda d: entry_rows(d, directory_only))
+
+
+ENTRIES = "cid bigint, fp binary, off int, len int"
+
+
+def entry_rows(data: bytes, directory_only: bool = False) -> Iterator[tuple[int, bytes, int, int]]:
+    return ((cid, *e) for cid, entries, _ in pool_blocks(data, directory_only) for e in entries)
 
 
 def read_payload(spark: SparkSession, path: str) -> DataFrame:
@@ -101,32 +97,32 @@ def read_file_recipes(spark: SparkSession, path: str) -> DataFrame:
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
     """(record, cid): containers in the order in which a restore asks for them."""
+    return _table(spark, path, "record bigint, cid bigint", record_rows)
 
-    def rows(d: bytes) -> Iterator[tuple[int, int]]:
-        for i, (cid,) in enumerate(struct.iter_unpack("<q", d[: len(d) // 8 * 8])):
-            if cid == NO_ID:
-                return
-            yield i, cid
 
-    return _table(spark, path, "record bigint, cid bigint", rows)
+def record_rows(d: bytes) -> Iterator[tuple[int, int]]:
+    for i, (cid,) in enumerate(struct.iter_unpack("<q", d[: len(d) // 8 * 8])):
+        if cid == NO_ID:
+            return
+        yield i, cid
 
 
 def read_index(spark: SparkSession, path: str, key_size: int = 20) -> DataFrame:
     """(feature, unit_id, ord) of an index dump, the newest unit first; empty places are left out."""
-
-    def rows(d: bytes) -> Iterator[tuple[bytes, int, int]]:
-        (n,) = struct.unpack_from("<i", d, 0)
-        at = 4
-        for _ in range(n):
-            key = d[at : at + key_size]
-            (k,) = struct.unpack_from("<i", d, at + key_size)
-            at += key_size + 4
-            for ord_, unit in enumerate(struct.unpack_from(f"<{k}q", d, at)):
-                if unit != NO_ID:
-                    yield key, unit, ord_
-            at += 8 * k
-
-    return _table(spark, path, "feature binary, unit_id bigint, ord int", rows)
+    return _table(spark, path, "feature binary, unit_id bigint, ord int", lambda d: index_rows(d, key_size))
+
+
+def index_rows(d: bytes, key_size: int = 20) -> Iterator[tuple[bytes, int, int]]:
+    (n,) = struct.unpack_from("<i", d, 0)
+    at = 4
+    for _ in range(n):
+        key = d[at : at + key_size]
+        (k,) = struct.unpack_from("<i", d, at + key_size)
+        at += key_size + 4
+        for ord_, unit in enumerate(struct.unpack_from(f"<{k}q", d, at)):
+            if unit != NO_ID:
+                yield key, unit, ord_
+        at += 8 * k
 
 
 # ---- the same bytes, written

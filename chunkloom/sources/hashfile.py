@@ -9,11 +9,10 @@ import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import StructType
+
+from .images import parsed
 
 # Fixed values of the format.
 MAGIC = 0xDEADDEAD
@@ -156,45 +155,37 @@ HEADER_SCHEMA = "version int, files bigint, path_root string, chunks bigint, chu
 
 
 def _parsed(spark: SparkSession, path: str, schema: str, rows_of) -> DataFrame:
-    raw = spark.read.format("binaryFile").load(path).select("content")
-
-    arrow = to_arrow_schema(StructType.fromDDL(schema))
-    names = arrow.names
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for content in b.column(0).to_pylist():
-                held: list[tuple] = []
-                for r in rows_of(content):
-                    held.append(r)
-                    if len(held) >= 50_000:
-                        yield pa.RecordBatch.from_arrays([pa.array(x, t.type) for x, t in zip(zip(*held, strict=True), arrow, strict=True)], names=names)
-                        held = []
-                if held:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, t.type) for x, t in zip(zip(*held, strict=True), arrow, strict=True)], names=names)
-
-    return raw.mapInArrow(run, schema)
+    return parsed(spark.read.format("binaryFile").load(path), schema, rows_of)
 
 
 def read_chunks(spark: SparkSession, path: str) -> DataFrame:
     """Chunks with their fingerprints as 20 bytes."""
-    return _parsed(spark, path, CHUNK_SCHEMA, lambda data: ((n, i, f["path"], to_fingerprint(d), s, r) for _, n, f, chunks in parse(data) for i, (d, s, r) in enumerate(chunks)))
+    return _parsed(spark, path, CHUNK_SCHEMA, chunk_rows)
+
+
+def chunk_rows(data: bytes) -> Iterator[tuple]:
+    return ((n, i, f["path"], to_fingerprint(d), s, r) for _, n, f, chunks in parse(data) for i, (d, s, r) in enumerate(chunks))
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
     """Files with owner, times and links (from version 3 or 4 on)."""
+    return _parsed(spark, path, FILE_SCHEMA, file_rows)
+
+
+def file_rows(data: bytes) -> Iterator[tuple]:
     import datetime as dt
 
     utc = lambda s: dt.datetime.fromtimestamp(s, dt.UTC)
-    return _parsed(spark, path, FILE_SCHEMA, lambda data: ((n, *[utc(f[k]) if k in ("atime", "mtime", "ctime") else f[k] for k in FILE_FIELDS]) for _, n, f, _ in parse(data)))
+    return ((n, *[utc(f[k]) if k in ("atime", "mtime", "ctime") else f[k] for k in FILE_FIELDS]) for _, n, f, _ in parse(data))
 
 
 def read_headers(spark: SparkSession, path: str) -> DataFrame:
-    def rows(data: bytes) -> list[tuple]:
-        h = read_header(Cursor(data))
-        return [(h.version, h.files, h.root, h.chunks, *h.describe(), h.hash_bits, h.system, h.total_bytes)]
+    return _parsed(spark, path, HEADER_SCHEMA, header_rows)
+
 
-    return _parsed(spark, path, HEADER_SCHEMA, rows)
+def header_rows(data: bytes) -> list[tuple]:
+    h = read_header(Cursor(data))
+    return [(h.version, h.files, h.root, h.chunks, *h.describe(), h.hash_bits, h.system, h.total_bytes)]
 
 
 def stream(spark: SparkSession, path: str, bv: int) -> DataFrame:
