@@ -27,28 +27,28 @@ def _conversation_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _TURN_FILES = """f AS (SELECT conv_id AS file_no, hex(encode(string_agg(coalesce(text, ''), chr(10) ORDER BY turn, coalesce(role, ''), coalesce(text, '')))) AS h, octet_length(encode(string_agg(coalesce(text, ''), chr(10)))) AS n FROM conversations GROUP BY conv_id)"""
 
-#: Windows of up to 48 bytes that end at e and their residues' low bits: byte values times powers of x modulo the polynomial, added up.
+#: Windows of up to 48 bytes that end pos e and their residues' low bits: byte values times powers of x modulo the polynomial, added up.
 _RESIDUES = f"""WITH RECURSIVE {_TURN_FILES},
 pw AS (SELECT 0 AS p, 1::HUGEINT AS v UNION ALL SELECT p + 1, CASE WHEN v * 2 >= 9223372036854775808::HUGEINT THEN xor(v * 2, {chunking.POLYNOMIAL}::HUGEINT) ELSE v * 2 END FROM pw WHERE p < {8 * chunking.WINDOW - 1}),
-tb AS (SELECT j, b, coalesce(bit_xor(CASE WHEN (b >> k) & 1 = 1 THEN (pw.v % 1024)::INT ELSE 0 END), 0) AS r FROM range({chunking.WINDOW}) a(j), range(256) c(b), range(8) d(k) JOIN pw ON pw.p = 8 * a.j + d.k GROUP BY 1, 2),
-by AS (SELECT file_no, i, ('0x' || substr(h, 2 * i::INT + 1, 2))::INT AS v FROM (SELECT file_no, h, unnest(range(0, n)) AS i FROM f)),
-te AS (SELECT e.file_no, e.i AS e, a.j, tb.r FROM by e, range({chunking.WINDOW}) a(j) JOIN by q ON q.file_no = e.file_no AND q.i = e.i - a.j JOIN tb ON tb.j = a.j AND tb.b = q.v),
+tb AS MATERIALIZED (SELECT j, b, coalesce(bit_xor(CASE WHEN (b >> k) & 1 = 1 THEN (pw.v % 1024)::INT ELSE 0 END), 0) AS r FROM range({chunking.WINDOW}) a(j), range(256) c(b), range(8) d(k) JOIN pw ON pw.p = 8 * a.j + d.k GROUP BY 1, 2),
+bt AS MATERIALIZED (SELECT file_no, i, ('0x' || substr(h, 2 * i::INT + 1, 2))::INT AS v FROM (SELECT file_no, h, unnest(range(0, n)) AS i FROM f)),
+te AS (SELECT x.file_no, x.e, x.j, tb.r FROM (SELECT file_no, i AS e, j, i - j AS i FROM bt, range({chunking.WINDOW}) a(j) WHERE i >= j) x JOIN bt q ON q.file_no = x.file_no AND q.i = x.i JOIN tb ON tb.j = x.j AND tb.b = q.v),
 wi AS (SELECT file_no, e, j + 1 AS t, bit_xor(r) OVER (PARTITION BY file_no, e ORDER BY j) AS r FROM te),
-hi AS (SELECT file_no, e, t, r % {2 * AVERAGE} = {chunking.BREAK_MARK} AS hard, r % {AVERAGE} = {chunking.BREAK_MARK} AS main, r % {AVERAGE // 2} = {chunking.BREAK_MARK} AS easy FROM wi WHERE r % {AVERAGE // 2} = {chunking.BREAK_MARK})"""
+hi AS MATERIALIZED (SELECT file_no, e, t, r % {2 * AVERAGE} = {chunking.BREAK_MARK} AS hard, r % {AVERAGE} = {chunking.BREAK_MARK} AS main, r % {AVERAGE // 2} = {chunking.BREAK_MARK} AS easy FROM wi WHERE r % {AVERAGE // 2} = {chunking.BREAK_MARK})"""
 
 
 def _walk(cut: str, backup: str = "0") -> str:
-    """A step a byte: chunk at ``at`` has i bytes; ``cut`` says whether it ends there, ``backup`` is the length to fall back to."""
-    end = f"least(r.n - r.at, {HIGH})"
+    """A step a byte: chunk pos ``pos`` has i bytes; ``cut`` says whether it ends there, ``backup`` is the length to fall back to."""
+    end = f"least(r.n - r.pos, {HIGH})"
     return f"""{_RESIDUES},
-r AS (SELECT file_no, n, 0::BIGINT AS at, 0::BIGINT AS i, 0::BIGINT AS bk FROM f WHERE n > 0 UNION ALL
-SELECT r.file_no, r.n, CASE WHEN s.size > 0 THEN r.at + s.size ELSE r.at END, CASE WHEN s.size > 0 THEN 0 ELSE r.i + 1 END, CASE WHEN s.size > 0 THEN 0 ELSE s.bk END FROM r
-JOIN (SELECT r.file_no AS file_no, CASE WHEN r.n - r.at <= {LOW} THEN r.n - r.at WHEN r.i + 1 >= {end} THEN CASE WHEN r.bk > 0 THEN r.bk ELSE {end} END WHEN r.i + 1 >= {LOW} AND ({cut}) THEN r.i + 1 ELSE 0 END AS size,
+r AS (SELECT file_no, n, 0::BIGINT AS pos, 0::BIGINT AS i, 0::BIGINT AS bk FROM f WHERE n > 0 UNION ALL
+SELECT r.file_no, r.n, CASE WHEN s.size > 0 THEN r.pos + s.size ELSE r.pos END, CASE WHEN s.size > 0 THEN 0 ELSE r.i + 1 END, CASE WHEN s.size > 0 THEN 0 ELSE s.bk END FROM r
+JOIN (SELECT r.file_no AS file_no, CASE WHEN r.n - r.pos <= {LOW} THEN r.n - r.pos WHEN r.i + 1 >= {end} THEN CASE WHEN r.bk > 0 THEN r.bk ELSE {end} END WHEN r.i + 1 >= {LOW} AND ({cut}) THEN r.i + 1 ELSE 0 END AS size,
 CASE WHEN r.i + 1 >= {LOW} AND coalesce(hi.easy, false) THEN greatest(r.bk, {backup}) ELSE r.bk END AS bk
-FROM r LEFT JOIN hi ON hi.file_no = r.file_no AND hi.e = r.at + r.i AND hi.t = least(r.i + 2 - {LOW}, {chunking.WINDOW})) s ON s.file_no = r.file_no WHERE r.at < r.n),
-st AS (SELECT DISTINCT file_no, n, at FROM r WHERE i = 0 AND at < n),
-cu AS (SELECT file_no, at, row_number() OVER (PARTITION BY file_no ORDER BY at) - 1 AS chunk_no, coalesce(lead(at) OVER (PARTITION BY file_no ORDER BY at), n) - at AS size FROM st)
-SELECT cu.file_no, cu.chunk_no, upper(sha1(unhex(substr(f.h, 2 * cu.at::INT + 1, 2 * cu.size::INT)))) AS fp, cu.size::BIGINT AS size FROM cu JOIN f ON f.file_no = cu.file_no"""
+FROM r LEFT JOIN hi ON hi.file_no = r.file_no AND hi.e = r.pos + r.i AND hi.t = least(r.i + 2 - {LOW}, {chunking.WINDOW})) s ON s.file_no = r.file_no WHERE r.pos < r.n),
+st AS (SELECT DISTINCT file_no, n, pos FROM r WHERE i = 0 AND pos < n),
+cu AS (SELECT file_no, pos, row_number() OVER (PARTITION BY file_no ORDER BY pos) - 1 AS chunk_no, coalesce(lead(pos) OVER (PARTITION BY file_no ORDER BY pos), n) - pos AS size FROM st)
+SELECT cu.file_no, cu.chunk_no, upper(sha1(unhex(substr(f.h, 2 * cu.pos::INT + 1, 2 * cu.size::INT)))) AS fp, cu.size::BIGINT AS size FROM cu JOIN f ON f.file_no = cu.file_no"""
 
 
 def _turn_chunks(spark: SparkSession, sf_dir: str, algorithm: str) -> DataFrame:
@@ -76,13 +76,13 @@ _EXTREMUM = chunking.extremum_window(AVERAGE)
 
 @query(f"""WITH RECURSIVE {_TURN_FILES},
 va AS (SELECT file_no, n, i, substr(h, 2 * i::INT + 1, 16) AS v FROM (SELECT file_no, h, n, unnest(range(0, n)) AS i FROM f)),
-r AS (SELECT file_no, n, 0::BIGINT AS at, 0::BIGINT AS i, 0::BIGINT AS best, v AS low FROM va WHERE i = 0 UNION ALL
-SELECT r.file_no, r.n, CASE WHEN s.cut THEN r.at + r.i + 1 ELSE r.at END, CASE WHEN s.cut THEN 0 ELSE r.i + 1 END, CASE WHEN s.cut THEN 0 WHEN s.v <= r.low THEN r.i + 1 ELSE r.best END, CASE WHEN s.cut OR s.v <= r.low THEN s.v ELSE r.low END
-FROM r JOIN (SELECT r.file_no AS file_no, va.v AS v, va.v > r.low AND (r.i + 1 = r.best + {_EXTREMUM} OR r.i + 1 = {HIGH}) AS cut FROM r JOIN va ON va.file_no = r.file_no AND va.i = r.at + r.i + 1) s ON s.file_no = r.file_no
-WHERE r.n - r.at > {_EXTREMUM + 8} AND r.i + 1 <= r.n - r.at - 8),
-st AS (SELECT DISTINCT file_no, n, at FROM r WHERE i = 0),
-cu AS (SELECT file_no, at, row_number() OVER (PARTITION BY file_no ORDER BY at) - 1 AS chunk_no, coalesce(lead(at) OVER (PARTITION BY file_no ORDER BY at), n) - at AS size FROM st)
-SELECT cu.file_no, cu.chunk_no, upper(sha1(unhex(substr(f.h, 2 * cu.at::INT + 1, 2 * cu.size::INT)))) AS fp, cu.size::BIGINT AS size FROM cu JOIN f ON f.file_no = cu.file_no""")
+r AS (SELECT file_no, n, 0::BIGINT AS pos, 0::BIGINT AS i, 0::BIGINT AS best, v AS low FROM va WHERE i = 0 UNION ALL
+SELECT r.file_no, r.n, CASE WHEN s.cut THEN r.pos + r.i + 1 ELSE r.pos END, CASE WHEN s.cut THEN 0 ELSE r.i + 1 END, CASE WHEN s.cut THEN 0 WHEN s.v <= r.low THEN r.i + 1 ELSE r.best END, CASE WHEN s.cut OR s.v <= r.low THEN s.v ELSE r.low END
+FROM r JOIN (SELECT r.file_no AS file_no, va.v AS v, va.v > r.low AND (r.i + 1 = r.best + {_EXTREMUM} OR r.i + 1 = {HIGH}) AS cut FROM r JOIN va ON va.file_no = r.file_no AND va.i = r.pos + r.i + 1) s ON s.file_no = r.file_no
+WHERE r.n - r.pos > {_EXTREMUM + 8} AND r.i + 1 <= r.n - r.pos - 8),
+st AS (SELECT DISTINCT file_no, n, pos FROM r WHERE i = 0),
+cu AS (SELECT file_no, pos, row_number() OVER (PARTITION BY file_no ORDER BY pos) - 1 AS chunk_no, coalesce(lead(pos) OVER (PARTITION BY file_no ORDER BY pos), n) - pos AS size FROM st)
+SELECT cu.file_no, cu.chunk_no, upper(sha1(unhex(substr(f.h, 2 * cu.pos::INT + 1, 2 * cu.size::INT)))) AS fp, cu.size::BIGINT AS size FROM cu JOIN f ON f.file_no = cu.file_no""")
 def ae_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _turn_chunks(spark, sf_dir, "ae")
 
