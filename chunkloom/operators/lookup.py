@@ -83,7 +83,8 @@ def remove_units(index: DataFrame, units: DataFrame) -> DataFrame:
     return index.join(units, ["feature", "unit_id"], "left_anti")
 
 
-def prefetched(recipes: DataFrame, bv: int, segment: int, n: int) -> DataFrame:
-    """Recipe rows of n consecutive segments: what a prefetch reads. Version and segment prune the scan. Of a repeated fingerprint the last pointer counts."""
-    rows = recipes.where((F.col("bv") == bv) & F.col("segment_no").between(segment, segment + n - 1))
-    return rows.groupBy("bv", "segment_no", "fp").agg(F.max_by("cid", "seq").alias("cid"), F.max_by("size", "seq").alias("size"))
+def prefetched(recipes: DataFrame, asked: DataFrame, n: int) -> DataFrame:
+    """(bv, asked_segment, segment_no, fp, cid) of the n segments that begin at each one of ``asked`` (bv, segment_no); of a repeated fingerprint the last pointer counts."""
+    wanted = asked.select(F.col("bv").alias("__bv"), F.col("segment_no").alias("asked_segment"), F.explode(F.sequence(F.col("segment_no"), F.col("segment_no") + F.lit(n - 1))).alias("__segment"))
+    last = recipes.groupBy("bv", "segment_no", "fp").agg(F.max_by("cid", "seq").alias("cid"))
+    return last.join(wanted, (F.col("bv") == F.col("__bv")) & (F.col("segment_no") == F.col("__segment"))).select("bv", "asked_segment", "segment_no", "fp", "cid")

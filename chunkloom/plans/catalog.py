@@ -288,9 +288,11 @@ def recipe_by_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _long(packing.file_recipes(_recipe(spark, sf_dir)), "bv")
 
 
-@query(f"{_RECIPE} SELECT segment_no, fp, max(cid) AS cid FROM rc WHERE bv = 3 AND segment_no BETWEEN 1 AND 2 GROUP BY 1, 2")
+@query(f"{_RECIPE}, sg AS (SELECT DISTINCT bv, segment_no FROM rc), la AS (SELECT bv, segment_no, fp, max_by(cid, seq) AS cid FROM rc GROUP BY 1, 2, 3) SELECT la.bv, sg.segment_no AS asked_segment, la.segment_no, la.fp, la.cid FROM sg JOIN la ON la.bv = sg.bv AND la.segment_no BETWEEN sg.segment_no AND sg.segment_no + 1")
 def segment_prefetch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _hex(lookup.prefetched(_recipe(spark, sf_dir), 3, 1, 2), "fp").select("segment_no", "fp", "cid")
+    """What asking for any segment brings in: it and the one behind it."""
+    recipe = _recipe(spark, sf_dir)
+    return _long(_hex(lookup.prefetched(recipe, recipe.select("bv", "segment_no").distinct(), 2), "fp"), "bv")
 
 
 @query(f"{_RECIPE} SELECT bv, cid, sum(size)::BIGINT AS size, sum(size) / {CAPACITY}.0::DOUBLE AS utilization FROM rc GROUP BY 1, 2")

@@ -7,11 +7,11 @@ from dataclasses import replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..config import DedupConfig
+from ..config import SMALL, DedupConfig
 from ..operators import chunking
 from ..sources import snapshots
-from . import restore
-from .catalog import _RECIPE, CAPACITY, _hex, _long, _recipe, query
+from . import restore, rewriting
+from .catalog import _RECIPE, BUFFER, CAPACITY, _hex, _long, _recipe, query
 
 #: Geometry for conversations, which have a kilobyte or two.
 TURNS = DedupConfig(chunk_avg_size=256, chunk_min_size=64, chunk_max_size=700)
@@ -130,3 +130,51 @@ FROM r JOIN al ON al.bv = r.bv WHERE r.head <= al.n)))
 SELECT r.bv, r.cache_size, t.chunk_num, t.data_size, max(r.reads) AS read_containers FROM r JOIN t ON t.bv = r.bv GROUP BY 1, 2, 3, 4""")
 def asm_restore_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _simulated(spark, sf_dir, "asm")
+
+
+# ---- rewriting marks over the stream of a version, one buffer a version
+
+LEVEL, USED = 1, 0.03
+LEAST, LIMIT = 0.5, 0.05
+
+
+def _marks(spark: SparkSession, sf_dir: str, cfg: DedupConfig) -> DataFrame:
+    return _long(rewriting.streamed_marks(_segmented_recipe(spark, sf_dir), cfg), "bv")
+
+
+def _segmented_recipe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _recipe(spark, sf_dir).select("bv", "seq", "file_no", "segment_no", "size", F.when(F.col("is_dup"), F.col("cid")).alias("known"))
+
+
+_KNOWN = f"{_RECIPE}, kn AS (SELECT *, CASE WHEN is_dup THEN cid END AS known FROM rc)"
+
+
+@query(f"""{_KNOWN}, bf AS (SELECT *, seq // {BUFFER} AS buf FROM kn), pc AS (SELECT bv, buf, known, sum(size) AS s FROM bf WHERE known IS NOT NULL GROUP BY 1, 2, 3),
+kp AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY bv, buf ORDER BY s DESC, known) AS r FROM pc) WHERE r <= {LEVEL})
+SELECT bf.bv, bf.seq, bf.known IS NOT NULL AND kp.known IS NULL AS is_ooo FROM bf LEFT JOIN kp ON kp.bv = bf.bv AND kp.buf = bf.buf AND kp.known = bf.known""")
+def capping_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Capping at one container a buffer."""
+    return _marks(spark, sf_dir, replace(SMALL, rewrite_algorithm="cap", capping_level=LEVEL))
+
+
+@query(f"""{_KNOWN}, cl AS (SELECT *, CASE WHEN lag(known) OVER w IS NOT NULL AND (known IS NULL OR known <> lag(known) OVER w OR file_no <> lag(file_no) OVER w OR segment_no <> lag(segment_no) OVER w) THEN 1 ELSE 0 END AS nw FROM kn WINDOW w AS (PARTITION BY bv ORDER BY seq)),
+il AS (SELECT *, sum(nw) OVER (PARTITION BY bv ORDER BY seq) AS island FROM cl), pt AS (SELECT *, (row_number() OVER (PARTITION BY bv, island ORDER BY seq) - 1) // {BUFFER} AS part FROM il)
+SELECT bv, seq, known IS NOT NULL AND sum(size) OVER (PARTITION BY bv, island, part) < {USED} * {CAPACITY} AS is_ooo FROM pt""")
+def island_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Islands, those longer than the buffer cut."""
+    return _marks(spark, sf_dir, replace(SMALL, rewrite_algorithm="cfl", cfl_usage_threshold=USED))
+
+
+@query(f"""WITH RECURSIVE {_KNOWN[5:]}, nm AS (SELECT *, row_number() OVER (PARTITION BY bv ORDER BY seq) AS i, count(*) OVER (PARTITION BY bv) AS n FROM kn),
+cv AS MATERIALIZED (SELECT bv, seq, i, n, known, 1 - (sum(size) OVER (PARTITION BY bv, known ORDER BY i RANGE BETWEEN CURRENT ROW AND {BUFFER - 1} FOLLOWING) + size)::DOUBLE / {CAPACITY}.0::DOUBLE AS u, lag(i) OVER (PARTITION BY bv, known ORDER BY i) AS prev FROM nm),
+r AS (SELECT bv, 0::BIGINT AS i, []::BIGINT[] AS kept, []::BIGINT[] AS high, {LEAST}::DOUBLE AS threshold, false AS is_ooo FROM cv WHERE i = 1 UNION ALL
+SELECT bv, i, CASE WHEN known IS NOT NULL AND NOT ooo THEN list_append([x FOR x IN kept IF x > i - {BUFFER}], i) ELSE kept END, high,
+CASE WHEN i < 100 THEN {LEAST}::DOUBLE WHEN floor(i * {LIMIT}::DOUBLE) = 0 THEN 1.0::DOUBLE ELSE (greatest(coalesce(high[floor(i * {LIMIT}::DOUBLE)::BIGINT], -1), {int(LEAST * 10000) - 1}) + 1) / 10000.0::DOUBLE END, ooo
+FROM (SELECT bv, i, known, kept, ooo, CASE WHEN bucket >= {int(LEAST * 10000)} THEN list_reverse_sort(list_append(high, bucket)) ELSE high END AS high
+FROM (SELECT bv, i, known, kept, high, NOT stays AND known IS NOT NULL AND u >= {LEAST} AND u >= threshold AS ooo, CASE WHEN known IS NULL OR stays THEN 0 ELSE least(floor(greatest(u, 0) * 10000)::BIGINT, 9999) END AS bucket
+FROM (SELECT r.bv, cv.i, cv.known, r.kept, r.high, r.threshold, cv.u, cv.known IS NOT NULL AND cv.prev IS NOT NULL AND cv.prev > cv.i - {BUFFER} AND list_contains(r.kept, cv.prev) AS stays
+FROM r JOIN cv ON cv.bv = r.bv AND cv.i = r.i + 1 WHERE cv.i <= cv.n - {BUFFER - 1}))))
+SELECT nm.bv, nm.seq, coalesce(r.is_ooo, false) AS is_ooo FROM nm LEFT JOIN r ON r.bv = nm.bv AND r.i = nm.i""")
+def context_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Look-ahead rewriting: sticky containers, the running utility histogram and its threshold."""
+    return _marks(spark, sf_dir, replace(SMALL, rewrite_algorithm="cbr", cbr_minimal_utility=LEAST, cbr_limit=LIMIT))
