@@ -109,33 +109,131 @@ def test_languages_of_held_out_rows(spark):
 def test_block_max_search_equals_brute_force():
     rng = np.random.default_rng(3)
     vectors = []
-    for _ in range(700):
-        ids = np.sort(rng.choice(40, rng.integers(1, 6), replace=False))
+    for _ in range(900):
+        ids = np.sort(rng.choice(40, rng.integers(0, 6), replace=False))
         v = rng.integers(1, 4, len(ids)).astype(float)  # many ties
-        vectors.append((ids, v / np.sqrt(v @ v)))
-    index = tx.BlockMaxIndex(vectors, rng.integers(0, 2, 700), np.arange(700), 40)
-    order = tx.side_by_side(vectors)
-    dense = np.zeros((700, 40))
-    for i, k in enumerate(order):
+        vectors.append((ids, v / np.sqrt(v @ v) if len(v) else v))
+    term, weight = (np.concatenate([v[i] for v in vectors]) for i in (0, 1))
+    first = np.concatenate([[0], np.cumsum([len(i) for i, _ in vectors])])
+    index = tx.BlockMaxIndex(term.astype(np.int64), weight, first, 40)
+    assert sorted(index.order.tolist()) == list(range(900)) and (index.order[index.place] == np.arange(900)).all()
+    dense = np.zeros((900, 40))
+    for i, k in enumerate(index.order):
         dense[i, vectors[k][0]] = vectors[k][1]
     for without in (-1, 7):
-        for q in range(120):
+        for q in range(200):
             ids, v = vectors[q]
             full = np.zeros(40)
             full[ids] = v
-            cos = dense @ full
-            want = [i for i in np.lexsort((np.arange(700), -np.round(cos, 12))) if cos[i] > 0 and i != without][:24]
+            cos = np.round(dense @ full, 12)
+            want = [i for i in np.lexsort((np.arange(900), -cos)) if cos[i] > 0 and i != without][:24]
             near, got = index.nearest(ids, v, 24, without)
             assert near.tolist() == want and np.allclose(got, cos[want])
 
 
-def test_terms_and_counts_equal_brute_force(spark):
-    texts = ["Idiot idiotic, IDIOT", "a-b a", None, "", "loweißen loweiab x"]
-    known = np.sort(np.unique(np.concatenate([tx.terms(*pairs(["idiot idiotx a b loweiß"]))[0]])))
-    frame = spark.createDataFrame([(i, t, "x", 1.0, "y") for i, t in enumerate(texts)], DOCS)
-    got = {r.doc_id: sorted(r.tfs) for r in tx.counted(frame, known, ["doc_id"]).collect()}
-    # idiot 2 and the beginning of idiotic 1 (a term of its own); a 2, b 1; the beginning lowei 2
-    assert got == {0: [1, 2], 1: [1, 2], 2: [], 3: [], 4: [2]}
+def brute_toxicity(rows, labels):
+    """Evidence and scores of all rows from the definition, by dictionaries; every labelled row outside the held-out remainder is an example."""
+    import re
+    from math import log, sqrt
+
+    counts = [Counter(re.findall(r"[0-9a-z\x80-\U0010ffff]+", re.sub("[A-Z]", lambda m: m.group().lower(), t or ""))) for _, t in rows]
+    df, total = Counter(w for c in counts for w in c), len(rows)
+    known = {}
+    for d, y in labels:
+        if d is not None and y is not None and zlib.crc32(str(d).encode()) % 4 != 2:
+            known.setdefault(d, []).append(y)
+    known = {d: int(sum(y) / len(y) > 0.5) for d, y in known.items()}
+    examples, seen = [], set()
+    for i, (d, t) in enumerate(rows):
+        if d in known and (d, t) not in seen:
+            seen.add((d, t))
+            examples.append(i)
+    n1 = sum(known[rows[i][0]] for i in examples)
+    n0 = len(examples) - n1
+    of = {w: [sum(1 for i in examples if w in counts[i] and known[rows[i][0]] == y) for y in (1, 0)] for w in df}
+
+    def factor(w):
+        a, b = of[w]
+        n = a + b
+        low = n * (n1 + n0 - n) * n1 * n0
+        return tx.FLOOR + ((a * (n0 - b) - b * (n1 - a)) ** 2 / low if low else 0.0)
+
+    def vector(c):
+        v = {w: (1 + log(tf)) * log((2 + total) / (1 + df[w])) * factor(w) for w, tf in c.items()}
+        length = sqrt(sum(x * x for x in v.values())) or 1.0
+        return {w: x / length for w, x in v.items()}
+
+    vectors = [vector(c) for c in counts]
+    base = n1 / len(examples)
+
+    def vote(i, own):
+        near = sorted(((sum(x * vectors[e].get(w, 0.0) for w, x in vectors[i].items()), e) for e in examples if not (own and e == i)), reverse=True)[: tx.NEIGHBOURS]
+        near = [(c, e) for c, e in near if c > 1e-12]
+        return (sum(c * known[rows[e][0]] for c, e in near) + tx.PRIOR * base) / (sum(c for c, _ in near) + tx.PRIOR), near
+
+    votes = np.array([vote(e, True)[0] for e in examples])
+    y = np.array([known[rows[e][0]] for e in examples], float)
+    from chunkloom.llm.fitting import calibrated, isotonic
+
+    bins, inverse = np.unique(np.round(votes, 3), return_inverse=True)
+    weight = np.bincount(inverse).astype(float)
+    knots = isotonic(bins, np.bincount(inverse, weights=y) / weight, weight)
+    raw = [vote(i, False) for i in range(len(rows))]
+    return calibrated(np.array([v for v, _ in raw]), knots, 0.0), [[c for c, _ in near] for _, near in raw]
+
+
+def test_scores_equal_brute_force(spark):
+    """The whole result: document frequencies, all terms of whole texts, neighbours, votes, calibration."""
+    word = lambda: rng.choice([f"w{int(rng.expovariate(0.01))}", "Éa", "été", "THE", "the", "of"])
+    rows, labels = [], []
+    for i in range(260):
+        words = [word() for _ in range(rng.randint(0, 40))]
+        if i % 4 == 0:
+            words += [rng.choice(["moron", "scum"])]
+        rows.append((i, rng.choice([" ", ", ", "\n"]).join(words)))
+        if i % 3:
+            labels.append((i, int(i % 4 == 0)))
+    rows += [(300, None), (301, ""), (5, rows[5][1]), (6, "another text of one id"), (None, rows[8][1])]
+    labels += [(7, 1 - int(7 % 4 == 0)), (4, 0), (4, 0), (None, 1)]
+    frame = spark.createDataFrame([(d, t, "x", 1.0, "y") for d, t in rows], DOCS).repartition(4)
+    known = spark.createDataFrame([(d, 1, y) for d, y in labels], LABELS)
+    score, near = brute_toxicity(rows, labels)
+    got = tx.classify_toxicity(frame, known, max_examples=10_000).collect()
+    key = lambda d, s, c: (str(d), round(s, 6), [round(x, 6) for x in c])
+    assert sorted(key(r.doc_id, r.score, [e.similarity for e in r.evidence]) for r in got) == sorted(key(d, s, c[:3]) for (d, _), s, c in zip(rows, score, near, strict=True))
+
+
+def test_sample_is_bounded_in_rows(spark):
+    """Copies of one id can't exceed the bound; both labels are drawn."""
+    rows = [(1, "moron")] * 500 + [(3, f"text {i}") for i in range(500)] + [(i, f"clean {i}") for i in range(10, 400)]
+    frame = spark.createDataFrame([(d, t, "x", 1.0, "y") for d, t in rows], DOCS)
+    labels = spark.createDataFrame([(d, 1, int(d < 4)) for d in {r[0] for r in rows}], LABELS)
+    from chunkloom.llm.fitting import agreed_labels, drawn_rows
+
+    drawn = drawn_rows(frame, agreed_labels(labels, "toxic", 4, 2), {0: 60, 1: 60}, 31).collect()
+    assert len({(r.doc_id, r.text) for r in drawn}) == len(drawn) < 200 and {r.y for r in drawn} <= {0, 1}
+
+
+def test_rejection_is_a_rank_of_the_excess(spark):
+    """About one in a hundred of ordinary texts is rejected, and texts of another kind are."""
+    rows = [(i, prose(lang, rng.randint(20, 60)), lang) for i in range(3000) for lang in [rng.choice(list(WORDS))]]
+    rows += [(10_000 + i, " ".join("".join(rng.choice("qxzjkv") for _ in range(6)) for _ in range(30)), None) for i in range(20)]
+    got = {r.doc_id: r.rejected for r in li.predict_languages(spark.createDataFrame([(d, t, x, 0.5, "q") for d, t, x in rows], DOCS)).collect()}
+    assert np.mean([got[i] for i in range(3000)]) < 0.04 and all(got[10_000 + i] for i in range(20))
+
+
+def test_counts_grow_with_the_input_and_keep_their_bound(spark):
+    rows = [(i, prose("en", 30), "en") for i in range(300)]
+    frame = spark.createDataFrame([(d, t, x, 0.5, "q") for d, t, x in rows], DOCS)
+    few, many = (li.fit_languages(frame.where(f"doc_id < {n}"), max_calibrating=10) for n in (5, 300))
+    assert len(few.keys[-1]) < len(many.keys[-1])
+    assert len(li.fit_languages(frame, 10, max_runs=50).keys[-1]) <= 50
+
+
+def test_ties_go_to_the_first_language(spark):
+    rows = [(i, "same words here", lang) for i in range(40) for lang in ("zz", "aa")]
+    frame = spark.createDataFrame([(d, t, x, 0.5, "q") for d, t, x in rows], DOCS)
+    assert {r.lang_pred for r in li.predict_languages(frame).collect()} == {"aa"}
 
 
 def test_toxicity_of_held_out_rows(spark):

@@ -137,6 +137,34 @@ def test_one_row_of_each_component_whatever_its_ids(spark):
     assert sorted((str(r.doc_id), r.text) for r in kept) == sorted([("None", a), ("None", b), ("7", c), ("7", d), ("9", e)])
 
 
+def test_rows_differ_in_which_column_is_null(spark):
+    """(null, '5') and (5, null) are two rows; columns may be called like ours."""
+    frame = spark.createDataFrame([(None, "5", "x", "y"), (5, None, "x", "y"), (5, None, "x", "y"), (6, words(30), None, "x"), (6, words(31), "x", None)], "doc_id bigint, text string, __row string, __a string")
+    kept = simhash.keep_one(frame)
+    assert kept.columns == frame.columns
+    assert sorted(map(str, (tuple(r) for r in kept.collect()))) == sorted(map(str, {tuple(r) for r in frame.collect()}))
+
+
+def test_pairs_share_none_some_or_all(spark):
+    """Prefixes of every kind, ids beyond 2^53, neighbours that aren't there, repeated turns, null ids."""
+    base = 1 << 60
+    turns = [(base + k, i, "user" if i % 2 == 0 else "assistant", f"{k}-{i}") for k in range(64) for i in range(4)]
+    turns += [(base + 200, 0, "user", "alone"), (None, 0, "user", "lost"), (base + 3, 2, "user", "3-2")]
+    frame = spark.createDataFrame(turns, "conv_id bigint, turn bigint, role string, text string")
+    pairs = {r.pair_id: r for r in chat_format.rejected_variants(frame).collect()}
+    out = {r.pair_id: r for r in chat_format.format_pairs(chat_format.rejected_variants(frame)).collect()}
+    assert set(out) == {base + k for k in range(64)} | {base + 200}
+    for k, r in out.items():
+        a, b = [(t.role, t.text) for t in pairs[k].a], [(t.role, t.text) for t in pairs[k].b]
+        n = next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+        assert r.prompt_turns == n
+        show = lambda x: "".join(f"<|im_start|>{role}\n{text or ''}<|im_end|>\n" for role, text in x)
+        assert (r.prompt, r.chosen, r.rejected) == (show(a[:n]), show(a[n:]), show(b[n:]))
+    assert len(pairs[base + 3].a) == 5
+    assert {r.prompt_turns for r in out.values()} >= {0, 3}
+    assert chat_format.rejected_variants(frame.limit(0)).count() == 0
+
+
 def test_preferences(spark):
     turns = [
         (1, True, 0, "user", "hi"), (1, True, 1, "assistant", "yes"), (1, True, 2, "user", "ok"), (1, False, 0, "user", "hi"), (1, False, 1, "assistant", "no"),
@@ -184,3 +212,29 @@ def test_pipeline(spark, tmp_path):
     assert set(seen[3]) <= set(range(200)) and max(seen[3].count(i) for i in set(seen[3])) <= 3
     assert seen[4] == seen[3]
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == len(seen[4])
+
+
+def test_stages_on_odd_rows(spark, tmp_path):
+    """Null ids and texts, empty and very long texts, repeated rows, clashing names, no rows at all."""
+    item = words(30)
+    long = words(30_000)
+    rows = [(i, words(80), f"s{i % 2}") for i in range(40)] + [(None, None, None), (None, "", "s0"), (50, None, "s1"), (51, long, "s0"), (52, item, None), (1, words(90), "s0"), (None, words(70), "s1")]
+    rows += [rows[3], rows[3], rows[40]]
+    names = "doc_id bigint, text string, lang string, source string, n_chars bigint, __row string, __d int, __copy int, shard string, d1 int, __text string"
+    spark.createDataFrame([(d, t, "en", s, 5, "r", 1, 2, "old", 3, "q") for d, t, s in rows], names).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(d, 1, 0) for d, _, _ in rows] + [(None, 0, 0), (2, 0, 1)], "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, item), (None, None), (2, "")], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    want = docs.columns
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
+        out = stage(spark, docs, str(tmp_path))
+        out.write.parquet(f"{tmp_path}/{name}")
+        docs = spark.read.parquet(f"{tmp_path}/{name}")
+        assert docs.columns == want if name != "sharding" else set(docs.columns) == set(want) | {"slot"}
+        texts = [r.text for r in docs.collect()]
+        assert long in texts or name in ("mixing", "sharding")
+        if name == "simhash_near_dedup":
+            assert len(texts) == 45 and sum(not t for t in texts) == 1
+        if name == "benchmark_decontamination":
+            assert len(texts) == 44 and item not in texts
