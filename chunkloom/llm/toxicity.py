@@ -6,7 +6,8 @@ term weight beside plain TF-IDF: in plain TF-IDF the few telling words of a text
 
 The examples are a bounded sample of labelled rows, about ``max_examples`` / 2 of each label at most, drawn by a hash of id and text; rows equal in both count once. Their postings are
 exact by 64-bit hashes of terms. They lie in blocks of ``BLOCK`` examples; each term knows its largest weight in each block. A query adds up these bounds, looks into the ``FIRST``
-blocks of the largest bounds, and then into all blocks whose bound reaches the k-th best cosine found: the k nearest are exact, ties going to the example that comes first. Document
+blocks of the largest bounds, and then into all blocks whose bound reaches the k-th best cosine found: the k nearest are exact, ties going to the example that comes first. What the most
+common terms give (those of over a ``COMMON``-th of the examples, whose postings would be most of the work) comes from one matrix product for a slice of queries, and enters the bounds as it is. Document
 frequencies of the examples' terms are exact too; terms outside the examples, which only enter the length of a text's own vector, are counted in ``BUCKETS`` buckets of their hashes.
 
 Each neighbour votes with its cosine. A text that shares no term with any example has the examples' common rate as its vote. Votes become scores by isotonic regression on the
@@ -37,6 +38,9 @@ BLOCK = 64
 FIRST = 8
 NEIGHBOURS = 24
 BUCKETS = 1 << 18
+#: A term that more than a COMMON-th of the examples have is common; queries that meet the common terms at once.
+COMMON = 16
+QUERIES = 64
 #: Votes that the common rate has beside the neighbours'.
 PRIOR = 0.5
 #: Counts that one row of the document frequencies holds.
@@ -132,29 +136,58 @@ class BlockMaxIndex:
         self.block = block[start]
         self.max = np.maximum.reduceat(self.weight, start) if len(start) else np.zeros(0)
         self.segments = np.searchsorted(term[start], np.arange(n_terms + 1))
-
-    def nearest(self, ids: np.ndarray, v: np.ndarray, k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """(places of examples, cosines) of the k nearest with a cosine above 0, the nearest first."""
-        s = _spread(self.segments[ids], self.segments[ids + 1])
-        q = np.repeat(v, self.segments[ids + 1] - self.segments[ids])
+        # terms of more than a share of the examples have long postings: they are rows of a matrix, so that a slice of queries meets them in one product
+        count = self.start[self.segments[1:]] - self.start[self.segments[:-1]]
+        common = np.flatnonzero(count > max(self.n // COMMON, BLOCK))
+        self.row = np.full(n_terms, -1, np.int64)
+        self.row[common] = np.arange(len(common))
+        self.rows = np.zeros((len(common), self.n))
+        for i, t in enumerate(common.tolist()):
+            p = slice(int(self.start[self.segments[t]]), int(self.start[self.segments[t + 1]]))
+            self.rows[i, self.example[p]] = self.weight[p]
+        self.opens = np.arange(0, self.n, BLOCK)
+
+    def search(self, ids: np.ndarray, weights: np.ndarray, first: np.ndarray, k: int, without: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(places of examples, cosines) of the k nearest with a cosine above 0, the nearest first, of each query ids[first[i] : first[i + 1]]."""
+        row = self.row[ids]
+        for lo in range(0, len(first) - 1, QUERIES):
+            n = min(QUERIES, len(first) - 1 - lo)
+            query = np.repeat(np.arange(n), np.diff(first[lo : lo + n + 1]))
+            own = slice(first[lo], first[lo + n])
+            dense = np.zeros((n, len(self.rows)))
+            common = row[own] >= 0
+            dense[query[common], row[own][common]] = weights[own][common]
+            shared = dense @ self.rows
+            for i in range(n):
+                q = slice(first[lo + i], first[lo + i + 1])
+                rare = row[q] < 0
+                yield self._nearest(ids[q][rare], weights[q][rare], shared[i], k, -1 if without is None else int(self.place[without[lo + i]]))
+
+    def _nearest(self, ids: np.ndarray, v: np.ndarray, shared: np.ndarray, k: int, without: int) -> tuple[np.ndarray, np.ndarray]:
+        """``shared``: what the common terms give each example."""
+        start, end = self.segments[ids], self.segments[ids + 1]
+        s, q = _spread(start, end), np.repeat(v, end - start)
         block = self.block[s]
-        upper = np.bincount(block, weights=q * self.max[s], minlength=self.blocks)
+        upper = np.bincount(block, weights=q * self.max[s], minlength=self.blocks) + np.maximum.reduceat(shared, self.opens)
         order = np.argsort(-upper, kind="stable")
-        found, cosine = self._inside(s, q, block, order[:FIRST], k, without)
+        found, cosine = self._inside(s, q, block, order[:FIRST], shared, k, without)
         rest = order[FIRST:]
         rest = rest[(upper[rest] > 0) & ((upper[rest] >= cosine[-1] - 1e-12) if len(found) == k else True)]
         if len(rest):
-            more, cosines = self._inside(s, q, block, rest, k, without)
+            more, cosines = self._inside(s, q, block, rest, shared, k, without)
             found, cosine = _best(np.concatenate([found, more]), np.concatenate([cosine, cosines]), k)
         return found, cosine
 
-    def _inside(self, s: np.ndarray, q: np.ndarray, block: np.ndarray, chosen: np.ndarray, k: int, without: int) -> tuple[np.ndarray, np.ndarray]:
+    def _inside(self, s: np.ndarray, q: np.ndarray, block: np.ndarray, chosen: np.ndarray, shared: np.ndarray, k: int, without: int) -> tuple[np.ndarray, np.ndarray]:
         wanted = np.zeros(self.blocks, bool)
         wanted[chosen] = True
-        inside = wanted[block]
-        s, q = s[inside], q[inside]
-        p = _spread(self.start[s], self.start[s + 1])
-        scores = np.bincount(self.example[p], weights=np.repeat(q, self.start[s + 1] - self.start[s]) * self.weight[p], minlength=self.n)
+        if len(chosen) < self.blocks:
+            inside = wanted[block]
+            s, q = s[inside], q[inside]
+        start, end = self.start[s], self.start[s + 1]
+        p = _spread(start, end)
+        scores = shared + np.bincount(self.example[p], weights=np.repeat(q, end - start) * self.weight[p], minlength=self.n)
+        scores[~np.repeat(wanted, BLOCK)[: self.n]] = 0
         if without >= 0:
             scores[without] = 0
         own = np.flatnonzero(scores > 0)
@@ -190,24 +223,27 @@ class ToxicityModel:
 
     def votes(self, data: np.ndarray, offsets: np.ndarray, without: np.ndarray | None = None, evidence: int = 0, cache: dict | None = None) -> tuple[list[float], list[list[dict]]]:
         """Each text's vote and its nearest examples; ``without``: the example that a text itself is."""
-        n = len(offsets) - 1
-        ids, weights, first = self.weights.vectors(*counted_terms(data, offsets), n)
-        votes, seen = [], []
-        for i in range(n):
-            own, v = ids[first[i] : first[i + 1]], weights[first[i] : first[i + 1]]
-            key = (own.tobytes(), v.tobytes()) if cache is not None else None
-            if key is not None and key in cache:
-                got = cache[key]
-            else:
-                near, cosine = self.index.nearest(own, v, NEIGHBOURS, -1 if without is None else int(self.index.place[without[i]]))
-                got = self.vote(near, cosine), [{"doc_id": int(self.names[x]), "similarity": float(s), "toxic": int(self.labels[x])} for x, s in zip(near[:evidence], cosine[:evidence], strict=True)]
-                if key is not None:
-                    if len(cache) >= 2000:
-                        cache.clear()
-                    cache[key] = got
-            votes.append(got[0])
-            seen.append(got[1])
-        return votes, seen
+        ids, weights, first = self.weights.vectors(*counted_terms(data, offsets), len(offsets) - 1)
+        # equal texts are looked up once in a while
+        key = [(ids[a:b].tobytes(), weights[a:b].tobytes()) for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)] if cache is not None else []
+        if cache is not None:
+            if len(cache) > 2000:
+                cache.clear()
+            asked = {k: i for i, k in reversed(list(enumerate(key))) if k not in cache}
+            which = sorted(asked.values())
+        else:
+            which = list(range(len(first) - 1))
+        size = np.diff(first)[which]
+        picked = _spread(first[:-1][which], first[1:][which])
+        found = self.index.search(ids[picked], weights[picked], np.concatenate([[0], np.cumsum(size)]), NEIGHBOURS, None if without is None else without[which])
+        out = {}
+        for i, (near, cosine) in zip(which, found, strict=True):
+            got = self.vote(near, cosine), [{"doc_id": int(self.names[x]), "similarity": float(s), "toxic": int(self.labels[x])} for x, s in zip(near[:evidence], cosine[:evidence], strict=True)]
+            if cache is not None:
+                cache[key[i]] = got
+            out[i] = got
+        rows = [cache[k] for k in key] if cache is not None else [out[i] for i in which]
+        return [v for v, _ in rows], [e for _, e in rows]
 
 
 def _example_vectors(examples: DataFrame) -> pa.Table:

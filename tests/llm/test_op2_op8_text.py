@@ -106,7 +106,9 @@ def test_languages_of_held_out_rows(spark):
     assert {r.lang_pred for r in li.predict_languages(frame.selectExpr("doc_id", "text", "cast(null AS string) AS lang")).collect()} == {"und"}
 
 
-def test_block_max_search_equals_brute_force():
+@pytest.mark.parametrize("common", [False, True])
+def test_block_max_search_equals_brute_force(monkeypatch, common):
+    monkeypatch.setattr(tx, "COMMON", 16 if common else 1)
     rng = np.random.default_rng(3)
     vectors = []
     for _ in range(900):
@@ -120,14 +122,14 @@ def test_block_max_search_equals_brute_force():
     dense = np.zeros((900, 40))
     for i, k in enumerate(index.order):
         dense[i, vectors[k][0]] = vectors[k][1]
+    assert len(index.rows) if common else not len(index.rows)
     for without in (-1, 7):
-        for q in range(200):
-            ids, v = vectors[q]
+        out = index.search(term[: first[200]].astype(np.int64), weight[: first[200]], first[:201], 24, None if without < 0 else index.order[np.full(200, without)])
+        for (near, got), (ids, v) in zip(out, vectors[:200], strict=True):
             full = np.zeros(40)
             full[ids] = v
             cos = np.round(dense @ full, 12)
             want = [i for i in np.lexsort((np.arange(900), -cos)) if cos[i] > 0 and i != without][:24]
-            near, got = index.nearest(ids, v, 24, without)
             assert near.tolist() == want and np.allclose(got, cos[want])
 
 
