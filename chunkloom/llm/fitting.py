@@ -6,10 +6,10 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import id_remainder
+from .shared import id_remainder, written
 
 #: Lanes in which the partial sums of a key meet before the last addition, so that no task reads a row from every partition.
 FAN_IN = 32
@@ -59,21 +59,33 @@ def agreed_labels(labels: DataFrame, label: str, modulus: int, held: int) -> Dat
 
 
 def drawn_rows(documents: DataFrame, known: DataFrame, most: int | dict[int, int], seed: int) -> DataFrame:
-    """(doc_id, text, digest, y, stands_for): about ``most`` rows at most (of each label, if it says so), drawn by a hash of id and text; rows equal in both count once.
+    """(doc_id, text, digest, y, stands_for): about ``most`` rows at most (of each label, if it says so); rows equal in id and text count once.
 
-    Ids are counted first, so that texts that aren't drawn never move. ``stands_for`` is the number of labelled rows that a drawn one stands for.
+    Ids are drawn first, by a hash, about as many as rows are asked for: so few can be sent, and texts that aren't drawn never move. Should these ids have more rows than that, their rows
+    are drawn in turn, by a hash of id and text. ``stands_for`` is the number of labelled rows that a drawn one stands for.
     """
-    sizes = {r["y"]: r["n"] for r in documents.groupBy("doc_id").agg(F.count("*").alias("n")).join(known, "doc_id").groupBy("y").agg(F.sum("n").alias("n")).collect()}
-    if isinstance(most, int):
-        rate = dict.fromkeys((0, 1), min(1.0, most / max(sum(sizes.values()), 1)))
-    else:
-        rate = {y: min(1.0, n / sizes[y]) if sizes.get(y) else 0.0 for y, n in most.items()}
-    digest = F.xxhash64("doc_id", "text", F.lit(seed))
-    draw = F.pmod(F.col("digest"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    rows = documents.where(F.col("doc_id").isNotNull()).select("doc_id", F.col("text").cast("string").alias("text")).withColumn("digest", digest)
-    rows = rows.where(draw < F.lit(max(rate.values(), default=0.0))).dropDuplicates(["doc_id", "digest"]).join(known, "doc_id")
-    own = F.coalesce(*[F.when(F.col("y") == y, F.lit(r)) for y, r in rate.items()], F.lit(0.0))
-    return rows.where(draw < own).withColumn("stands_for", 1 / own)
+    draw = lambda *x: F.pmod(F.xxhash64(*x), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    per_id = documents.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.count("*").alias("n")).join(known, "doc_id")
+    per_id = written(per_id.select("doc_id", "y", "n", draw("doc_id", F.lit(seed)).alias("draw")), "labelled-ids")
+    one = isinstance(most, int)
+    key = (lambda y: None) if one else (lambda y: y)
+    wanted = {None: most} if one else most
+
+    def rates(rows: DataFrame, of: str) -> dict[int, float]:
+        found: dict = {}
+        for r in rows.groupBy("y").agg(F.count("*").alias("ids"), F.sum("n").alias("rows")).collect():
+            found[key(r["y"])] = found.get(key(r["y"]), 0) + r[of]
+        return {y: min(1.0, wanted[key(y)] / found[key(y)]) if found.get(key(y)) else 0.0 for y in (0, 1)}
+
+    def by_label(rate: dict[int, float]) -> Column:
+        return F.coalesce(*[F.when(F.col("y") == y, F.lit(r)) for y, r in rate.items()], F.lit(0.0))
+
+    ids = rates(per_id, "ids")
+    drawn = written(per_id.where(F.col("draw") < by_label(ids)).select("doc_id", "y", "n"), "drawn-ids")
+    rows = rates(drawn, "rows")
+    picked = documents.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(drawn.select("doc_id", "y")), "doc_id")  # about ``most`` ids
+    picked = picked.withColumn("digest", F.xxhash64("doc_id", "text", F.lit(seed))).where(draw("digest") < by_label(rows))
+    return picked.dropDuplicates(["doc_id", "digest"]).withColumn("stands_for", 1 / (by_label(ids) * by_label(rows)))
 
 
 def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

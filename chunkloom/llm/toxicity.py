@@ -127,7 +127,21 @@ class BlockMaxIndex:
         self.place = place
         example = place[example]
         by = np.lexsort((example, term))
-        term, self.weight, self.example = term[by], weight[by], example[by].astype(np.int32)
+        self.weight, self.example = weight[by], example[by].astype(np.int32)
+        self._segment(np.searchsorted(term[by], np.arange(n_terms + 1)).astype(np.int32))
+
+    def __getstate__(self) -> tuple:
+        """The postings; blocks and rows follow from them."""
+        return self.n, self.blocks, self.order, self.place, self.weight, self.example, self.terms
+
+    def __setstate__(self, state: tuple) -> None:
+        self.n, self.blocks, self.order, self.place, self.weight, self.example, terms = state
+        self._segment(terms)
+
+    def _segment(self, terms: np.ndarray) -> None:
+        """``terms``: where each term's postings begin."""
+        self.terms, n_terms = terms, len(terms) - 1
+        term = np.repeat(np.arange(n_terms), np.diff(terms))
         block = self.example // BLOCK
         opens = np.ones(len(term), bool)
         opens[1:] = (term[1:] != term[:-1]) | (block[1:] != block[:-1])
