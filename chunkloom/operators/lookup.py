@@ -25,17 +25,23 @@ def dedup_by_version(chunks: DataFrame) -> DataFrame:
     return held.join(stored.withColumnRenamed("bv", "__bv"), F.col("bv") == F.col("__bv"), "left").drop("__bv").fillna(0, ["unique_chunks", "stored_size"])
 
 
-def similar_segments(features: DataFrame, k: int = 1, units: tuple[str, str] = ("bv", "segment_no")) -> DataFrame:
+def similar_segments(features: DataFrame, k: int = 1, units: tuple[str, str] = ("bv", "segment_no"), newest: int | None = None) -> DataFrame:
     """(units, cand_bv, cand_segment, shared, rank): for each segment the k earlier segments chosen greedily by the features they share.
 
     The candidate with most shared features wins, the newer one of equals; its features are taken from the others before the next is chosen. k = 1 is a
-    ranking; more are k rounds of anti-joins, each over (segment, candidate, feature) rows.
+    ranking; more are k rounds of anti-joins, each over (segment, candidate, feature) rows. With ``newest`` a feature names its newest so many earlier segments only, as an index with
+    values of that length does: rows grow with the features and not with the pairs that share one.
     """
     bv, seg = units
     mine = features.select(F.col(bv).alias("bv"), F.col(seg).alias("segment_no"), "feature")
     theirs = features.select(F.col(bv).alias("cand_bv"), F.col(seg).alias("cand_segment"), F.col("feature").alias("__feature"))
     earlier = (F.col("cand_bv") < F.col("bv")) | ((F.col("cand_bv") == F.col("bv")) & (F.col("cand_segment") < F.col("segment_no")))
-    shared = mine.join(theirs, (F.col("feature") == F.col("__feature")) & earlier).drop("__feature")
+    if newest is None:
+        shared = mine.join(theirs, (F.col("feature") == F.col("__feature")) & earlier).drop("__feature")
+    else:
+        before = Window.partitionBy("feature").orderBy("bv", "segment_no").rowsBetween(-newest, -1)
+        held = F.collect_list(F.struct(F.col("bv").alias("cand_bv"), F.col("segment_no").alias("cand_segment"))).over(before)
+        shared = mine.withColumn("held", held).withColumn("c", F.explode("held")).select("bv", "segment_no", "feature", "c.cand_bv", "c.cand_segment")
     chosen: DataFrame | None = None
     for rank in range(1, k + 1):
         counts = shared.groupBy("bv", "segment_no", "cand_bv", "cand_segment").agg(F.count("*").alias("shared"))

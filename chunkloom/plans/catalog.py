@@ -259,6 +259,14 @@ def similar_segments_top2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _long(lookup.similar_segments(_features(spark, sf_dir, "min"), k=2), "bv", "cand_bv")
 
 
+@query(f"""{_MIN}, o AS (SELECT *, row_number() OVER (PARTITION BY feature ORDER BY bv, segment_no) AS i FROM ft),
+g AS (SELECT a.bv, a.segment_no, b.bv AS cand_bv, b.segment_no AS cand_segment, count(*) AS shared FROM o a JOIN o b ON a.feature = b.feature AND b.i BETWEEN a.i - 2 AND a.i - 1 GROUP BY 1, 2, 3, 4),
+k AS (SELECT *, row_number() OVER (PARTITION BY bv, segment_no ORDER BY shared DESC, cand_bv DESC, cand_segment DESC) AS r FROM g) SELECT bv, segment_no, cand_bv, cand_segment, shared, 1 AS rank FROM k WHERE r = 1""")
+def similar_segments_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The most similar segment among those that an index with two units a feature names."""
+    return _long(lookup.similar_segments(_features(spark, sf_dir, "min"), newest=2), "bv", "cand_bv")
+
+
 @query(f"{_MIN}, v AS (SELECT DISTINCT bv, feature FROM ft) SELECT a.bv, b.bv AS other_bv, count(*) AS shared FROM v a JOIN v b ON a.feature = b.feature AND a.bv < b.bv GROUP BY 1, 2")
 def shared_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _long(lookup.shared_features(_features(spark, sf_dir, "min")), "bv", "other_bv")

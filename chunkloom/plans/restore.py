@@ -102,15 +102,17 @@ def assembly_reads(recipe: list[tuple[bytes, int, int]], content: dict[int, set[
 SCHEMA = "config string, bv int, policy string, cache_size int, data_size bigint, chunk_num bigint, read_containers bigint, speed_factor double"
 
 
-def simulate(recipes: DataFrame, policies: list[tuple[str, int]], window: int = 1_000_000, area: int = AREA) -> DataFrame:
+def simulate(recipes: DataFrame, policies: list[tuple[str, int]], window: int = 1_000_000, area: int = AREA, only: int | None = None) -> DataFrame:
     """(.., policy, cache size, containers read, MiB a container) for each version of recipes (config, bv, seq, fp, size, cid).
 
-    What a container holds is taken from all recipes of the configuration: the chunks that were ever located there.
+    What a container holds is taken from all recipes of the configuration: the chunks that were ever located there. ``only`` one version may be simulated; the others then only
+    say what its containers hold.
     """
+    asked_for = recipes if only is None else recipes.where(F.col("bv") == only)
     # a version's stream comes behind what the containers that it names hold, and every policy runs in its task: nothing is sent twice
     held = recipes.select("config", "cid", "fp").distinct()
-    asked = recipes.select("config", "bv", "cid").distinct().join(held, ["config", "cid"]).select("config", "bv", F.lit(0).alias("part"), F.lit(0).cast("bigint").alias("seq"), "fp", F.lit(0).alias("size"), "cid")
-    stream = recipes.select("config", "bv", F.lit(1).alias("part"), "seq", "fp", F.col("size").cast("int").alias("size"), "cid")
+    asked = asked_for.select("config", "bv", "cid").distinct().join(held, ["config", "cid"]).select("config", "bv", F.lit(0).alias("part"), F.lit(0).cast("bigint").alias("seq"), "fp", F.lit(0).alias("size"), "cid")
+    stream = asked_for.select("config", "bv", F.lit(1).alias("part"), "seq", "fp", F.col("size").cast("int").alias("size"), "cid")
 
     def fold(key: tuple, rows: Iterator[tuple]) -> Iterator[tuple]:
         content: dict[int, set[bytes]] = {}
