@@ -157,3 +157,62 @@ def test_growing_takes_the_condition_of_the_largest_gain():
     assert {c.feature for c in rules[0].conditions} == {3, 5}
     assert (hit == bad).mean() > 0.97
     assert qr.learn_rules(x, np.zeros(400, bool)) == []
+
+
+def brute_grow(x, bad, most):
+    """All thresholds of all statistics tried one by one, from the definition of the gain."""
+    from math import log2
+
+    chosen, inside = [], list(range(len(x)))
+    while len(chosen) < most:
+        p0, n0 = sum(bad[i] for i in inside), sum(not bad[i] for i in inside)
+        if not p0 or not n0:
+            break
+        best = None
+        for f in range(x.shape[1]):
+            values = sorted({x[i, f] for i in inside})[:-1]
+            for above in (False, True):
+                for t in values:
+                    got = [i for i in inside if (x[i, f] > t) == above]
+                    p = sum(bad[i] for i in got)
+                    if p:
+                        gain = p * (log2(p / len(got)) - log2(p0 / (p0 + n0)))
+                        if gain > 1e-9 and (best is None or gain > best[0] + 1e-12):
+                            best = gain, qr.Condition(f, above, float(t)), got
+        if best is None:
+            break
+        chosen.append(best[1])
+        inside = best[2]
+    return chosen
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_grow_and_prune_equal_brute_force(seed):
+    rng = np.random.default_rng(seed)
+    x = rng.integers(0, 9, (120, 4)).astype(float)  # few values: every threshold is tried, ties abound
+    bad = (x[:, 0] > 5) & (x[:, 2] <= 4) | (rng.random(120) < 0.1)
+    rule = qr.grow(x, bad, 4)
+    want = brute_grow(x, bad, 4)
+
+    def covered(conditions):
+        return [qr.Rule(tuple(conditions[: i + 1])).holds(x).tolist() for i in range(len(conditions))]
+
+    assert list(rule.conditions) == want or covered(rule.conditions) == covered(want)
+    y = rng.integers(0, 9, (80, 4)).astype(float)
+    worse = (y[:, 0] > 5) & (rng.random(80) < 0.6)
+    pruned = qr.prune(rule, y, worse)
+    worth = []
+    for i in range(1, len(rule.conditions) + 1):
+        inside = qr.Rule(rule.conditions[:i]).holds(y)
+        p, n = int((inside & worse).sum()), int((inside & ~worse).sum())
+        worth.append((p - n) / (p + n) if p + n else -1.0)
+    assert len(pruned.conditions) == worth.index(max(worth)) + 1
+
+
+def test_labels_that_disagree_and_samples(spark):
+    """The more frequent label counts, 0 if none is; a sample is bounded in rows, whatever the ids."""
+    from chunkloom.llm.fitting import agreed_labels
+
+    labels = spark.createDataFrame([(d, y, 0) for d, y in [(2, 1), (2, 0), (3, 1), (3, 1), (3, 0), (5, None), (6, 0), (None, 1)]], "doc_id bigint, quality int, toxic int")
+    got = {r.doc_id: r.y for r in agreed_labels(labels, "quality", 1000, 999).collect()}
+    assert got == {2: 0, 3: 1, 6: 0}

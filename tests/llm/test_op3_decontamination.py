@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from chunkloom.llm import decontamination as dc
@@ -136,3 +137,24 @@ def test_edit_distances(n):
     padded = np.array([[code[x] for x in w] + [-1] * (n - len(w)) for w in a])
     got = dc.edit_distances(padded, np.array([len(w) for w in a]), np.array([[code[x] for x in w] for w in b]))
     assert got.tolist() == [distance(x, y) for x, y in zip(a, b, strict=True)]
+
+
+def test_memory_does_not_follow_the_longest_item():
+    """300 items of 20 words and one of 10,000: what the index and a search hold at once is bounded by HELD, not by items times longest item."""
+    import tracemalloc
+
+    rng = np.random.default_rng(2)
+    texts = [" ".join(f"i{i}w{j}" for j in range(20)) for i in range(300)] + [" ".join(f"v{k}" for k in rng.integers(0, 5000, 10_000))]
+    words = dc.item_words(texts)
+    tracemalloc.start()
+    index = dc.LeakIndex(dc.LeakParameters(walks=6), list(range(301)), words)
+    edited = texts[-1].split()
+    for k in range(0, 10_000, 2000):
+        edited[k] = "changed"
+    found = []
+    for _, _, w, h in dc.lower_words(pa.array([texts[5] + " tail", "head " + " ".join(edited), "nothing here at all"])):
+        found += list(zip(*[x.tolist() for x in index.search(w, h)], strict=True))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (0, 5, 0, 0) in found and any(item == 300 and 0 < d <= 5 for _, item, _, d in found)
+    assert peak < 20 * 8 * dc.HELD
