@@ -232,12 +232,43 @@ def test_counts_grow_with_the_input_and_keep_their_bound(spark):
     assert len(li.fit_languages(frame, 10, max_runs=50).keys[-1]) <= 50
 
 
+@pytest.mark.parametrize(("max_runs", "block"), [(0, 1 << 22), (50, 1 << 9), (600, 1 << 14)])
+def test_runs_beyond_memory_stay_in_the_model(spark, monkeypatch, max_runs, block):
+    """Whatever memory holds of the runs, each text's cross-entropies are those of the whole model, and so is all that follows."""
+    monkeypatch.setattr(li, "BLOCK", block)
+    monkeypatch.setattr(li, "batch_limit", lambda spark: spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20"))  # several slices a task
+    own = random.Random(7)
+    rows = [(i, " ".join(own.choice(WORDS[lang]) + own.choice(["", "s", "én", "x"]) for _ in range(own.randint(1, 40))), lang) for i in range(400) for lang in [own.choice(list(WORDS))]]
+    rows += [(1000, None, "en"), (1001, "12 !", "fr"), (1002, "", None), (None, "der die und", None), (1003, "Ωμέγα 漢字 𐐀𐐁 the", None), (1003, "water", "en"), (1004, "qqq", "xx"), (1005, "...", "yy")]
+    frame = spark.createDataFrame([(d, t, x, 0.5, "q") for d, t, x in rows], DOCS).repartition(5)
+    whole, part = li.fit_languages(frame, 10), li.fit_languages(frame, 10, max_runs)
+    held = len(part.keys[-1]) * len(part.languages)
+    assert part.languages == whole.languages and held <= max_runs < sum(map(len, whole.keys)) and (held > 0) == (max_runs > 0)
+    assert part.steepness == whole.steepness and part.limit == pytest.approx(whole.limit)
+    one, two = ({(r.doc_id, r.text): r for r in li.cross_entropies(frame, m, ["doc_id", "text"]).collect()} for m in (whole, part))
+    assert one.keys() == two.keys()
+    for k, r in one.items():
+        assert two[k].symbols == r.symbols and two[k].ce == pytest.approx(r.ce, abs=1e-12)
+    one, two = ({(r.doc_id, r.held_out, r.lang_pred, r.rejected): r.score for r in li.predict_languages(frame, 10, n).collect()} for n in (1 << 24, max_runs))
+    assert one.keys() == two.keys() and all(two[k] == pytest.approx(x) for k, x in one.items())
+
+
 def test_ties_go_to_the_first_language(spark):
     rows = [(i, "same words here", lang) for i in range(40) for lang in ("zz", "aa")]
     frame = spark.createDataFrame([(d, t, x, 0.5, "q") for d, t, x in rows], DOCS)
     assert {r.lang_pred for r in li.predict_languages(frame).collect()} == {"aa"}
 
 
+def test_ties_and_empty_texts_without_memory_for_runs(spark):
+    rows = [(i, f"same words here {'again ' * (i % 7)}", lang) for i in range(40) for lang in ("zz", "aa")]
+    frame = spark.createDataFrame([(d, t, x, 0.5, "q") for d, t, x in rows], DOCS)
+    assert {r.lang_pred for r in li.predict_languages(frame, max_runs=0).collect()} == {"aa"}
+    model = li.fit_languages(frame, max_runs=0)
+    odd = spark.createDataFrame([(1, None), (2, ""), (3, "1 2")], "doc_id bigint, text string")
+    assert {(r.lang_pred, r.score) for r in li.identify(odd, model, ["doc_id"]).collect()} == {("und", 0.0)}
+    assert li.identify(odd.limit(0), model, ["doc_id"]).count() == 0
+
+
 def test_toxicity_of_held_out_rows(spark):
     bad = ["moron", "scumbag", "vileword"]
     rows, labels = [], []
