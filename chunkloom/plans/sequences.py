@@ -94,7 +94,7 @@ SIZES = (2, 4)
 
 def _simulated(spark: SparkSession, sf_dir: str, policy: str) -> DataFrame:
     recipe = _recipe(spark, sf_dir).select(F.lit("exact").alias("config"), "bv", "seq", "fp", "size", "cid")
-    out = restore.simulate(recipe, [(policy, n) for n in SIZES], area=CAPACITY)
+    out = restore.simulate(recipe, [(policy, n) for n in SIZES], area=CAPACITY, exact=True)
     return _long(out.select("bv", "cache_size", "chunk_num", "data_size", "read_containers"), "bv", "cache_size")
 
 
