@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 from dataclasses import replace
+from itertools import chain, groupby
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -54,8 +56,8 @@ def _hash_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     hashes = chunks.groupBy("bv", "file_no").agg(F.sort_array(F.collect_list(F.struct("chunk_no", "fp", "size"))).alias("hashes"))
     whole = files.join(hashes, ["bv", "file_no"], "left")
 
-    def build(rows: list[dict]) -> bytes:
-        return hashfile.build([{"path": r["path"], "file_size": r["file_size"], "hashes": [(h["fp"], h["size"], 0) for h in r["hashes"] or []]} for r in rows], root="/root", system="table")
+    def build(rows: Iterator[dict]) -> bytearray:
+        return hashfile.build(({"path": r["path"], "file_size": r["file_size"], "hashes": [(h["fp"], h["size"], 0) for h in r["hashes"] or []]} for r in rows), root="/root", system="table")
 
     return images.imaged(whole, ["bv"], ["file_no"], build)
 
@@ -96,11 +98,9 @@ def container_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = packed.groupBy("bv").agg(F.min("cid").alias("base"))
     local = packed.join(base, "bv").select("bv", (F.col("cid") - F.col("base")).alias("cid"), "seq", "fp", "size")
 
-    def build(rows: list[dict]) -> bytes:
-        held: dict[int, list] = {}
-        for r in rows:
-            held.setdefault(r["cid"], []).append((r["fp"], bytes(r["size"])))
-        return binary_store.build_pool(sorted(held.items()), directory_only=True)
+    def build(rows: Iterator[dict]) -> bytearray:
+        own = ((cid, [(r["fp"], bytes(r["size"])) for r in g]) for cid, g in groupby(rows, key=lambda r: r["cid"]))
+        return binary_store.build_pool(own, directory_only=True)
 
     rows = images.parsed(images.imaged(local, ["bv"], ["cid", "seq"], build), binary_store.ENTRIES, lambda d: binary_store.entry_rows(d, True), ["bv"])
     return _long(_hex(rows, "fp"), "bv", "off", "len")
@@ -123,11 +123,8 @@ def container_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
 def recipe_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Binary recipes, one a version, written and read: pointers in the order of the stream, numbered by segment."""
 
-    def build(rows: list[dict]) -> bytes:
-        segments: dict[int, list] = {}
-        for r in rows:
-            segments.setdefault(r["segment_no"], []).append((r["fp"], r["cid"], r["size"]))
-        return binary_store.build_recipe(list(segments.values()))
+    def build(rows: Iterator[dict]) -> bytearray:
+        return binary_store.build_recipe([(r["fp"], r["cid"], r["size"]) for r in g] for _, g in groupby(rows, key=lambda r: r["segment_no"]))
 
     made = images.imaged(_recipe(spark, sf_dir).select("bv", "seq", "segment_no", "fp", "cid", "size"), ["bv"], ["seq"], build)
     return _long(_hex(images.parsed(made, "seq bigint, segment_no bigint, fp binary, cid bigint, size int", binary_store.recipe_rows, ["bv"]), "fp"), "bv", "size")
@@ -138,9 +135,10 @@ def version_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Binary version files (number, path, files with their sizes), written and read."""
     files = snapshots.document_files(spark, sf_dir).select("bv", "file_no", "filename", F.octet_length("content").cast("bigint").alias("filesize"))
 
-    def build(rows: list[dict]) -> bytes:
-        own = [(r["filename"], -(-r["filesize"] // CHUNK), r["filesize"]) for r in rows]
-        return binary_store.build_meta(rows[0]["bv"], "/documents", False, sum(k for _, k, _ in own), own)
+    def build(rows: Iterator[dict]) -> bytes:
+        first = next(rows)
+        own = [(r["filename"], -(-r["filesize"] // CHUNK), r["filesize"]) for r in chain((first,), rows)]
+        return binary_store.build_meta(first["bv"], "/documents", False, sum(k for _, k, _ in own), own)
 
     rows = images.parsed(images.imaged(files, ["bv"], ["file_no"], build), "file_no bigint, filename string, chunknum bigint, filesize bigint", lambda d: binary_store.meta(d)[1], ["bv"])
     return _long(rows, "bv")
@@ -149,7 +147,7 @@ def version_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"{_RECORDS} SELECT bv, record, cid FROM ar")
 def record_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Binary access records, one file a version, written and read."""
-    made = images.imaged(packing.access_records(_recipe(spark, sf_dir)).select("bv", "record", "cid"), ["bv"], ["record"], lambda rows: binary_store.build_records([r["cid"] for r in rows]))
+    made = images.imaged(packing.access_records(_recipe(spark, sf_dir)).select("bv", "record", "cid"), ["bv"], ["record"], lambda rows: binary_store.build_records(r["cid"] for r in rows))
     return _long(images.parsed(made, "record bigint, cid bigint", binary_store.record_rows, ["bv"]), "bv")
 
 
@@ -160,11 +158,8 @@ def index_dump(spark: SparkSession, sf_dir: str) -> DataFrame:
     segmented = segmenting.fixed_segments(_fixed(spark, sf_dir), SEGMENT)
     rows = sampling.feature_index(sampling.sample_random(segmented, ["bv", "segment_no"], RATIO), unit, ["bv", "segment_no"], 2)
 
-    def build(own: list[dict]) -> bytes:
-        held: dict[bytes, list[int]] = {}
-        for r in own:
-            held.setdefault(r["feature"], []).append(r["unit_id"])
-        return binary_store.build_index(held, 2)
+    def build(own: Iterator[dict]) -> bytearray:
+        return binary_store.build_index(((f, [r["unit_id"] for r in g]) for f, g in groupby(own, key=lambda r: r["feature"])), 2)
 
     made = images.imaged(rows.withColumn("part", F.pmod(F.xxhash64("feature"), F.lit(16)).cast("int")), ["part"], ["feature", "ord"], build)
     return _long(_hex(images.parsed(made, "feature binary, unit_id bigint, ord int", binary_store.index_rows), "feature"), "ord")

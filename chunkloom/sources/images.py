@@ -6,26 +6,37 @@ Spark reads binary files but doesn't write them; as rows they can be made, kept
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
+from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-#: Rows that leave at once.
+#: Rows that leave at once, and rows that are Python objects at once while a file is made.
 BATCH = 50_000
+SLICE = 500
 
 
-def imaged(df: DataFrame, keys: list[str], order: list[str], build: Callable[[list[dict]], bytes]) -> DataFrame:
-    """(keys, content): ``build`` makes a file from a key's rows, in their order. A file's rows have to fit a task, as the file has to fit a row."""
+def imaged(df: DataFrame, keys: list[str], order: list[str], build: Callable[[Iterator[dict]], bytes | bytearray]) -> DataFrame:
+    """(keys, content): ``build`` makes a file from a key's rows, which pass by in their order (sorted by Spark, which spills). The file has to fit a row; its rows need not fit a task."""
     schema = StructType([*[df.schema[k] for k in keys], *StructType.fromDDL("content binary").fields])
     arrow = to_arrow_schema(schema)
 
-    def run(key: tuple, t: pa.Table) -> pa.Table:
-        rows = t.sort_by([(c, "ascending") for c in order]).to_pylist()
-        return pa.table([*[pa.array([k.as_py()], arrow.field(i).type) for i, k in enumerate(key)], pa.array([build(rows)], pa.binary())], schema=arrow)
+    def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        for b in batches:
+            for i in range(0, len(b), SLICE):
+                yield from b.slice(i, SLICE).to_pylist()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, rows in groupby(rows_of(batches), key=lambda r: tuple(r[k] for k in keys)):
+            content = pa.py_buffer(build(rows))  # as it lies there: no copy
+            one = pa.Array.from_buffers(pa.binary(), 1, [None, pa.array([0, content.size], pa.int32()).buffers()[1], content])
+            yield pa.RecordBatch.from_arrays([*[pa.array([k], arrow.field(i).type) for i, k in enumerate(key)], one], schema=arrow)
+            del content, one
 
-    return df.groupBy(*keys).applyInArrow(run, schema)
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, *keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
 
 
 def parsed(images: DataFrame, schema: str, rows_of: Callable[[bytes], Iterable[tuple]], keep: list[str] | None = None) -> DataFrame:
@@ -39,7 +50,7 @@ def parsed(images: DataFrame, schema: str, rows_of: Callable[[bytes], Iterable[t
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for *key, content in zip(*[c.to_pylist() for c in b.columns], strict=True):
+            for *key, content in ([x.as_py() for x in r] for r in zip(*b.columns, strict=True)):  # a file at a time
                 held: list[tuple] = []
                 for r in rows_of(content):
                     held.append((*key, *r))

@@ -139,3 +139,25 @@ def test_binary_store_round_trip(spark, tmp_path):
     (tmp_path / "i").write_bytes(bs.build_index(index, 2))
     got = sorted((bytes(r.feature), r.ord, r.unit_id) for r in bs.read_index(spark, str(tmp_path / "i")).collect())
     assert got == sorted((k, i, u) for k, units in index.items() for i, u in enumerate(units))
+
+
+def test_files_are_made_from_passing_rows(spark):
+    """A file's rows are Python objects a few at a time, in their order, keys apart."""
+    from chunkloom.sources import images
+
+    frame = spark.range(20_000).selectExpr("cast(id % 2 as int) AS k", "19999 - id AS place", "repeat('x', 50) AS ballast").repartition(6)
+
+    def build(rows):
+        import gc
+
+        content, most = bytearray(), 0
+        for i, r in enumerate(rows):
+            content += r["place"].to_bytes(4, "little")
+            if i % 4_000 == 0:
+                most = max(most, sum(type(o) is dict and o.keys() == {"k", "place", "ballast"} for o in gc.get_objects()))
+        return content + most.to_bytes(4, "little")
+
+    for k, content in images.imaged(frame, ["k"], ["place"], build).collect():
+        *places, most = [int.from_bytes(content[i : i + 4], "little") for i in range(0, len(content), 4)]
+        assert places == [p for p in range(20_000) if (19_999 - p) % 2 == k]
+        assert most <= 2 * images.SLICE
