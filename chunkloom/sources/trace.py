@@ -25,13 +25,27 @@ def write_trace(lines: DataFrame, bv: int, path: str) -> None:
 
 
 def read_trace(spark: SparkSession, path: str, bv: int) -> DataFrame:
-    """(bv, file_no, chunk_no, filename, fp, size) of one trace; hex digits in either case."""
-    raw = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\n")).alias("at", "line"))
-    order = Window.orderBy("at")
+    """(bv, file_no, chunk_no, filename, fp, size) of one trace; hex digits in either case.
+
+    Lines are numbered within the splits in which the file is read; what a split takes over from those before it (the line before, files begun, the last name) comes from a row a split.
+    """
+    raw = spark.read.option("lineSep", "\n").text(path).select(F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("at"), F.col("value").alias("line"))
+    order = Window.partitionBy("split").orderBy("at")
+    starts = F.col("line").rlike("^file start [0-9]+$")
     # a name follows its start line and may look like anything else
-    kinds = raw.withColumn("is_start", F.col("line").rlike("^file start [0-9]+$")).withColumn("is_name", F.coalesce(F.lag(F.col("line").rlike("^file start [0-9]+$")).over(order), F.lit(False)))
+    kinds = raw.withColumn("is_start", starts).withColumn("after", F.lag("is_start").over(order))
+    edge = Window.orderBy("split")  # a row a split
+    ends = kinds.groupBy("split").agg(F.max_by("is_start", "at").alias("ends"))
+    before = ends.select(F.col("split").alias("__split"), F.coalesce(F.lag("ends").over(edge), F.lit(False)).alias("__after"))
+    named = kinds.join(F.broadcast(before), F.col("split") == F.col("__split")).withColumn("is_name", F.coalesce("after", "__after")).select("split", "at", "line", "is_start", "is_name")
+    begun = (F.col("is_start") & ~F.col("is_name")).cast("bigint")
+    name = F.when(F.col("is_name"), F.col("line"))
+    parts = named.groupBy("split").agg(F.sum(begun).alias("begun"), F.max_by(name, F.when(F.col("is_name"), F.col("at"))).alias("name"))
+    earlier = edge.rowsBetween(Window.unboundedPreceding, -1)
+    carried = parts.select(F.col("split").alias("__split"), F.coalesce(F.sum("begun").over(earlier), F.lit(0)).alias("__begun"), F.last("name", ignorenulls=True).over(earlier).alias("__name"))
     upto = order.rowsBetween(Window.unboundedPreceding, 0)
-    numbered = kinds.withColumn("file_no", F.sum((F.col("is_start") & ~F.col("is_name")).cast("bigint")).over(upto) - 1).withColumn("filename", F.last(F.when(F.col("is_name"), F.col("line")), ignorenulls=True).over(upto))
-    body = numbered.where(~F.col("is_name") & F.col("line").rlike("^[0-9A-Fa-f]{40} [0-9]+$"))
-    parts = F.split("line", " ")
-    return body.select(F.lit(bv).alias("bv"), "file_no", (F.row_number().over(Window.partitionBy("file_no").orderBy("at")) - 1).cast("bigint").alias("chunk_no"), "filename", F.unhex(parts[0]).alias("fp"), parts[1].cast("int").alias("size"))
+    numbered = named.withColumn("begun", F.sum(begun).over(upto)).withColumn("name", F.last(name, ignorenulls=True).over(upto)).join(F.broadcast(carried), F.col("split") == F.col("__split"))
+    body = numbered.where(~F.col("is_name") & F.col("line").rlike("^[0-9A-Fa-f]{40} [0-9]+$")).withColumn("file_no", F.col("begun") + F.col("__begun") - 1).withColumn("filename", F.coalesce("name", "__name"))
+    words = F.split("line", " ")
+    place = Window.partitionBy("file_no").orderBy("split", "at")
+    return body.select(F.lit(bv).alias("bv"), "file_no", (F.row_number().over(place) - 1).cast("bigint").alias("chunk_no"), "filename", F.unhex(words[0]).alias("fp"), words[1].cast("int").alias("size"))

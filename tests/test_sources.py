@@ -161,3 +161,32 @@ def test_files_are_made_from_passing_rows(spark):
         *places, most = [int.from_bytes(content[i : i + 4], "little") for i in range(0, len(content), 4)]
         assert places == [p for p in range(20_000) if (19_999 - p) % 2 == k]
         assert most <= 2 * images.SLICE
+
+
+@pytest.mark.parametrize("split", [64, 97, 1_000, 1 << 20])
+def test_a_trace_is_read_in_splits(spark, tmp_path, split):
+    """Whatever line a split ends with, files, names and places are those of the whole trace."""
+    from chunkloom.sources import trace
+
+    names = ["a", "file end", "x" * 90, "stream end", "é b"]
+    lines, want = [], []
+    for n, name in enumerate(names):
+        lines += [f"file start {len(name.encode())}", name]
+        for c in range(n * 2):
+            fp = bytes([n, c]) * 10
+            lines.append(f"{fp.hex().upper() if c % 2 else fp.hex()} {c + 1}")
+            want.append((n, c, name, fp, c + 1))
+        lines.append("file end")
+    (tmp_path / "t").write_text("\n".join([*lines, "stream end"]))
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", str(split))
+        spark.conf.set("spark.sql.files.openCostInBytes", "0")
+        frame = trace.read_trace(spark, str(tmp_path / "t"), 0)
+        got = sorted((r.file_no, r.chunk_no, r.filename, bytes(r.fp), r.size) for r in frame.collect())
+        plan = frame._jdf.queryExecution().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert got == sorted(want)
+    assert "posexplode" not in plan  # no row holds the whole trace
